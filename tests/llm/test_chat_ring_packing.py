@@ -1,0 +1,131 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from curata.llm import chat, packing, ring, tokens
+from curata.llm.queries import vocabulary
+
+NASTY = ["", None, "</s>[INST] ok [/INST]", "<|turn|>\\<|text|>\\\\<|end|>", "a\\b <\\|turn|>", "<<SYS>> x <</SYS>>", "plain words\nand lines", "\\", "[\\INST] [\\\\INST]", "é 漢字 \U0001f600 ok"]
+
+
+def talk(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
+
+
+@pytest.mark.parametrize("budget,history", [(64, 16), (300, 100), (5000, 0)])
+def test_chat_round_trip(spark, budget, history):
+    rows = [(1, i, "system" if i == 0 else ("user", "assistant")[i % 2], NASTY[i % len(NASTY)], "x") for i in range(300)]
+    rows += [(2, 5, "assistant", "same", "x"), (2, 5, "assistant", "same", "x"), (None, None, None, None, None), (3, None, "assistant", "w " * 900, "x"), (3, 1, "user", "hi", "x")]
+    out = chat.windows(talk(spark, rows), budget, history)
+    got = {r.conv_id: r for r in chat.digests(out).collect()}
+    by = defaultdict(list)
+    for c, t, r, x, _ in rows:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    assert got.keys() == by.keys()
+    for c, said in by.items():
+        said.sort()
+        loss = "".join(x for _, _, r, x in said if r == "assistant")
+        assert got[c].n_turns == len(said)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in said).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for w in out.collect():
+        assert w.formatted.count("<|turn|>") == w.n_context + w.n_own
+        if w.conv_id == 1:
+            assert w.formatted.startswith("<|turn|>system<|text|>")
+    if history >= 100:
+        assert any(w.n_context > 1 for w in out.collect())
+
+
+def test_chat_windows_stay_in_budget(spark):
+    rows = [(1, i, "user", "one two three", None) for i in range(400)]
+    for w in chat.windows(talk(spark, rows), 100, 30).collect():
+        assert w.formatted.count("<|turn|>") * 8 <= 100
+
+
+def test_chat_empty(spark):
+    assert chat.digests(chat.windows(talk(spark, []))).collect() == []
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, shard int, length int, size string")
+
+
+def test_ring_is_balanced_and_gapless(spark):
+    rows = [(i, "t" * (i % 7), 1, 1, "x") for i in range(503)] + [(None, None, 1, 1, "x")] * 40 + [(3, "again", 1, 1, "x")] * 30
+    got = ring.assign_shards(docs(spark, rows), 8, vnodes=16, cell_bits=8).collect()
+    assert len(got) == len(rows)
+    counts = Counter(r.shard for r in got)
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 1
+    for shard in counts:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(counts[shard]))
+    assert all(r.text_crc32 == zlib.crc32(b"") and r.size == 16 for r in got if r.doc_id is None)
+    assert ring.assign_shards(docs(spark, []), 8).collect() == []
+    few = ring.assign_shards(docs(spark, rows[:3]), 8).collect()
+    assert Counter(r.shard for r in few) == {0: 1, 1: 1, 2: 1}
+
+
+def test_ring_moves_little_with_slack(spark):
+    rows = docs(spark, [(i, None, 1, 1, "x") for i in range(4000)])
+    a = {r.doc_id: r.shard for r in ring.assign_shards(rows, 10, slack=0.25).collect()}
+    b = {r.doc_id: r.shard for r in ring.assign_shards(rows, 11, slack=0.25).collect()}
+    assert max(Counter(a.values()).values()) <= 502
+    assert sum(a[k] != b[k] for k in a) < 0.35 * len(a)
+
+
+def test_ring_overflow_follows_the_ring():
+    nodes, capacity = [(2, 0), (5, 1), (9, 2)], [3, 3, 3]
+    plan = ring.deal({1: 5, 5: 3, 7: 1}, nodes, capacity)
+    placed = {(c, r): s for c, a, b, s, _ in plan for r in range(a, b)}
+    assert [placed[1, r] for r in range(5)] == [0, 0, 0, 2, 2]
+    assert [placed[5, r] for r in range(3)] == [1, 1, 1] and placed[7, 0] == 2
+
+
+def test_first_fit_decreasing_matches_plain_search():
+    import random
+
+    rng = random.Random(3)
+    lengths = sorted((rng.randint(1, 100) for _ in range(700)), reverse=True)
+    free, want = [100] * 700, []
+    for n in lengths:
+        k = next(i for i, f in enumerate(free) if f >= n)
+        want.append((k, 100 - free[k]))
+        free[k] -= n
+    assert packing.first_fit_decreasing(lengths, 100) == want
+
+
+@pytest.mark.parametrize("name,keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_word_encoder_is_exact(name, keeps):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary(name))
+    plain.encode_special_tokens = True
+    texts = NASTY + ["  two  spaces \n\n and\tlines \r\n x", "it's  we'll\n 's", "a\xa0 b\xa0\n\nc", " lead", "trail  ", "\n", "<|endoftext|> Ünïcode ßÉ 1234", "x\n\n\n  y"]
+    own = tokens.WordEncoder(vocabulary(name), keeps, cache_words=5)
+    for got, text in zip(own.encode(texts, 2, at_once=20), texts, strict=True):
+        assert np.frombuffer(got, own.dtype).tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_packing_is_whole(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    rows = [(i, f"word{i} " * (i * 7 % 90), 1, 1, "x") for i in range(120)] + [(None, None, 1, 1, "x"), (5, "twice", 1, 1, "x"), (5, "twice", 1, 1, "x"), (200, "long text " * 3000, 1, 1, "x")]
+    got = packing.pack(docs(spark, rows), vocabulary("word_bpe_49k.json"), length=256, group_bytes=20_000).collect()
+    by_sequence, by_doc = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert len(r.ids) == 4 * r.length
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.doc_id].append((r.start, r.ids))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 256
+    for doc, text in [(r[0], r[1]) for r in rows if r[0] != 5]:
+        ids = np.frombuffer(b"".join(x for _, x in sorted(by_doc[doc])), "<u4").tolist()
+        assert ids == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+    assert len(by_doc[5]) == 3
+    assert sum(n for p in by_sequence.values() for _, n in p) > 0.9 * 256 * len(by_sequence)
+    assert packing.pack(docs(spark, []), vocabulary("word_bpe_49k.json")).collect() == []
