@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, ring
+from . import attention, chat, divergence, langid, packing, ring
 from .common import table
 
 
@@ -37,6 +37,15 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+def op2_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = attention.fit(docs, labels.where(~attention.held_out()))
+    scored = attention.predict(docs, model)
+    return scored.select("doc_id", attention.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards under the law of rows: counts at most one apart."""
     dealt = ring.assign_shards(table(spark, sf_dir, "documents"), 40)
@@ -49,5 +58,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_ring": op3_ring, "op5_packing": op5_packing}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by counts and by their histograms' distance from those of the languages."""
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
+
+
+QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_attention": op2_attention,
+    "op3_ring": op3_ring,
+    "op5_packing": op5_packing,
+    "op7_langid": op7_langid,
+    "op10_divergence": op10_divergence,
+}
 ORACLE_SQL: dict[str, str] = {}
