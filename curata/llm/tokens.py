@@ -1,41 +1,41 @@
-"""Token ids of whole texts, word by word through a bounded cache.
+"""Token ids of whole texts, encoding each distinct word once.
 
 The public tokenizers spend most of their time on words that come again and again. Both families split a text before
-they merge, and no piece crosses the boundary between a word and the white space before it, so the ids of a text are
-those of its words in a row. Texts with white space outside ASCII take the tokenizer's plain path.
+they merge, and no piece crosses the boundary between a word and white space or between a letter and a full stop or
+comma, so the ids of a text are those of such parts in a row. Arrow splits a block of texts and finds its distinct
+parts, the tokenizer encodes those, and numpy puts the ids back in the order of the texts. Texts whose white space a
+tokenizer may group otherwise take the tokenizer's plain path.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-#: White space other than the six ASCII characters below; the tokenizers' own classes may group it with its neighbours.
-UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: A word with the space before it, or white space up to the character that the next word's piece begins after.
-SPACED = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?= [^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+(?=[ \t\n\r\x0b\x0c][^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-PLAIN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+import numpy as np
+
+#: White space other than the six ASCII characters, and the marks used below.
+UNUSUAL = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+#: For byte-level families: runs of white space that a split at single spaces and line ends would tear.
+RUNS = r"[ \t\n\r\x0b\x0c]{3}|[ \t\n\r\x0b\x0c]{2}$|[\t\n\r\x0b\x0c] |[ \t\r\x0b\x0c][\t\n\r\x0b\x0c]|\n[\t\n\r\x0b\x0c]|[\t\r\x0b\x0c]"
+STOP = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,])"
+LINE, CLOSE = "\x1e", "\x1f"
 
 
 class WordEncoder:
     """Encodes texts to little-endian ids. keeps_space: white space yields tokens of its own (byte-level families)."""
 
-    def __init__(self, path: str, keeps_space: bool, cache_words: int = 250_000):
-        import numpy as np
+    def __init__(self, path: str, keeps_space: bool, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 0x10000 else np.dtype("<u4")
-        self.split = (SPACED if keeps_space else PLAIN).findall
-        self.limit, self.cache = cache_words, {}
+        self.keeps_space, self.limit, self.cache = keeps_space, cache_words, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: Iterable[str | None], tail: int, at_once: int = 1_000_000) -> Iterable[bytes]:
+    def encode(self, texts: Iterable[str | None], tail: int, at_once: int = 2_000_000) -> Iterable[bytes]:
         """The ids of each text (null: none) and the id tail, as bytes, in order; works on about at_once characters at a time."""
         end, block, held = int(tail).to_bytes(self.dtype.itemsize, "little"), [], 0
         for text in texts:
@@ -48,15 +48,65 @@ class WordEncoder:
         yield from (x + end for x in self._block(block))
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        parts = [None if UNUSUAL.search(x) else self.split(x) for x in texts]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, f"{UNUSUAL}|{RUNS}" if self.keeps_space else UNUSUAL).to_numpy(zero_copy_only=False)
+        usual = whole.filter(pa.array(~odd))
+        if self.keeps_space:
+            marked = pc.replace_substring_regex(pc.replace_substring(usual, "\n", f" {LINE} "), STOP, rf"\1 {CLOSE}\2")
+            parts = pc.split_pattern(marked, " ")
+        else:
+            parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(usual), STOP, r"\1 \2"))
+        encoded = parts.values.dictionary_encode()
+        words, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        if self.keeps_space:
+            at, words = self._spaced(at, words, bounds)
+        ids, ends = self._gather(at, words)
+        size, out = self.dtype.itemsize, []
+        cuts, rest = iter(zip(ends[bounds[:-1]] * size, ends[bounds[1:]] * size, strict=True)), iter(self._ids([x for x, o in zip(texts, odd, strict=True) if o]))
+        raw = ids.tobytes()
+        for o in odd:
+            if o:
+                out.append(next(rest))
+            else:
+                a, b = next(cuts)
+                out.append(raw[a:b])
+        return out
+
+    @staticmethod
+    def _spaced(at: np.ndarray, words: list[str], bounds: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """Gives each part the space that split it off, but for the first of a text, and those behind a line end or a letter."""
+        line = np.array([w == LINE for w in words], dtype=bool)
+        joined = np.array([w == LINE or w[:1] == CLOSE for w in words], dtype=bool)
+        bare = joined[at] if len(at) else np.zeros(0, bool)
+        bare[1:] |= line[at[:-1]]
+        bare[bounds[:-1][bounds[:-1] < len(at)]] = True
+        key = 2 * at + ~bare
+        used = np.flatnonzero(np.bincount(key, minlength=2 * len(words)))
+        place = np.zeros(2 * len(words), np.int64)
+        place[used] = np.arange(len(used))
+        plain = ["\n" if w == LINE else w[1:] if w[:1] == CLOSE else w for w in words]
+        return place[key], [" " + plain[k // 2] if k % 2 else plain[k // 2] for k in used.tolist()]
+
+    def _gather(self, at: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts at, and where those of each part end (with a leading 0)."""
         known = self.cache
-        new = list(set().union(*(p for p in parts if p)) - known.keys())
-        if len(known) + len(new) > self.limit:  # the newest block and the words it uses stay
-            used = set().union(*(p for p in parts if p))
-            known = {w: known[w] for w in used & known.keys()}
-            self.cache = known
-        known.update(zip(new, self._ids(new), strict=True))
-        return [self._ids([x])[0] if p is None else b"".join(map(known.__getitem__, p)) for x, p in zip(texts, parts, strict=True)]
+        new = [w for w in words if w not in known]
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        ids = [known[w] if w in known else fresh[w] for w in words]
+        if len(known) < self.limit:
+            known.update(fresh)
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return flat[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])], ends
 
 
 _encoders: dict[tuple, WordEncoder] = {}
