@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, chat, divergence, langid, packing, ring
-from .common import table
+from . import attention, chat, decontam, divergence, langid, packing, ring, templates
+from .common import table, written
 
 
 def vocabulary(name: str) -> str:
@@ -21,7 +21,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.windows(turns))
+    return chat.digests(written(chat.windows(turns), "chat"))
 
 
 OP1_SQL = """
@@ -58,6 +58,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose templates recur."""
+    return templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -65,6 +70,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by counts and by their histograms' distance from those of the languages."""
     judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -76,7 +86,9 @@ QUERIES = {
     "op2_attention": op2_attention,
     "op3_ring": op3_ring,
     "op5_packing": op5_packing,
+    "op6_templates": op6_templates,
     "op7_langid": op7_langid,
+    "op8_decontam": op8_decontam,
     "op10_divergence": op10_divergence,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_templates": templates.sql(), "op8_decontam": decontam.sql()}

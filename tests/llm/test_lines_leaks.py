@@ -1,0 +1,87 @@
+import duckdb
+import pytest
+
+from curata.llm import decontam, templates
+
+DOCS = "doc_id long, text string, n_lines string, h string, line string, seed string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], DOCS)
+
+
+def compare(sql, rows, got, **tables):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    if rows:
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    for name, (ddl, values) in tables.items():
+        con.execute(f"CREATE TABLE {name}({ddl})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    want = con.execute(sql)
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got)
+
+
+def test_templates_drop_what_recurs(spark):
+    rows = [(i, f"own line number {i} stays right here for document w{'abcdef'[i]}\nPage {i} of 20 from the handbook\nshared line of more than five words\nshort one") for i in range(6)]
+    got = {r.doc_id: r for r in templates.drop_lines(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_dropped == 0 and got[0].seed == "x" and got[0].n_lines == 4
+    assert all("shared" not in got[i].text and "Page" not in got[i].text and got[i].text.endswith("short one") for i in range(1, 6))
+
+
+def test_templates_variable_words(spark):
+    rows = [(i, f"user {n} logged in from {p} at the front desk today") for i, (n, p) in enumerate(zip(["ann", "bob", "cy", "di"], ["oslo", "rome", "bonn", "lima"], strict=True))]
+    s = templates.Settings(depth=1, alike=0.7)
+    got = templates.drop_lines(frame(spark, rows), s).collect()
+    assert {r.doc_id: r.text for r in got} == {0: rows[0][1], 1: "", 2: "", 3: ""}
+    compare(templates.sql(s), rows, got)
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_templates_against_sql(spark, n):
+    words = ["a", "b", "the", "of", "x1", "42", "é"]
+    rows = [(i, "\n".join(" ".join(words[(i * j + k * k + j) % (3 + i % 5)] for k in range(3 + (i + j) % 6)) for j in range(12))) for i in range(n)]
+    rows += [(100, ""), (101, "\n\n \n"), (102, "  the of  a b the\t\n the of a b the")] if n else []
+    got = templates.drop_lines(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and (not n or any(r.n_dropped for r in got))
+    compare(templates.sql(), rows, got)
+
+
+def test_templates_edges(spark):
+    same = "this very line is in all of them"
+    rows = [(None, same), (None, same), (1, same), (1, same), (2, None), (3, same), (4, "x " * 30_000 + "\n" + same)]
+    got = templates.drop_lines(frame(spark, rows)).collect()
+    assert len(got) == 7
+    by = {(r.doc_id, r.n_dropped) for r in got}
+    assert by == {(None, 1), (1, 0), (2, 0), (3, 1), (4, 1)} and all(r.text is None for r in got if r.doc_id == 2)
+
+
+ITEM = "the quick brown fox jumps over a lazy dog while seven wizards quietly mix some very strong potion for their king"
+
+
+def bench(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_decontam_finds_substitutions(spark):
+    w = ITEM.split()
+    every5 = " ".join("zz" if k % 5 == 4 else x.upper() for k, x in enumerate(w))
+    every2 = " ".join("zz" if k % 2 else x for k, x in enumerate(w))
+    far = " ".join(f"q{k}" for k in range(20_000))
+    rows = [(1, f"{far}, {ITEM}! {far}"), (2, f"some words {every5} other words"), (3, every2), (4, " ".join(w[:9])), (5, far), (6, None), (7, ""), (None, ITEM), (8, ITEM), (8, ITEM), (9, "Tail: " + " ".join(w[4:]))]
+    items = [(10, ITEM), (11, ITEM), (12, "too short"), (13, None), (14, "one two three four five six seven eight")]
+    rows.append((15, "One two, three four five six seven eight."))
+    got = decontam.overlaps(frame(spark, rows), bench(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, 2, 8, 9, None) for i in (10, 11)} | {(15, 14)}
+    compare(decontam.sql(), [r for r in rows if r[0] is not None and r != (8, ITEM)], [r for r in got if r.doc_id not in (None, 8)], benchmark=("item_id BIGINT, text VARCHAR", items))
+
+
+def test_decontam_empty(spark):
+    assert decontam.overlaps(frame(spark, []), bench(spark, [(1, ITEM)])).collect() == []
+    assert decontam.overlaps(frame(spark, [(1, ITEM)]), bench(spark, [])).collect() == []
+
+
+def test_decontam_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert len(decontam.overlaps(frame(spark, [(1, ITEM), (2, "x")]), bench(spark, [(1, ITEM)])).collect()) == 1
