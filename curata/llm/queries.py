@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, chat, decontam, divergence, langid, packing, ring, templates
+from . import attention, chat, decontam, divergence, langid, packing, ring, templates, triejoin
 from .common import table, written
 
 
@@ -52,6 +52,11 @@ def op3_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_triejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their shingle sets and the component of near copies that they belong to."""
+    return triejoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids; the ids of each piece as their crc32."""
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -85,10 +90,11 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_attention": op2_attention,
     "op3_ring": op3_ring,
+    "op4_triejoin": op4_triejoin,
     "op5_packing": op5_packing,
     "op6_templates": op6_templates,
     "op7_langid": op7_langid,
     "op8_decontam": op8_decontam,
     "op10_divergence": op10_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op6_templates": templates.sql(), "op8_decontam": decontam.sql()}
+ORACLE_SQL: dict[str, str] = {"op4_triejoin": triejoin.sql(), "op6_templates": templates.sql(), "op8_decontam": decontam.sql()}
