@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, chat, decontam, divergence, langid, packing, ring, templates, triejoin
-from .common import table, written
+from . import attention, chat, decontam, divergence, langid, packing, rans, ring, templates, triejoin
+from .common import shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +80,13 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written to files and read back from them."""
+    path = shared_folder(spark, "rans")
+    rans.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return rans.read(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by counts and by their histograms' distance from those of the languages."""
     judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -95,6 +102,7 @@ QUERIES = {
     "op6_templates": op6_templates,
     "op7_langid": op7_langid,
     "op8_decontam": op8_decontam,
+    "op9_rans": op9_rans,
     "op10_divergence": op10_divergence,
 }
 ORACLE_SQL: dict[str, str] = {"op4_triejoin": triejoin.sql(), "op6_templates": templates.sql(), "op8_decontam": decontam.sql()}
