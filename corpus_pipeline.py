@@ -1,16 +1,68 @@
-"""From raw documents to packed sequences: stages that each work on what the one before has kept."""
+"""From raw documents to packed training sequences: stages that each work on all that the one before has kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curata.llm import decontam, langid, packing, templates, triejoin
+from curata.llm.common import table, written
+from curata.llm.queries import vocabulary
+
+#: A language named with less certainty than this counts as not recognised.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognisable language (no text, no letter, or no language certain enough)."""
+    model = langid.fit(docs)
+    named = langid.predict(docs, model)
+    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines whose templates recur in other documents, and the documents that consist of nothing else."""
+    rest = templates.drop_lines(docs)
+    rest = rest.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, that with the lowest doc_id; of rows that repeat a doc_id, one.
+    Documents without a doc_id can't be told apart and stay."""
+    found = triejoin.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    kept = written(kept.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that overlap an item of the benchmark."""
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 2048: one row per piece, with its ids."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near copies", near_copies), ("decontaminate", decontaminate), ("pack", pack)]
 
-STAGES: list = []
+#: The models and tokens of the first and last stage are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
