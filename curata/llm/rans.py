@@ -22,6 +22,8 @@ from .common import written
 
 #: Fixed values of the format: name, bits of a frequency, lower bound of a state, bits that leave a state at a time.
 MAGIC, PRECISION, LOW, WORD_BITS = b"RNS1", 22, 1 << 32, 32
+#: Segments whose starts, 24 bytes each, may be sent to all tasks.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -173,7 +175,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, partition_bytes:
 
     first = F.col("doc_id").asc_nulls_first()
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, first).sortWithinPartitions(first, "text")
-    return written(dealt.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, ids binary"), "ids")
+    return written(dealt.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, ids binary"), "ids", "zstd")
 
 
 def _array(raw: bytes, n: int) -> np.ndarray:
@@ -264,5 +266,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends, n, raw = np.cumsum(lengths), len(lengths), ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([place] * n, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array([raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())], ["part", "first_place", "doc_id", "in_segment", "ids"])
 
+    # One narrow row per segment; if even those are many, decoded rows meet them by a shuffle.
+    starts = F.broadcast(starts) if segments.count() <= BROADCAST_ROWS else starts
     found = segments.select("part", "first_place", "data").mapInArrow(decode, "part int, first_place long, doc_id long, in_segment long, ids binary")
     return found.join(starts, ["part", "first_place"]).select("doc_id", (F.col("begin") + F.col("in_segment")).alias("start"), "ids")

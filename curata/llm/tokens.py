@@ -9,6 +9,7 @@ tokenizer may group otherwise take the tokenizer's plain path.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,7 +25,7 @@ LINE, CLOSE = "\x1e", "\x1f"
 class WordEncoder:
     """Encodes texts to little-endian ids. keeps_space: white space yields tokens of its own (byte-level families)."""
 
-    def __init__(self, path: str, keeps_space: bool, cache_words: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, cache_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,7 +34,8 @@ class WordEncoder:
         self.keeps_space, self.limit, self.cache = keeps_space, cache_words, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str | None], tail: int, at_once: int = 2_000_000) -> Iterable[bytes]:
         """The ids of each text (null: none) and the id tail, as bytes, in order; works on about at_once characters at a time."""

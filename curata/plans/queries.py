@@ -491,3 +491,20 @@ def jitter(spark, sf_dir):
 def row_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return ranking.positions(rows, [], ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 4096), "position")
+
+
+@query()
+def ml_random_forest(spark, sf_dir):
+    from ..operators import training
+
+    rows = table(spark, sf_dir, "embeddings")
+    return training.apply(training.forest(rows, "embedding", "label"), rows, "embedding").select("vec_id", "label", "prediction")
+
+
+@query()
+def mlp_forward(spark, sf_dir):
+    from ..operators import pictures
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", landmarks.features(landmarks.points_of(F.col("embedding")), F.lit("right")).alias("features"))
+    out = pictures.feature_logits(rows, "features", pictures.Mlp())
+    return out.select("vec_id", vectors.argmax(F.col("logits")).alias("prediction"))
