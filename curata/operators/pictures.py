@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pixels
 
@@ -32,7 +33,7 @@ def array_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 def map_pictures(rows: DataFrame, make, column: str, kind: str) -> DataFrame:
     """rows without data, with column = make(RGB array, row)."""
     kept = [c for c in rows.columns if c != "data" and c != column]
-    schema = rows.select(*kept).schema.add(column, kind)
+    schema = T.StructType([*rows.select(*kept).schema.fields, *T.StructType.fromDDL(f"{column} {kind}").fields])
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -43,7 +44,7 @@ def map_pictures(rows: DataFrame, make, column: str, kind: str) -> DataFrame:
 
 
 def with_dhash(rows: DataFrame) -> DataFrame:
-    return map_pictures(rows, lambda x, _: pixels.dhash(x), "dhash", "bigint")
+    return map_pictures(rows, lambda x, _: pixels.dhash(x), "dhash", "long")
 
 
 def with_quality(rows: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def feature_logits(rows: DataFrame, features: str, model: Mlp) -> DataFrame:
     """rows with the logits of their feature arrays; null features stay null."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    schema = rows.drop("logits").schema.add("logits", "array<double>")
+    schema = T.StructType([*rows.drop("logits").schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
