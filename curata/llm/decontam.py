@@ -11,6 +11,8 @@ from .common import written
 
 #: Benchmark seeds, 24 bytes each, that may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
+#: Hits, 32 bytes each, whose documents may be sent to all tasks; more are joined by a shuffle of the texts.
+BROADCAST_HITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -70,12 +72,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     places = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), F.greatest(F.lit(0), F.col("item_pos") - s.lead).alias("begin")).count().drop("count")
     places = written(places, "hits")
 
-    wanted = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "begin")).alias("places"))
+    few = F.broadcast if places.count() <= BROADCAST_HITS else (lambda rows: rows)
+    wanted = places.groupBy(F.col("doc_id").alias("w_doc"), "item_id").agg(F.collect_list(F.struct("shift", "begin")).alias("places"))
     theirs = items.select("item_id", F.col("h").alias("item_h"))
-    wanted = wanted.join(F.broadcast(theirs) if small else theirs, "item_id").select(F.col("doc_id").alias("w_doc"), "item_id", "item_h", "places")
     ids = places.select(F.col("doc_id").alias("w_doc")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("doc_id", word_hashes(F.col("text")).alias("h"))
-    both = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("doc_id", "item_id", "h", "item_h", F.explode("places").alias("place"))
+    texts = docs.select("doc_id", "text").join(few(ids), F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("doc_id", word_hashes(F.col("text")).alias("h"))
+    both = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("w_doc"))).join(F.broadcast(theirs) if small else theirs, "item_id")
+    both = both.select("doc_id", "item_id", "h", "item_h", F.explode("places").alias("place"))
     size = F.least(F.lit(s.around), F.size("item_h"))
     begin = F.greatest(F.lit(0), F.least(F.col("place.begin"), F.size("item_h") - size))
     both = both.select("doc_id", "item_id", (F.col("place.shift") + begin).alias("doc_start"), size.alias("n_compared"), F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda n, i: n + F.when((F.col("place.shift") + begin + i >= 0) & (F.get("h", F.greatest(F.lit(0), F.col("place.shift") + begin + i)) == F.get("item_h", begin + i)), 1).otherwise(0)).alias("n_equal"))

@@ -84,4 +84,5 @@ def test_decontam_empty(spark):
 
 def test_decontam_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_HITS", 0)
     assert len(decontam.overlaps(frame(spark, [(1, ITEM), (2, "x")]), bench(spark, [(1, ITEM)])).collect()) == 1
