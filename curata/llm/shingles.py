@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 5
 #: Slots of the table that tells common shingles from rare ones: a fixed size, whatever the corpus.
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

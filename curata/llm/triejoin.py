@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,43 +14,54 @@ from pyspark.sql import functions as F
 from . import shingles as sh
 from .common import written
 
-CHUNK = 1 << 14
+#: Sketch slots that travel in one row.
+CHUNK = 1 << 17
 #: Rows of 8 or 16 bytes that may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: Jaccard similarity of linked sets; block: sets that one task holds at a time."""
+    """percent: Jaccard similarity of linked sets; block: sets with one element, and part_bytes: bytes of sets of one
+    group, that one task holds at a time."""
 
     percent: int = 80
     block: int = 512
+    part_bytes: int = 16 << 20
 
 
 def classes_of(docs: DataFrame) -> np.ndarray:
     """How common the shingles of each sketch slot are, on a scale of logarithms: a table of fixed size, over all docs."""
 
     def count(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         seen = np.zeros(1 << sh.SKETCH_BITS, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(seen, (sh.shingles(text) >> np.uint64(64 - sh.SKETCH_BITS)).astype(np.int64), 1)
-        import pyarrow as pa
-
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"chunk": np.arange(len(seen) // CHUNK, dtype=np.int32), "counts": [seen[i : i + CHUNK].tobytes() for i in range(0, len(seen), CHUNK)]}), preserve_index=False)
+                # Distinct shingles of one text may share a slot; bincount on the few distinct slots keeps this exact.
+                slots, times = np.unique((sh.shingles(text) >> np.uint64(64 - sh.SKETCH_BITS)).astype(np.int64), return_counts=True)
+                seen[slots] += times.astype(np.uint32)
+        for k in range(len(seen) // CHUNK):
+            own = seen[k * CHUNK : (k + 1) * CHUNK]
+            if own.any():
+                planes = np.concatenate([(own >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     def add(group):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in group["counts"])
+        total = np.zeros(CHUNK, np.int64)
+        for raw in group["counts"]:
+            planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, CHUNK).astype(np.int64)
+            total += sum(planes[i] << (8 * i) for i in range(4))
         return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "classes": [np.minimum(127, 4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, classes binary").toPandas().sort_values("chunk")
-    if not len(parts):
-        return np.zeros(1 << sh.SKETCH_BITS, np.uint8)
-    return np.frombuffer(b"".join(parts["classes"]), np.uint8)
+    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, classes binary").toPandas()
+    out = np.zeros(1 << sh.SKETCH_BITS, np.uint8)
+    for k, own in zip(parts["chunk"], parts["classes"], strict=True):
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(own, np.uint8)
+    return out
 
 
 def node_of(keys: np.ndarray) -> int:
@@ -125,7 +138,7 @@ class SetTrie:
             (part, end, least, most, rest, ends, children), shared, reached = work.pop()
             if 100 * most < self.percent * size or 100 * size < self.percent * least:
                 continue
-            if len(part):
+            if len(part) and len(probe):
                 at = np.searchsorted(probe, part)
                 hit = probe[np.minimum(at, len(probe) - 1)] == part
                 shared += int(hit.sum())
@@ -146,30 +159,66 @@ def links_of_block(hub: tuple[int, int, np.ndarray], others: list[tuple[int, int
     return [(node, others[k][0]) for k, shared in trie.overlaps(keys, size, size) if sh.alike(shared, size, others[k][1], percent)]
 
 
-def candidates_of_token(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs that may be similar and whose first shared prefix element is the token both lists are about.
+def links_of_group(rows: list[tuple], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all similar sets of different components whose first common prefix element is among theirs.
 
-    Entries: (node, size, position of the token, component, prefix). Pairs of one component are left out. right: None
-    compares left with itself.
+    rows: (node, component, whole set as rising keys, the elements to look at). sides: only rows of different sides
+    are compared. For each element, what follows it in the prefixes makes a trie, which the sets that have the element
+    traverse; whole sets decide. Sets that links found so far connect are not compared again, nor is a pair twice.
     """
-    members = left if right is None else right
-    if right is None:
-        labels = [m[3] for m in members]
-        largest = max(sorted(set(labels)), key=labels.count)
-        left = [m for m in members if m[3] != largest]
-    if not left or not members:
-        return []
-    trie = SetTrie([m[4][m[2] :] for m in members], [m[1] for m in members], [m[1] - m[2] for m in members], percent)
-    out = []
-    for node, size, at, label, keys in left:
-        for k, shared in trie.overlaps(keys[at:], size, size - at):
-            other, n, pos, its, theirs = members[k]
-            if its == label or (right is None and its != largest and node > other):
-                continue
-            last = min(keys[-1], theirs[-1])
-            rest = min(size - np.searchsorted(keys, last, "right"), n - np.searchsorted(theirs, last, "right"))
-            if shared + rest >= sh.least_overlap(size, n, percent) and not len(np.intersect1d(keys[:at], theirs[:pos])):
-                out.append((node, other))
+    root = {r[1]: r[1] for r in rows}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    holders: dict[int, list[int]] = {}
+    for k, r in enumerate(rows):
+        for element in r[3]:
+            holders.setdefault(int(element), []).append(k)
+    heads = [r[2][: sh.prefix(len(r[2]), percent)] for r in rows]
+    tried, out = set(), []
+    for element in sorted(holders):
+        own = holders[element]
+        roots = [find(rows[k][1]) for k in own]
+        if len(set(roots)) < 2:
+            continue
+        largest = max(sorted(set(roots)), key=roots.count)
+        probes = own if sides else [k for k, r in zip(own, roots, strict=True) if r != largest]
+        at = {k: int(np.searchsorted(rows[k][2], element)) for k in own}
+        sizes = [len(rows[k][2]) for k in own]
+        if len(own) > 3:
+            trie = SetTrie([heads[k][at[k] :] for k in own], sizes, [n - at[k] for k, n in zip(own, sizes, strict=True)], percent)
+        for k in probes:
+            node, label, keys, _ = rows[k]
+            size = len(keys)
+            if len(own) > 3:
+                found = sorted(trie.overlaps(heads[k][at[k] :], size, size - at[k]), key=lambda x: -x[1])
+            else:  # a trie of two or three would share nothing
+                found = [(m, None) for m in range(len(own))]
+            for m, shared in found:
+                other = own[m]
+                if other == k or (sides and sides[other] == sides[k]) or find(rows[other][1]) == find(label):
+                    continue
+                pair = (min(k, other), max(k, other))
+                theirs = rows[other][2]
+                need = sh.least_overlap(size, len(theirs), percent)
+                if pair in tried or min(size, len(theirs)) < need:
+                    continue
+                if shared is None:
+                    most = min(size - at[k], len(theirs) - at[other])
+                else:
+                    last = min(heads[k][-1], heads[other][-1])
+                    most = shared + min(size - np.searchsorted(keys, last, "right"), len(theirs) - np.searchsorted(theirs, last, "right"))
+                if most < need:
+                    continue
+                tried.add(pair)
+                if sh.alike(len(np.intersect1d(keys, theirs, assume_unique=True)), size, len(theirs), percent):
+                    out.append((node, rows[other][0]))
+                    root[find(rows[other][1])] = find(label)
+            if len({find(rows[m][1]) for m in own}) == 1:
+                break
     return out
 
 
@@ -251,30 +300,37 @@ def similar_links(docs: DataFrame, known: DataFrame, classes, s: Settings) -> Da
     links = written(verified(stars, sets, s), "links")
 
     labels = components(links)
-    apart = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_tokens = apart.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", F.ceil(F.col("members") / s.block).cast("int").alias("blocks"))
-    apart = apart.join(open_tokens, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each member meets its own block and every other one: with k blocks it is in k pairs of them.
-    met = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "label")
-    heads = known.where(F.col("prefix").isNotNull()).select("node", "prefix").dropDuplicates(["node"])
-    met = met.join(heads, "node")
+    apart = shared.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    # Only sets of like size can be similar: with sizes on a logarithmic scale they share one of two steps.
+    step = F.floor(F.log(F.col("n")) / math.log(100 / s.percent + 1e-9))
+    sized = apart.withColumn("step", F.explode(F.array(step, step + 1)))
+    meets = sized.groupBy("token", "step").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("some_node"), F.count("*").alias("members")).where("low <> high").drop("low", "high")
+    apart = written(sized.join(_few(written(meets, "open")), ["token", "step"]), "apart")
+    # Sets that share elements, over any number of steps, are one group; what a task holds of it is bounded in bytes.
+    # A set goes to as many parts of its group as its open elements lie in, not to every element's own task.
+    groups = components(apart.select(F.col("node").alias("a"), F.col("some_node").alias("b"))).select("node", F.col("label").alias("group"))
+    sizes = apart.select("node", "n").distinct().join(groups, "node").groupBy("group").agg(F.ceil(8 * F.sum("n") / s.part_bytes).cast("int").alias("parts"))
+    met = apart.join(groups, "node").join(sizes, "group")
+    none = F.lit(-1)
+    some = met.where(F.col("members") <= s.block).groupBy("group", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"), "node", "label").agg(F.collect_set("token").alias("tokens"))
+    some = some.select("group", "part", none.alias("i"), none.alias("j"), none.alias("own"), "node", "label", "tokens")
+    # An element of more sets than a block has tasks of its own, one for each pair of blocks.
+    hot = met.where(F.col("members") > s.block).groupBy("group", "token", "node", "label").agg(F.max("members").alias("members"))
+    hot = hot.join(hot.groupBy("token").agg(F.max("members").alias("most")), "token").drop("members").withColumnRenamed("most", "members")
+    hot = hot.withColumn("blocks", F.ceil(F.col("members") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.col("token").alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", F.array("token").alias("tokens"))
+    met = written(some.unionByName(hot), "met")
+    sets = written(sets_of(docs, known, met.select("node"), classes), "sets")
 
     def compare(group):
         import pandas as pd
 
-        rows = [(int(a), int(n), int(p), int(x), np.asarray(k, np.int64)) for a, n, p, x, k in zip(group["node"], group["n"], group["pos"], group["label"], group["prefix"], strict=True)]
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        if i == j:
-            found = candidates_of_token(rows, None, s.percent)
-        else:
-            mine = (group["own"] == i).tolist()
-            found = candidates_of_token([r for r, m in zip(rows, mine, strict=True) if m], [r for r, m in zip(rows, mine, strict=True) if not m], s.percent)
-        return pd.DataFrame(found, columns=["hub", "node"], dtype="int64")
-
-    more = written(met.groupBy("token", "i", "j").applyInPandas(compare, "hub long, node long"), "candidates")
-    sets = written(sets_of(docs, known, more.select("node").union(more.select("hub")), classes), "sets")
-    return links.unionByName(verified(more, sets, s))
+        rows = [(int(a), int(x), np.frombuffer(k, np.int64), t) for a, x, k, t in zip(group["node"], group["label"], group["keys"], group["tokens"], strict=True)]
+        sides = group["own"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else None
+        return pd.DataFrame(links_of_group(rows, sides, s.percent), columns=["a", "b"], dtype="int64")
+
+    more = met.join(sets.select("node", "keys"), "node").groupBy("group", "part", "i", "j").applyInPandas(compare, "a long, b long")
+    return written(links.unionByName(more), "all-links")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
