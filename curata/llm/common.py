@@ -35,9 +35,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later reads survive lost executors and repeat no work."""
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: later reads survive lost executors and repeat no work.
+
+    zstd packs better, but its writers hold native memory until the JVM collects them, so it is for large tables only.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,8 +29,12 @@ class Settings:
 
 def normal(line: Column) -> Column:
     """line with single spaces, none at its ends, and every token that holds a digit as <*>."""
-    spaced = F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
+    # Most lines need no change, and looking for fixed strings is far cheaper than a pattern.
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for x in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(x))
+    spaced = F.when(odd, F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
 
 
 def _tokens(line: Column) -> Column:
@@ -44,10 +48,12 @@ def _doc(doc_id: str = "doc_id") -> Column:
 
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
     """The lines of docs with at least least_tokens: doc, text_hash, line_no, leaf, template (a hash), line."""
-    split = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    found = split.withColumn("line", normal(F.col("line"))).withColumn("n", _tokens(F.col("line"))).where((F.col("n") >= s.least_tokens) & (F.col("line") != ""))
-    leaf = F.xxhash64("n", F.substring_index("line", " ", s.depth))
-    return found.select("doc", "text_hash", "line_no", leaf.alias("leaf"), F.xxhash64("line").alias("template"), "line")
+    leaf = lambda line, n: F.xxhash64(n, F.substring_index(line, " ", s.depth))
+    # Inside the array each line is normalised once; behind an explode, filters would repeat the work.
+    told = F.transform(F.transform(F.split("text", "\n", -1), normal), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
+    split = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(told).alias("line_no", "told")).select("doc", "text_hash", "line_no", "told.line", "told.n")
+    found = split.where((F.col("n") >= s.least_tokens) & (F.col("line") != ""))
+    return found.select("doc", "text_hash", "line_no", leaf(F.col("line"), F.col("n")).alias("leaf"), F.xxhash64("line").alias("template"), "line")
 
 
 def recurring(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
