@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Where the table of live leaves, 8 bytes each, may be sent to all tasks; larger ones are joined by a shuffle.
+#: Rows of up to 24 bytes that may be sent to all tasks; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 SPACE = r"[ \t\x0B\f\r]+"
 
@@ -47,27 +47,34 @@ def _doc(doc_id: str = "doc_id") -> Column:
 
 
 def lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """The lines of docs with at least least_tokens: doc, text_hash, line_no, leaf, template (a hash), line."""
-    leaf = lambda line, n: F.xxhash64(n, F.substring_index(line, " ", s.depth))
-    # Inside the array each line is normalised once; behind an explode, filters would repeat the work.
-    told = F.transform(F.transform(F.split("text", "\n", -1), normal), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
-    split = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(told).alias("line_no", "told")).select("doc", "text_hash", "line_no", "told.line", "told.n")
-    found = split.where((F.col("n") >= s.least_tokens) & (F.col("line") != ""))
-    return found.select("doc", "text_hash", "line_no", leaf(F.col("line"), F.col("n")).alias("leaf"), F.xxhash64("line").alias("template"), "line")
+    """The lines of docs: doc, text_hash, line_no, leaf (null below least_tokens), template (a hash), line."""
+    split = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    told = split.select("doc", "text_hash", "line_no", normal(F.col("raw")).alias("line")).withColumn("n", _tokens(F.col("line")))
+    leaf = F.when((F.col("n") >= s.least_tokens) & (F.col("line") != ""), F.xxhash64("n", F.substring_index("line", " ", s.depth)))
+    return told.select("doc", "text_hash", "line_no", leaf.alias("leaf"), F.xxhash64("line").alias("template"), "line")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if they are few enough; else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def recurring(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """The lines of docs (without their texts), and the templates that recur: template, first_doc."""
-    found = written(lines(docs, s).drop("line"), "lines")
+    # Lines without a leaf go behind the written table: a filter before it would normalise every line twice.
+    found = written(lines(docs, s).drop("line"), "lines").where(F.col("leaf").isNotNull())
     by_doc = found.groupBy("leaf", "template", "doc").count().select("leaf", "template", "doc")
     exact = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc"))
     exact = written(exact, "templates")
 
     # Leaves where several lines may generalise: at least two that differ, in enough documents together.
     live = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where((F.col("lines") > 1) & (F.col("docs") >= s.least_docs)).select("leaf")
-    few = live.count() <= BROADCAST_ROWS
-    said = lines(docs, s).select("leaf", "template", "line").join(F.broadcast(live) if few else live, "leaf").dropDuplicates(["leaf", "template"])
-    said = written(said.join(exact, ["leaf", "template"]).select("leaf", "template", "line", "docs"), "leaves")
+    wanted = written(exact.join(_few(written(live, "live")), "leaf"), "wanted")
+    # The words of a template come from the first document that has it, so few texts are split again.
+    homes = written(wanted.select(F.col("first_doc").alias("home")).distinct(), "homes")
+    said = lines(docs.join(_few(homes), _doc() == F.col("home"), "left_semi"), s).select("leaf", "template", "line")
+    said = said.join(_few(wanted.select("leaf", "template", "docs")), ["leaf", "template"]).dropDuplicates(["leaf", "template"])
+    said = written(said.select("leaf", "template", "line", "docs"), "leaves")
     places = said.select("leaf", "template", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     votes = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"), F.count("*").alias("lines"))
     top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("total"))
@@ -94,7 +101,7 @@ def drop_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     s = settings
     found, templates = recurring(docs.select("doc_id", "text"), s)
-    out = found.join(templates, "template").where(F.col("doc") != F.col("first_doc"))
+    out = found.join(_few(written(templates, "recurring")), "template").where(F.col("doc") != F.col("first_doc"))
     out = out.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("dropped_lines"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d = docs.select(*kept, _doc().alias("__doc"), F.xxhash64("text").alias("__hash"))
@@ -103,7 +110,7 @@ def drop_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
     whole = F.col("dropped_lines").isNull()
     columns = [F.when(whole, F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in kept]
-    return d.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.when(whole, 0).otherwise(F.size("dropped_lines")).cast("long").alias("n_dropped"))
+    return d.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.when(whole, 0).otherwise(F.size("dropped_lines")).cast("long").alias("n_dropped"))
 
 
 def sql(s: Settings = Settings()) -> str:
