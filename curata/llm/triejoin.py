@@ -132,7 +132,10 @@ class SetTrie:
         return root[0]
 
     def overlaps(self, probe: np.ndarray, size: int, left: int) -> Iterator[tuple[int, int]]:
-        """(number, shared elements) of the sequences that can still reach the similarity with the probe's set."""
+        """(number, shared elements) of the sequences that can still reach the similarity with the probe's set.
+
+        probe: all that the set has from where the sequences begin. With its head alone, what the sequences share with
+        its tail would count neither as shared nor as still to come, and true links would be pruned."""
         work = [(self.root, 0, 0)]
         while work:
             (part, end, least, most, rest, ends, children), shared, reached = work.pop()
@@ -194,7 +197,7 @@ def links_of_group(rows: list[tuple], sides: list[int] | None, percent: int) ->
             node, label, keys, _ = rows[k]
             size = len(keys)
             if len(own) > 3:
-                found = sorted(trie.overlaps(heads[k][at[k] :], size, size - at[k]), key=lambda x: -x[1])
+                found = sorted(trie.overlaps(keys[at[k] :], size, size - at[k]), key=lambda x: -x[1])
             else:  # a trie of two or three would share nothing
                 found = [(m, None) for m in range(len(own))]
             for m, shared in found:
@@ -209,7 +212,7 @@ def links_of_group(rows: list[tuple], sides: list[int] | None, percent: int) ->
                 if shared is None:
                     most = min(size - at[k], len(theirs) - at[other])
                 else:
-                    last = min(heads[k][-1], heads[other][-1])
+                    last = heads[other][-1]
                     most = shared + min(size - np.searchsorted(keys, last, "right"), len(theirs) - np.searchsorted(theirs, last, "right"))
                 if most < need:
                     continue

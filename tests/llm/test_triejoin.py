@@ -108,6 +108,27 @@ def test_trie_overlaps_are_exact():
                 assert got[k] == o
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_lengthened_copies_join_a_linked_group(seed):
+    """A set with 8 to 25 % rare elements put first, beside a linked group of copies, which is never probed from."""
+    rng = np.random.default_rng(seed)
+    for n in [10, 11, 16, 20, 40, 100, 101, 250]:
+        base = np.unique(rng.integers(10**6, 2 * 10**6, n))
+        near = [base] + [np.unique(np.append(np.delete(base, k), 10**7 + k)) for k in range(int(rng.integers(3, 6)))]
+        longer = [np.unique(np.append(rng.integers(0, 10**6, max(1, len(base) * share // 100)), base)) for share in (8, 10, 15, 20, 25)]
+        rows = [(k, 0 if k < len(near) else k, x, x[: sh.prefix(len(x), 80)]) for k, x in enumerate(near + longer)]
+        label = {r[0]: r[1] for r in rows}
+        want = dict(label)
+        for a, _, x, _ in rows:
+            for b, _, y, _ in rows:
+                if want[a] != want[b] and sh.alike(len(np.intersect1d(x, y)), len(x), len(y), 80):
+                    want = {k: want[a] if v == want[b] else v for k, v in want.items()}
+        for a, b in tj.links_of_group(rows, None, 80):
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        groups = lambda of: {frozenset(k for k in of if of[k] == v) for v in of.values()}
+        assert groups(label) == groups(want), n
+
+
 def test_shingles_follow_the_words():
     for text in ["A b\tc d e F", "a", "", None, "a b c d", "x y x y x y x y", "é è ü word"]:
         assert len(sh.shingles(text)) == len(plain_set(text))
