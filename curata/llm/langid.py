@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import charcodes
 from .arrow import by_text
-from .sampling import bounded, id_remainder
+from .sampling import bounded_by, id_remainder
 
 UNDETERMINED = "und"
 
@@ -126,7 +126,8 @@ class Model:
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Learns from docs (doc_id, text, lang) with a text and a lang. Document frequencies count all of them; the weights
-    and the temperature come from a sample of at most about settings.sample rows, one in five for the temperature."""
+    and the temperature come from a sample of at most about settings.sample rows, one in five for the temperature; every
+    language has its quota of them, so a rare one is learned from a large table too."""
     s = settings
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, n = document_frequencies(usable, s.features)
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
                     rows.append((lang, at.astype("<u4").tobytes(), counts[at].astype("<u4").tobytes()))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object), "lang": [r[0] for r in rows], "slots": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
-    got = bounded(usable, "doc_id", s.sample, s.seed).mapInPandas(sparse, "doc_id long, lang string, slots binary, counts binary").toPandas()
+    got = bounded_by(usable, "doc_id", "lang", s.sample, s.seed).mapInPandas(sparse, "doc_id long, lang string, slots binary, counts binary").toPandas()
     got = got.sort_values(["doc_id", "slots", "counts"], kind="stable")
     labels = sorted(set(got["lang"]))
     y = np.array([labels.index(x) for x in got["lang"]])

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from curata.llm import attention, charcodes, divergence, langid
+from curata.llm import attention, charcodes, divergence, langid, sampling
 from curata.llm.queries import op2_attention, op7_langid
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +35,19 @@ def test_language_edges(spark):
     assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "abc", "en")]), none).collect()] == ["und"]
 
 
+def test_rare_language_and_repeated_ids_are_sampled(spark):
+    """60 texts of a language among 6,000 others, and a doc_id of most rows: the sample loses neither."""
+    rows = [(i, f"the of and to in it {i}", "en") for i in range(6000)] + [(10_000 + i, f"der die und das ist ein {i}", "de") for i in range(60)]
+    rows += [(-1, f"the of and for {i}", "en") for i in range(12_000)]
+    docs = frame(spark, rows)
+    s = langid.Settings(sample=200)
+    assert langid.fit(docs, s).labels == ["de", "en"]
+    taken = sampling.bounded_by(docs, "doc_id", "lang", 200, s.seed).groupBy("lang").count().collect()
+    taken = {r["lang"]: r["count"] for r in taken}
+    assert 30 <= taken["de"] <= 60 and 100 <= taken["en"] <= 190
+    assert sampling.quotas([10, 5], 20) == [10, 5] and sum(sampling.quotas([10**6, 40, 10**5], 600)) == pytest.approx(600) and sampling.quotas([10**6, 40, 10**5], 600)[1] == 40
+
+
 def test_proximal_update_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
