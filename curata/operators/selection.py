@@ -56,6 +56,8 @@ def complete_runs(history: DataFrame, metadata: DataFrame, run: str, epoch: str
 
 
 def markdown(runs: DataFrame, columns: Sequence[str]) -> str:
-    """A ranking as a table of text; for a handful of rows that are ready to be read."""
-    rows = [[str(r[c]) for c in columns] for r in runs.select(*columns).limit(1000).collect()]
+    """A ranking as a table of text; for a handful of rows that are ready to be read, more than 1,000 are an error."""
+    rows = [[str(r[c]) for c in columns] for r in runs.select(*columns).limit(1001).collect()]
+    if len(rows) > 1000:
+        raise ValueError("more than 1,000 runs for one table of text")
     return "\n".join("| " + " | ".join(r) + " |" for r in [list(columns), ["---"] * len(columns), *rows])

@@ -42,13 +42,13 @@ def class_roots(found: DataFrame, labels: Sequence[str] = validate.LABELS) -> Da
 
 def choose_roots(roots: DataFrame) -> dict[str, str]:
     """{'pooled': root} for a single root, else one root each for train, test and, if there is one, validation."""
-    rows = [(r.class_root, r.role) for r in roots.orderBy(F.lower("class_root"), "class_root").limit(100).collect()]
-    if len(rows) == 1:
-        return {"pooled": rows[0][0]}
-    by = {role: [root for root, x in rows if x == role] for role in ("train", "validation", "test")}
-    if len(by["train"]) != 1 or len(by["test"]) != 1 or len(by["validation"]) > 1:
-        raise LayoutError(f"cannot tell the splits of {[r for r, _ in rows]}")
-    return {role: own[0] for role, own in by.items() if own}
+    by = {r.role: r for r in roots.groupBy("role").agg(F.count("*").alias("n"), F.min("class_root").alias("root")).collect()}  # one row for each role
+    n = {role: r.n for role, r in by.items()}
+    if sum(n.values()) == 1:
+        return {"pooled": next(iter(by.values())).root}
+    if n.get("train") != 1 or n.get("test") != 1 or n.get("validation", 0) > 1:
+        raise LayoutError(f"cannot tell the splits of these roots: {n}")
+    return {role: by[role].root for role in ("train", "validation", "test") if role in by}
 
 
 def fingerprinted(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curata.functions import pixels
-from curata.operators import pictures, validate
+from curata.operators import pictures, selection, validate
 from curata.sources import manifest
 from curata.streaming import ingest
 
@@ -76,3 +76,19 @@ def test_stream_drops_copies_and_resumes(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         ingest.append_to(ingest.fresh(stream, "sha", "ts"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_roots_behind_the_first_hundred_count(spark):
+    roots = [(f"a{k:03}", None) for k in range(150)] + [("x/train", "train"), ("y/test", "test")]
+    frame = lambda rows: spark.createDataFrame(rows, "class_root string, role string")
+    assert manifest.choose_roots(frame(roots)) == {"train": "x/train", "test": "y/test"}
+    with pytest.raises(manifest.LayoutError):
+        manifest.choose_roots(frame([("a/train", "train"), ("b/test", "test"), *roots]))
+    with pytest.raises(manifest.LayoutError):
+        manifest.choose_roots(frame([]))
+
+
+def test_markdown_refuses_what_it_would_cut(spark):
+    assert selection.markdown(spark.range(1000), ["id"]).count("\n") == 1001
+    with pytest.raises(ValueError):
+        selection.markdown(spark.range(1001), ["id"])
