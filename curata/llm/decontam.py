@@ -47,6 +47,18 @@ def seeds(rows: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     return out
 
 
+def short_seeds(rows: DataFrame, key: str, lengths: list[int], whole: bool) -> DataFrame:
+    """key, pos and seed of the windows of each length, or of the rows that are exactly as long (whole)."""
+    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
+
+    def of(n: int) -> Column:
+        last = F.when(F.size("h") == n, 0) if whole else F.when(F.size("h") >= n, F.size("h") - n)
+        places = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-n), *(F.get("h", i + k) for k in range(n))).alias("seed")))
+        return F.coalesce(places, none)
+
+    return rows.select(key, F.inline(F.concat(*map(of, lengths))))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Where docs (doc_id, text) repeat items of benchmark (item_id, text), substitutions allowed.
 
@@ -56,18 +68,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     doc_id, item_id, n_equal, n_compared (of the best stretch), doc_start (the document's word where it begins; negative
     if the item's stretch begins before the text), n_places (alignments that counted).
 
-    Seeds of an item that several items share are compared for each. Items with fewer words than the shortest mask have
-    no seed and are never found. Null and empty texts match nothing; a null doc_id is a document of its own and rows that
+    Seeds of an item that several items share are compared for each. Items with fewer words than the shortest mask are
+    met by all of their words and found where these stand in a row. Null and empty texts match nothing; a null doc_id is a document of its own and rows that
     repeat a doc_id count together; an empty table on either side gives no rows.
     """
     s = settings
     items = written(benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0), "items")
-    probes = seeds(items, "item_id", s.masks).select("item_id", F.col("pos").alias("item_pos"), "seed")
+    shortest = min(map(len, s.masks))
+    lengths = sorted(r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < shortest).distinct().collect())
+
+    def all_seeds(rows: DataFrame, key: str, whole: bool) -> DataFrame:
+        out = seeds(rows, key, s.masks)
+        return out.unionByName(short_seeds(rows, key, lengths, whole)) if lengths else out
+
+    probes = all_seeds(items, "item_id", True).select("item_id", F.col("pos").alias("item_pos"), "seed")
     small = probes.count() <= BROADCAST_SEEDS
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
     sought = probes.select("seed").distinct()
     # The distinct seeds are met first, so that a seed of many items multiplies only what it has hit.
-    hit = seeds(hashed, "doc_id", s.masks).join(F.broadcast(sought) if small else sought, "seed", "left_semi")
+    hit = all_seeds(hashed, "doc_id", False).join(F.broadcast(sought) if small else sought, "seed", "left_semi")
     hit = hit.join(F.broadcast(probes) if small else probes, "seed")
     places = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), F.greatest(F.lit(0), F.col("item_pos") - s.lead).alias("begin")).count().drop("count")
     places = written(places, "hits")

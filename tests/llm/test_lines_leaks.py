@@ -77,6 +77,14 @@ def test_decontam_finds_substitutions(spark):
     compare(decontam.sql(), [r for r in rows if r[0] is not None and r != (8, ITEM)], [r for r in got if r.doc_id not in (None, 8)], benchmark=("item_id BIGINT, text VARCHAR", items))
 
 
+def test_decontam_finds_short_items(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "two words"), (3, "a b c d e f"), (4, "Hamlet"), (5, ITEM)]
+    rows = [(1, "They ask: who wrote Hamlet, and why"), (2, "who has wrote Hamlets"), (3, "a b c d e f"), (4, "a b c d e"), (5, None), (6, ""), (7, "two words, two words"), (8, ITEM)]
+    got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(frame(spark, rows), bench(spark, items)).collect()}
+    assert set(got) == {(1, 1), (1, 4), (3, 3), (7, 2), (8, 5)}
+    assert got[1, 1].doc_start == 2 and got[1, 1].n_equal == got[1, 1].n_compared == 3 and got[7, 2].n_places == 2
+
+
 def test_decontam_empty(spark):
     assert decontam.overlaps(frame(spark, []), bench(spark, [(1, ITEM)])).collect() == []
     assert decontam.overlaps(frame(spark, [(1, ITEM)]), bench(spark, [])).collect() == []
