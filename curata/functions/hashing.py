@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,15 +43,20 @@ def pack_bits(flags: Column) -> Column:
     return F.aggregate(flags, F.lit(0).cast("long"), lambda word, bit: F.shiftleft(word, 1).bitwiseOR(bit.cast("long")))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gradient_bits(grid: Column, rows: int = 8, columns: int = 9) -> Column:
     """The difference hash of a grid given row by row: whether each cell exceeds the one to its right."""
     at = F.sequence(F.lit(0), F.lit(rows * (columns - 1) - 1))
     cell = lambda i: F.floor(i / (columns - 1)).cast("int") * columns + i % (columns - 1)
-    return pack_bits(F.transform(at, lambda i: F.get(grid, cell(i)) > F.get(grid, cell(i) + 1)))
+    return bound(grid, lambda g: pack_bits(F.transform(at, lambda i: F.get(g, cell(i)) > F.get(g, cell(i) + 1))))
 
 
 def token_grid(text: Column, cells: int = 72) -> Column:
     """How many words of text fall into each cell, by the first 4 hex digits of the word's md5."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     places = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % cells).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)))
+    return bound(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.size(F.filter(own, lambda p: p == i))))

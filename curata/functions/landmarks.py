@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hashing import bound
 from .vectors import total
 
 #: Places of fingertips, thumb first, of the knuckle of each finger, and of the middle knuckle.
@@ -27,26 +28,21 @@ def _apart(p: Column, q: Column) -> Column:
     return F.sqrt(total(F.zip_with(p, q, lambda a, b: (a - b) * (a - b))))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def canonical_points(points: Column, handedness: Column) -> Column:
     """Points of a right hand, wrist at the origin, largest distance 1, middle knuckle straight up; null for a wrong
     number of points or a hand without extent."""
     left = F.coalesce(F.startswith(F.lower(F.trim(handedness)), F.lit("l")), F.lit(False))
     sided = F.transform(points, lambda p: F.array(F.when(left, -p[0]).otherwise(p[0]), p[1], p[2]))
-    moved = _let(sided, lambda s: F.transform(s, lambda p: F.zip_with(p, s[0], lambda a, b: a - b)))
+    moved = bound(sided, lambda s: F.transform(s, lambda p: F.zip_with(p, s[0], lambda a, b: a - b)))
     span = lambda m: F.array_max(F.transform(m, _length))
-    scaled = _let(moved, lambda m: _let(span(m), lambda d: F.when(d > TINY, F.transform(m, lambda p: F.transform(p, lambda v: v / d)))))
+    scaled = bound(moved, lambda m: bound(span(m), lambda d: F.when(d > TINY, F.transform(m, lambda p: F.transform(p, lambda v: v / d)))))
 
     def turned(s: Column) -> Column:
         x, y = s[MIDDLE][0], s[MIDDLE][1]
         reach = F.sqrt(x * x + y * y)
         return F.when(reach <= TINY, s).otherwise(F.transform(s, lambda p: F.array((-y / reach) * p[0] + (x / reach) * p[1], (-x / reach) * p[0] + (-y / reach) * p[1], p[2])))
 
-    return F.when(F.size(points) == POINTS, _let(scaled, turned))
+    return F.when(F.size(points) == POINTS, bound(scaled, turned))
 
 
 def features(points: Column, handedness: Column) -> Column:
@@ -56,7 +52,7 @@ def features(points: Column, handedness: Column) -> Column:
         pairs = [(t, TIPS[0]) for t in TIPS[1:]] + list(zip(TIPS[1:], TIPS[2:])) + list(KNUCKLES.items())
         return F.concat(F.flatten(c), F.array(*(_length(c[t]) for t in TIPS)), F.array(*(_apart(c[a], c[b]) for a, b in pairs)))
 
-    return _let(canonical_points(points, handedness), lambda c: F.when(c.isNotNull(), of(c)))
+    return bound(canonical_points(points, handedness), lambda c: F.when(c.isNotNull(), of(c)))
 
 
 def minimal_features(points: Column) -> Column:

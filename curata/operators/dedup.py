@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
-
 
 class LeakError(ValueError):
     """Records that must be apart share content."""
@@ -69,26 +69,30 @@ def overlap_counts(extra: DataFrame, known: DataFrame, digest: str, split: str)
     return extra.join(last, digest).groupBy(split).agg(F.count("*").alias("n"))
 
 
-def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None) -> DataFrame:
+def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None, kept: int = 2) -> DataFrame:
     """(a, b, distance, n_pairs): fingerprints at most `most` bits apart, and how many pairs of rows that makes.
 
-    Equal fingerprints are counted first, so copies cost nothing. 64 bits are cut into most + 1 bands; two words that
-    differ in at most `most` bits agree on one band at least, so an equi-join on bands finds all. A pair is only taken
-    at its first common band, so no distinct is needed. side: only pairs of rows on different sides, the lower one left;
-    else a pair is unordered and equal words pair within themselves.
+    Equal fingerprints are counted first, so copies cost nothing. 64 bits are cut into most + kept blocks; two words that
+    differ in at most `most` bits agree on `kept` blocks at least, so an equi-join on every choice of so many blocks
+    finds all, on keys of many bits. A pair is only taken at its first common choice, so no distinct is needed. side: only
+    pairs of rows on different sides, the lower one left; else a pair is unordered and equal words pair within themselves.
     """
     if not 0 <= most < 64:
         raise ValueError("most must be 0 to 63")
+    kept = max(1, min(kept, 64 - most))
     keys = [bits] + ([side] if side else [])
     words = rows.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    bands, cuts = most + 1, [64 * k // (most + 1) for k in range(most + 2)]
-    value = lambda w, k: F.shiftrightunsigned(F.shiftleft(w, 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k])
-    banded = words.withColumn("band", F.explode(F.array(*(F.struct(F.lit(k).alias("no"), value(F.col(bits), k).alias("value")) for k in range(bands)))))
-    a = banded.select(F.col(bits).alias("a"), F.col("n").alias("n_a"), *([F.col(side).alias("side_a")] if side else []), F.col("band.no").alias("no"), F.col("band.value").alias("value"))
-    b = banded.select(F.col(bits).alias("b"), F.col("n").alias("n_b"), *([F.col(side).alias("side_b")] if side else []), F.col("band.no").alias("no_b"), F.col("band.value").alias("value_b"))
-    first = F.coalesce(*(F.when(value(F.col("a"), k) == value(F.col("b"), k), k) for k in range(bands)))
+    cuts = [64 * k // (most + kept) for k in range(most + kept + 1)]
+    masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in own) for own in combinations(range(most + kept), kept)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    under = lambda w, m: w.bitwiseAND(F.lit(m).cast("long"))
+    keyed = words.withColumn("key", F.explode(F.array(*(F.struct(F.lit(k).alias("no"), under(F.col(bits), m).alias("value")) for k, m in enumerate(masks)))))
+    a = keyed.select(F.col(bits).alias("a"), F.col("n").alias("n_a"), *([F.col(side).alias("side_a")] if side else []), F.col("key.no").alias("no"), F.col("key.value").alias("value"))
+    b = keyed.select(F.col(bits).alias("b"), F.col("n").alias("n_b"), *([F.col(side).alias("side_b")] if side else []), F.col("key.no").alias("no_b"), F.col("key.value").alias("value_b"))
     met = a.join(b, (F.col("no") == F.col("no_b")) & (F.col("value") == F.col("value_b")) & ((F.col("side_a") < F.col("side_b")) if side else (F.col("a") <= F.col("b"))))
-    near = met.withColumn("distance", hamming(F.col("a"), F.col("b"))).where((F.col("distance") <= most) & (F.col("no") == first))
+    near = met.withColumn("apart", F.col("a").bitwiseXOR(F.col("b"))).withColumn("distance", F.bit_count("apart")).where(F.col("distance") <= most)
+    first = F.array_position(F.array(*(under(F.col("apart"), m) == 0 for m in masks)), True) - 1
+    near = near.where(F.col("no") == first)
     n = F.col("n_a") * F.col("n_b") if side else F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
     return near.withColumn("n_pairs", n.cast("long")).where("n_pairs > 0").select(*(["side_a", "side_b"] if side else []), "a", "b", "distance", "n_pairs")
 
