@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -31,15 +32,38 @@ def _class(char: str) -> int:
     return 6 if kind[0] == "P" else 7 if kind[0] == "S" else 8
 
 
+#: The ranges of code points outside which every one is private, reserved or not assigned.
+ASSIGNED = ((0, 0x40000), (0xE0000, 0xE0200))
+
+
+def _table(of: Callable[[str], int], rest: int) -> np.ndarray:
+    """of for each code point."""
+    out = np.full(0x110000, rest, np.uint8)
+    for a, b in ASSIGNED:
+        out[a:b] = [of(chr(c)) for c in range(a, b)]
+    return out
+
+
 @cache
 def class_table() -> np.ndarray:
-    """The class of each code point of the basic plane; those above share the last entry."""
-    return np.array([_class(chr(c)) for c in range(0x10000)] + [2], dtype=np.uint8)
+    """The class of each code point."""
+    return _table(_class, CLASSES.index("rest"))
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter by its category; marks, digits and symbols are none."""
+    return _table(str.isalpha, 0).astype(bool)
 
 
 def classes(points: np.ndarray) -> np.ndarray:
     """The class of each code point."""
-    return class_table()[np.minimum(points, 0x10000)]
+    return class_table()[points]
+
+
+def has_letter(points: np.ndarray) -> bool:
+    """Whether a letter is among the code points."""
+    return bool(letter_table()[points].any())
 
 
 def runs(lengths: list[int]) -> np.ndarray:

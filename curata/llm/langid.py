@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def score(texts: list[str | None]) -> dict[str, list]:
         m = shared.value
         texts = [x or "" for x in texts]
-        lettered = np.array([bool((charcodes.classes(charcodes.codes(x)) <= 2).any()) for x in texts], dtype=bool)
+        lettered = np.array([charcodes.has_letter(charcodes.codes(x)) for x in texts], dtype=bool)
         if not m.labels:
             return {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts)}
         counts = np.stack([ngram_counts(x, m.features) for x in texts])
