@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,13 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import charcodes
+from . import charcodes, shingles
 from .arrow import by_text
-from .common import WORD
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-_words = re.compile(WORD).findall
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -33,82 +29,125 @@ class Rules:
     most_word_divergence: float = 0.22
 
 
-def repeated_words(words: list[str], width: int = 5) -> int:
-    """How many words lie in a window of width words that the text has twice or more, its first place included."""
-    n = len(words) - width + 1
-    if n < 2:
-        return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    mixed = np.zeros(n, np.uint64)
-    for k in range(width):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + (h[k : k + n] ^ (h[k : k + n] >> np.uint64(31)))
-    order = np.argsort(mixed, kind="stable")
-    same = mixed[order][1:] == mixed[order][:-1]
-    if not same.any():
-        return 0
-    alike = np.union1d(order[1:][same], order[:-1][same])
-    seen = Counter(tuple(words[i : i + width]) for i in alike)  # hashes only point out the windows to compare
-    covered = np.zeros(len(words) + 1, np.int64)
-    for i in alike:
-        if seen[tuple(words[i : i + width])] > 1:
-            covered[i] += 1
-            covered[i + width if i + width < len(covered) else -1] -= 1
-    return int((np.cumsum(covered[:-1]) > 0).sum())
-
-
-def base_counts(text: str) -> tuple[list[str], tuple[int, int, int, int, int]]:
-    """The words of text; n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = _words(text)
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    return words, (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
-
-
-def base_failed(counts: tuple[int, int, int, int, int], rules: Rules) -> bool:
-    return counts[0] < rules.least_words or 100 * counts[4] > rules.repeat_percent * counts[0]
-
-
-def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
-    """The divergence of two histograms (any sums over 0), base 2: 0 for equal ones, 1 for those with nothing in common."""
-    p, q = p / max(p.sum(), 1e-12), q / max(q.sum(), 1e-12)
+@dataclass(frozen=True)
+class Counted:
+    """Of several texts together. counts: one row of BASE for each text; classes: its histogram of character classes;
+    own and lowered: for each word of all texts the number of its text, and the hash of the word in lower case."""
+
+    counts: np.ndarray
+    classes: np.ndarray
+    own: np.ndarray
+    lowered: np.ndarray
+
+
+def _encoded(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """The texts' bytes with a line end between, and how many bytes each has."""
+    raw = [x.encode("utf-8", "surrogatepass") for x in texts]
+    return np.frombuffer(b"\n".join(raw), np.uint8), [len(x) for x in raw]
+
+
+def repeated_windows(hashes: np.ndarray, own: np.ndarray, width: int = 5) -> np.ndarray:
+    """Which words lie in a window of width words that their text has twice or more, its first place included."""
+    n = len(hashes) - width + 1
+    covered = np.zeros(max(0, len(hashes)) + 1, np.int64)
+    if n > 1:
+        inside = np.flatnonzero(own[:n] == own[width - 1 :])
+        mixed = own[inside].astype(np.uint64)
+        for k in range(width):
+            mixed = shingles.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[inside + k])
+        order = np.argsort(mixed, kind="stable")
+        same = mixed[order][1:] == mixed[order][:-1]
+        again = inside[np.union1d(order[1:][same], order[:-1][same])]
+        covered[again] += 1
+        covered[again + width] -= 1
+    return np.cumsum(covered)[:-1] > 0
+
+
+def counted(texts: list[str]) -> Counted:
+    """Words are told apart by 64-bit hashes, so that two different ones of a text count as equal with a probability of 2^-64."""
+    n = len(texts)
+    raw, sizes = _encoded(texts)
+    begin, _, hashes = shingles.words(raw, shingles.byte_values(fold=False))
+    starts = np.cumsum([0, *(x + 1 for x in sizes)])
+    own = np.searchsorted(starts, begin, "right") - 1
+    lowered = shingles.words(_encoded([x.lower() for x in texts])[0], shingles.byte_values(fold=False))[2]
+    points = charcodes.codes("\n".join(texts))
+    of = np.repeat(np.arange(n), [len(x) + (k < n - 1) for k, x in enumerate(texts)])
+    kinds = len(charcodes.CLASSES)
+    classes = np.bincount(of * kinds + charcodes.classes(points), minlength=n * kinds).reshape(n, kinds)
+    classes[: n - 1, charcodes.CLASSES.index("space")] -= 1  # the line ends between texts
+    spaces = (points == 32) | ((points >= 9) & (points <= 13))
+    symbols = np.zeros(128, bool)
+    symbols[[ord(x) for x in SYMBOLS]] = True
+    lines = [[y for y in x.split("\n") if y.strip(" \t\n\x0b\x0c\r")] for x in texts]
+    per_text = lambda flags, at: np.bincount(at[flags], minlength=n)
+    counts = [np.bincount(own, minlength=n), per_text(~spaces, of), per_text(symbols[np.minimum(points, 127)] & (points < 128), of), [len(x) - len(set(x)) for x in lines], per_text(repeated_windows(hashes, own), own)]
+    return Counted(np.array(counts, np.int64).T, classes, own, lowered)
+
+
+def base_failed(counts: np.ndarray, rules: Rules) -> np.ndarray:
+    """For rows of BASE."""
+    return (counts[:, 0] < rules.least_words) | (100 * counts[:, 4] > rules.repeat_percent * counts[:, 0])
+
+
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The divergence of each row of p from q (histograms of any sums over 0), base 2: 0 for equal ones, 1 for those with
+    nothing in common."""
+    p, q = p / np.maximum(p.sum(-1, keepdims=True), 1e-12), q / max(q.sum(), 1e-12)
     m = (p + q) / 2
-    part = lambda a: float(np.sum(a[a > 0] * np.log2(a[a > 0] / m[a > 0])))
-    return min(1.0, max(0.0, (part(p) + part(q)) / 2))
+    part = lambda a: np.sum(np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0.0), -1)
+    return np.clip((part(p) + part(np.broadcast_to(q, m.shape))) / 2, 0.0, 1.0)
 
 
 @dataclass(frozen=True)
 class Reference:
+    """classes: counts of the character classes; words: the common words' hashes, rising, with their counts and, last, that
+    of all others."""
+
     classes: np.ndarray
-    words: dict[str, int]
+    words: np.ndarray
     counts: np.ndarray
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), flush: int = 200_000) -> dict[str, Reference]:
+def references(docs: DataFrame, rules: Rules = Rules(), chars: int = 4_000_000) -> dict[str, Reference]:
     """For each language of docs (text, lang) its histograms over all texts: character classes, and its most common words
     with one entry for the rest. Every text and word is counted; the driver gets the languages' histograms only."""
 
     def count(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        found: Counter = Counter()
-
-        def told():
-            return pd.DataFrame([(lang, kind, word, n) for (lang, kind, word), n in found.items()], columns=["lang", "kind", "word", "n"])
-
+        import pyarrow as pa
+
+        def told(langs: list[str], texts: list[str]):
+            names = sorted(set(langs))
+            place = {x: k for k, x in enumerate(names)}
+            of = np.array([place[x] for x in langs])
+            kinds, parts = len(charcodes.CLASSES), []
+            for k, name in enumerate(names):
+                own = [x.lower() for x, o in zip(texts, of, strict=True) if o == k]
+                hashes, n = np.unique(shingles.words(_encoded(own)[0], shingles.byte_values(fold=False))[2].view(np.int64), return_counts=True)
+                classes = np.bincount(charcodes.classes(charcodes.codes("".join(x for x, o in zip(texts, of, strict=True) if o == k))), minlength=kinds)
+                parts.append((name, 0, np.arange(kinds), classes))
+                parts.append((name, 1, hashes, n))
+            sizes = [len(p[2]) for p in parts]
+            columns = [pa.array(np.repeat(np.array([p[i] for p in parts], object if i == 0 else np.int32), sizes), t) for i, t in ((0, pa.string()), (1, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in (2, 3))], ["lang", "kind", "word", "n"])
+
+        langs, texts, held = [], [], 0
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                found.update((lang, 1, w) for w in _words(text.lower()))
-                for k, n in enumerate(np.bincount(charcodes.classes(charcodes.codes(text)), minlength=len(charcodes.CLASSES))):
-                    found[lang, 0, str(k)] += int(n)
-                if len(found) > flush:
-                    yield told()
-                    found.clear()
-        yield told()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                langs.append(lang)
+                texts.append(text)
+                held += len(text)
+                if held >= chars:
+                    yield told(langs, texts)
+                    langs, texts, held = [], [], 0
+        if texts:
+            yield told(langs, texts)
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = known.mapInPandas(count, "lang string, kind int, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(count, "lang string, kind int, word long, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "kind")
     # Two steps, so that no task sorts all words of a language: the first ranks within hashed parts.
-    parts = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
+    parts = counts.withColumn("part", F.pmod("word", F.lit(64)))
     most = max(rules.common, len(charcodes.CLASSES))
     leading = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind", "part").orderBy(F.desc("n"), "word"))).where(F.col("r") <= most)
     sums = parts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
@@ -121,41 +160,42 @@ def references(docs: DataFrame, rules: Rules = Rules(), flush: int = 200_000) ->
             letters[int(x.word)] = x.n
         words = own[own.kind == 1].head(rules.common)
         rest = float(words["total"].iloc[0] - words["n"].sum()) if len(words) else 0.0
-        out[lang] = Reference(letters, {w: k for k, w in enumerate(words["word"])}, np.array([*words["n"], rest], dtype=float))
+        words = words.assign(word=words["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+        out[lang] = Reference(letters, words["word"].to_numpy(np.uint64), np.array([*words["n"], rest], dtype=float))
     return out
 
 
-def divergences(text: str, words: list[str], reference: Reference) -> tuple[float, float]:
-    """Of the character classes and of the common words."""
-    of_classes = np.bincount(charcodes.classes(charcodes.codes(text)), minlength=len(charcodes.CLASSES)).astype(float)
-    own, rest = np.zeros(len(reference.counts)), len(reference.words)
-    place = reference.words.get
-    for w in words:
-        own[place(w, rest)] += 1
-    return jensen_shannon(of_classes, reference.classes), jensen_shannon(own, reference.counts)
+def divergences(found: Counted, reference: Reference) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's character classes and common words."""
+    k = len(reference.words)
+    at = np.searchsorted(reference.words, found.lowered)
+    hit = reference.words[np.minimum(at, k - 1)] == found.lowered if k else np.zeros(len(at), bool)
+    slots = np.where(hit, at, k)
+    own = np.bincount(found.own * (k + 1) + slots, minlength=len(found.counts) * (k + 1)).reshape(-1, k + 1)
+    return jensen_shannon(found.classes.astype(float), reference.classes), jensen_shannon(own.astype(float), reference.counts)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds to docs (text, lang) the counts of BASE, base_failed, class_divergence, word_divergence and kept.
 
-    A text is compared with each language's reference and judged by the nearest one, so that a wrong or missing lang
-    can't condemn it. Below min_words there is no verdict by divergence, only by counts. A null text is empty. Where no
-    row has a lang there is nothing to compare with and the counts decide alone.
+    A text is compared with each language's reference and judged by the nearest one (of equally near ones the first by
+    name), so that a wrong or missing lang can't condemn it. Below min_words there is no verdict by divergence, only by
+    counts, and both divergences are 0. A null text is empty; texts are counted whole, whatever their length. Where no row
+    has a lang there is nothing to compare with and the counts decide alone. Repeated rows are judged alike, each on its
+    own; an empty table gives no rows; columns of docs named as the added ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs, rules))
 
     def make(texts: list[str | None]) -> dict[str, list]:
+        found = counted([x or "" for x in texts])
+        failed = base_failed(found.counts, rules)
+        far = np.zeros((2, len(texts)))
+        if shared.value:
+            each = np.array([divergences(found, r) for _, r in sorted(shared.value.items())])
+            nearest = each.sum(1).argmin(0)
+            far = np.where(found.counts[:, 0] >= rules.min_words, each[nearest, :, np.arange(len(texts))].T, 0.0)
+        kept = ~failed & (far[0] <= rules.most_class_divergence) & (far[1] <= rules.most_word_divergence)
         names = [f.split()[0] for f in BASE.split(", ")]
-        out: dict[str, list] = {n: [] for n in [*names, "base_failed", "class_divergence", "word_divergence", "kept"]}
-        for text in texts:
-            words, counts = base_counts(text or "")
-            failed = base_failed(counts, rules)
-            far = (0.0, 0.0)
-            if len(words) >= rules.min_words and shared.value:
-                lowered = [w.lower() for w in words]
-                far = min((divergences(text, lowered, r) for r in shared.value.values()), key=sum)
-            for n, v in zip(out, (*counts, failed, *far, not failed and far[0] <= rules.most_class_divergence and far[1] <= rules.most_word_divergence), strict=True):
-                out[n].append(v)
-        return out
+        return dict(zip(names, found.counts.T, strict=True)) | {"base_failed": failed, "class_divergence": far[0], "word_divergence": far[1], "kept": kept}
 
     return by_text(docs, make, f"{BASE}, base_failed boolean, class_divergence double, word_divergence double, kept boolean")

@@ -13,17 +13,19 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bits spread over the whole word, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 @cache
-def _byte_values() -> np.ndarray:
-    """A random value per byte; A to Z share those of a to z; 0 for what separates words."""
-    values = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-    values[65:91] = values[97:123]
+def byte_values(fold: bool = True) -> np.ndarray:
+    """A random value per byte; with fold A to Z share those of a to z; 0 for what separates words."""
+    values = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+    if fold:
+        values[65:91] = values[97:123]
     values[[32, *range(9, 14)]] = 0
     return values
 
@@ -39,24 +41,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of the word shingles of the whole text, A-Z lowered; with fewer words the whole sequence is
-    the one shingle; none without words."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    values = _byte_values()[raw]
+def words(raw: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of the bytes begin and end, and their hashes."""
+    values = of_byte[raw]
     inside = np.concatenate([[False], values != 0, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
     up, down = _power(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1])])
-        words = _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        n = max(1, len(words) - width + 1)
-        mixed = np.full(n, np.uint64(min(len(words), width)))
-        for k in range(min(len(words), width)):
-            mixed = _mix(mixed * _ODD + words[k : k + n])
+        return begin, end, mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of the word shingles of the whole text, A-Z lowered, rising; with fewer words the whole sequence
+    is the one shingle; none without words."""
+    _, _, own = words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), byte_values())
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    n = max(1, len(own) - width + 1)
+    mixed = np.full(n, np.uint64(min(len(own), width)))
+    for k in range(min(len(own), width)):
+        mixed = mix(mixed * _ODD + own[k : k + n])
     return np.unique(mixed)
 
 

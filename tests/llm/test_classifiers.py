@@ -1,4 +1,6 @@
+import collections
 import math
+import re
 
 import numpy as np
 import pytest
@@ -106,12 +108,71 @@ def test_repeated_words_against_plain_search():
     for n in (0, 3, 5, 6, 40, 200):
         for k in (1, 2, 3, 50):
             words = [f"w{x}" for x in rng.integers(0, k, n)]
-            assert divergence.repeated_words(words) == slow_repeats(words)
+            # Beside other texts, before and behind it.
+            found = divergence.counted(["w1 w1 w1 w1 w1 w1", " ".join(words), "", "w1 w2"])
+            assert found.counts[:, 4].tolist() == [6, slow_repeats(words), 0, 0]
 
 
 def test_base_counts():
-    words, got = divergence.base_counts("a b\n\na b\n \n \r\nc # <x>\na\xa0b")
-    assert got == (8, 12, 3, 1, 0) and words[-1] == "a\xa0b"
+    found = divergence.counted(["", "a b\n\na b\n \n \r\nc # <x>\na\xa0b", "é\x00 😀"])
+    assert found.counts.tolist() == [[0, 0, 0, 0, 0], [8, 12, 3, 1, 0], [2, 3, 0, 0, 0]]
+    assert found.classes.sum(1).tolist() == [0, 25, 4] and found.classes[2, charcodes.CLASSES.index("symbol")] == 1
+
+
+def test_letters_are_letters_by_category_on_all_planes():
+    has = lambda x: charcodes.has_letter(charcodes.codes(x))
+    assert not any(map(has, ["", "😀😁", "❤️", "\u0301\u0302", "12 ³ Ⅷ", "_-!", "\U000e0001"]))
+    assert all(map(has, ["a", "ª", "日", "𝐀", "𐍈", "\U00030000", "ǅ", "ʰ"]))
+    assert charcodes.CLASSES[charcodes.classes(charcodes.codes("😀"))[0]] == "symbol"
+
+
+def plain_judge(docs, rules):
+    """kept of each (doc_id, text, lang) by loops over characters and words."""
+    split = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+
+    def distance(p, q):
+        a, b, out = sum(p.values()) or 1, sum(q.values()) or 1, 0.0
+        for k in set(p) | set(q):
+            x, y = p.get(k, 0) / a, q.get(k, 0) / b
+            out += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+        return out
+
+    of_class = lambda x: collections.Counter(charcodes._class(c) for c in x)
+    letters, said = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for _, text, lang in docs:
+        if lang is not None and text is not None:
+            letters[lang] += of_class(text)
+            said[lang].update(split(text.lower()))
+    common = {}
+    for lang, n in said.items():
+        hashed = lambda w: int(divergence.counted([w]).lowered.view(np.int64)[0])
+        common[lang] = sorted(n, key=lambda w: (-n[w], hashed(w) if n[w] < 50 else 0))[: rules.common]
+    out = {}
+    for doc, text, _ in docs:
+        words = split(text or "")
+        failed = len(words) < rules.least_words or 100 * slow_repeats(words) > rules.repeat_percent * len(words)
+        far = (0.0, 0.0)
+        if len(words) >= rules.min_words:
+            each = []
+            for lang in sorted(said):
+                fold = lambda ws, lang=lang: collections.Counter(w if w in common[lang] else None for w in ws)
+                theirs = collections.Counter({w: said[lang][w] for w in common[lang]})
+                theirs[None] = sum(said[lang].values()) - sum(theirs.values())
+                each.append((distance(of_class(text), letters[lang]), distance(fold(split(text.lower())), theirs)))
+            far = min(each, key=sum)
+        out[doc] = (failed, not failed and far[0] <= rules.most_class_divergence and far[1] <= rules.most_word_divergence, *far)
+    return out
+
+
+def test_kept_against_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    want = plain_judge(rows, divergence.Rules())
+    got = {r.doc_id: r for r in divergence.judge(docs).collect()}
+    assert len(got) == len(want) and {r.kept for r in got.values()} == {True, False}
+    for k, (failed, kept, *far) in want.items():
+        assert (got[k].base_failed, got[k].kept) == (failed, kept), k
+        assert [got[k].class_divergence, got[k].word_divergence] == pytest.approx(far, abs=1e-9), k
 
 
 def test_divergence_bounds():
@@ -133,5 +194,5 @@ def test_judge_edges(spark):
 def test_references_count_everything(spark):
     docs = frame(spark, [(1, "a a b", "x"), (2, "A c", "x"), (3, "d", "y"), (4, "e", None)])
     r = divergence.references(docs, divergence.Rules(common=1))
-    assert set(r) == {"x", "y"} and r["x"].words == {"a": 0} and r["x"].counts.tolist() == [3, 2]
+    assert set(r) == {"x", "y"} and r["x"].words.tolist() == divergence.counted(["a"]).lowered.tolist() and r["x"].counts.tolist() == [3, 2]
     assert r["x"].classes[charcodes.CLASSES.index("upper")] == 1 and r["x"].classes.sum() == 8
