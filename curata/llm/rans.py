@@ -22,6 +22,8 @@ from .common import written
 
 #: Fixed values of the format: name, bits of a frequency, lower bound of a state, bits that leave a state at a time.
 MAGIC, PRECISION, LOW, WORD_BITS = b"RNS1", 22, 1 << 32, 32
+#: Parts at most: beyond, parts grow instead, since each is one task and is read as a stream.
+MOST_PARTS = 100_000
 #: Segments whose starts, 24 bytes each, may be sent to all tasks.
 BROADCAST_ROWS = 500_000
 
@@ -158,8 +160,8 @@ def read_segment(data: bytes, table: Table) -> tuple[np.ndarray, list[int | None
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, partition_bytes: int) -> DataFrame:
     """part, place, doc_id, n_tokens, ids of each row of docs, in ascending doc_id order along part and place; written."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // partition_bytes))
+    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    parts = min(MOST_PARTS, max(1, -(-int(total) // partition_bytes)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,14 +169,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, partition_bytes:
 
         own, part, done = tokens.encoder(tokenizer_path, keeps_space=True), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
                 ids, n = list(own.encode(rows.column(1).to_pylist(), end_id)), rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), rows.column(0), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "n_tokens", "ids"])
                 done += n
 
     first = F.col("doc_id").asc_nulls_first()
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, first).sortWithinPartitions(first, "text")
+    # The texts' heads are part of the ranges, so that one doc_id on many rows is dealt to many parts.
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, first, F.left("text", F.lit(64)).asc_nulls_first()).sortWithinPartitions(first, F.asc_nulls_first("text"))
     return written(dealt.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, ids binary"), "ids", "zstd")
 
 
@@ -210,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, layo
 
     path/segments holds the segments, in order along part and first_place (the first document's place in its part), and
     path/table the shared frequencies. Documents are dealt to parts by ranges of doc_id; null doc_ids come first and
-    repeated ones stand together. Parts are read and coded as a stream, segment by segment; a document longer than a
+    repeated ones stand together, by text. Further columns are ignored, whatever their names. Parts are read and coded as a stream, segment by segment; a document longer than a
     segment has one to itself, in several blocks. An empty table gives empty files.
     """
     spark = docs.sparkSession
@@ -249,8 +252,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
     sizes = segments.select("part", "first_place", "n_ids")
     before = Window.partitionBy("part").orderBy("first_place").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(ahead), F.lit(0)).alias("before_part"))
+    # Running sums in two levels: runs of 512 parts, then the parts of each run.
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("in_part")).withColumn("run", F.floor(F.col("part") / 512))
+    ahead = lambda window, order: window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy("run").agg(F.sum("in_part").alias("in_run")).select("run", F.coalesce(F.sum("in_run").over(ahead(Window.partitionBy(F.lit(0)), "run")), F.lit(0)).alias("before_run"))
+    within = F.coalesce(F.sum("in_part").over(ahead(Window.partitionBy("run"), "part")), F.lit(0))
+    parts = parts.withColumn("within", within).join(runs, "run").select("part", (F.col("before_run") + F.col("within")).alias("before_part"))
     starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(parts, "part")
     starts = starts.select("part", "first_place", (F.col("in_part") + F.col("before_part")).alias("begin"))
     table = spark.read.parquet(f"{path}/table").toPandas().sort_values("id")

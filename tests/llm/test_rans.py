@@ -61,3 +61,12 @@ def test_files_round_trip(spark, tmp_path):
 def test_tiny_tables(spark, tmp_path, rows):
     rans.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "a"), BYTES)
     assert [(r.doc_id, r.start, len(r.ids)) for r in rans.read(spark, str(tmp_path / "a")).collect()] == [(1, 0, 4) for _ in rows]
+
+
+def test_one_id_on_all_rows_fills_many_parts(spark, tmp_path):
+    texts = [f"{k * 7919 % 400:03d} text of its own" for k in range(400)]
+    rans.write(spark.createDataFrame([(4, t) for t in texts], "doc_id long, text string"), str(tmp_path / "a"), BYTES, partition_bytes=2000)
+    segments = spark.read.parquet(str(tmp_path / "a" / "segments"))
+    assert segments.select("part").distinct().count() > 5
+    got = sorted(rans.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert len(got) == 400 and [r.start for r in got] == [sum(len(x.ids) // 4 for x in got[:k]) for k in range(400)]
