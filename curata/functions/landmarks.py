@@ -73,3 +73,22 @@ def crop_box(points: Column, width: Column, height: Column, padding: float, leas
     whole = lambda c: c.cast("int")
     box = F.struct(F.greatest(F.lit(0), whole(cx - half)).alias("left"), F.greatest(F.lit(0), whole(cy - half)).alias("top"), F.least(whole(width), whole(cx + half)).alias("right"), F.least(whole(height), whole(cy + half)).alias("bottom"))
     return F.when((box["right"] - box["left"] >= least) & (box["bottom"] - box["top"] >= least), box)
+
+
+def plane_points(values: Column) -> Column:
+    """x and y of all 21 points in a row: 42 values."""
+    return F.flatten(F.transform(points_of(values), lambda p: F.array(p[0], p[1])))
+
+
+def wrist_to_tips(values: Column) -> Column:
+    """The distances in the plane from the wrist to the tips of the four fingers, the thumb left out."""
+    return bound(points_of(values), lambda p: F.array(*(F.hypot(p[0][0] - p[t][0], p[0][1] - p[t][1]) for t in TIPS[1:])))
+
+
+#: The letters of each group of hand shapes.
+SHAPE_GROUPS = ("ABCEHMNOST", "DIJXZ", "GKLPQRUVY", "FW")
+
+
+def shape_group(letter: Column) -> Column:
+    """The number of a letter's group of hand shapes; null for anything else."""
+    return F.coalesce(*(F.when(letter.isin(*own), F.lit(k)) for k, own in enumerate(SHAPE_GROUPS)))

@@ -42,9 +42,36 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image[..., :3] @ np.array([0.299, 0.587, 0.114])
 
 
+def grey_bytes(image: np.ndarray) -> np.ndarray:
+    """Grey in whole numbers, by the usual weights in 16-bit fixed point."""
+    return ((image[..., :3].astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16).astype(np.uint8)
+
+
+def lanczos_weights(old: int, new: int, lobes: int = 3, bits: int = 22) -> np.ndarray:
+    """new x old: what each old place gives to a new one, as whole numbers of bits fractional bits. The window is as wide
+    as lobes steps where the picture shrinks."""
+    step = old / new
+    scale = max(1.0, step)
+    centres, out = (np.arange(new) + 0.5) * step, np.zeros((new, old), np.int64)
+    for k, c in enumerate(centres):
+        low, high = max(0, int(c - lobes * scale + 0.5)), min(old, int(c + lobes * scale + 0.5))
+        x = (np.arange(low, high) + 0.5 - c) / scale
+        w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+        w = w / w.sum() * (1 << bits)
+        out[k, low:high] = np.where(w < 0, w - 0.5, w + 0.5).astype(np.int64)
+    return out
+
+
+def lanczos(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A grey picture of bytes at another size: rows first, then columns, bytes in between."""
+    half, bits = 1 << 21, 22
+    across = np.clip((image.astype(np.int64) @ lanczos_weights(image.shape[1], width).T + half) >> bits, 0, 255)
+    return np.clip((lanczos_weights(image.shape[0], height) @ across + half) >> bits, 0, 255).astype(np.uint8)
+
+
 def dhash(image: np.ndarray) -> int:
     """The 64-bit difference hash of a picture's grey 8 x 9 version, with the sign its highest bit gives it."""
-    small = resize(np.repeat(grey(image)[..., None], 3, 2), 8, 9)[..., 0]
+    small = lanczos(grey_bytes(image), 8, 9)
     bits = int("".join("1" if b else "0" for b in (small[:, :-1] > small[:, 1:]).ravel()), 2)
     return bits - (1 << 64) if bits >> 63 else bits
 
@@ -54,22 +81,40 @@ def preprocess(image: np.ndarray, size: int) -> np.ndarray:
     return ((resize(image, size, size) / 255 - MEAN) / STD).transpose(2, 0, 1).astype(np.float32)
 
 
-def _hue(image: np.ndarray, shift: int) -> np.ndarray:
-    x = image.astype(np.float64) / 255
+def to_hsv(image: np.ndarray) -> np.ndarray:
+    """Hue, saturation and value as bytes, cut off below."""
+    x = image.astype(np.float64)
     high, low = x.max(-1), x.min(-1)
     span = np.where(high > low, high - low, 1)
-    r, g, b = x[..., 0], x[..., 1], x[..., 2]
-    h = np.select([high == r, high == g], [(g - b) / span, 2 + (b - r) / span], 4 + (r - g) / span)
-    h = (np.where(high > low, h, 0) / 6 + shift / 256) % 1 * 6
-    part = (high - low)[..., None] * np.clip(np.abs((h[..., None] + np.array([0, 4, 2])) % 6 - 3) - 1, 0, 1)
-    return to_bytes((low[..., None] + part) * 255)
+    r, g, b = ((high[..., None] - x) / span[..., None]).transpose(2, 0, 1)
+    turn = np.select([x[..., 0] == high, x[..., 1] == high], [b - g, 2 + r - b], 4 + g - r)
+    hue = np.where(high > low, np.fmod(turn / 6 + 1, 1), 0)
+    return np.stack([(hue * 255).astype(np.uint8), np.where(high > 0, (high - low) / np.maximum(high, 1) * 255, 0).astype(np.uint8), high.astype(np.uint8)], -1)
+
+
+def from_hsv(image: np.ndarray) -> np.ndarray:
+    """RGB of bytes of hue, saturation and value."""
+    h, s, v = image.astype(np.float64).transpose(2, 0, 1)
+    sixth, s = h * 6 / 255, s / 255
+    whole = np.floor(sixth)
+    part = sixth - whole
+    p, q, t = (np.floor(v * (1 - s * f) + 0.5) for f in (np.ones_like(part), part, 1 - part))
+    sides = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
+    return np.select([(whole % 6 == k)[..., None] for k in range(6)], [np.stack(x, -1) for x in sides]).astype(np.uint8)
+
+
+def _hue(image: np.ndarray, shift: int) -> np.ndarray:
+    hsv = to_hsv(image)
+    hsv[..., 0] += np.uint8(shift)  # bytes wrap around
+    return from_hsv(hsv)
 
 
 def corrupt(image: np.ndarray, name: str, seed: int) -> np.ndarray:
     """The picture under a named corruption. Recompression is left out: its result depends on one library's encoder."""
     x = image.astype(np.float64)
     if name == "gaussian_noise":
-        return to_bytes(x + np.random.default_rng(seed).normal(0, NOISE, x.shape) * 255)
+        noise = np.random.default_rng(seed).normal(0, NOISE, x.shape).astype(np.float32)
+        return (np.clip(image.astype(np.float32) / 255 + noise, 0, 1) * 255).astype(np.uint8)
     if name in ("gamma_low", "gamma_high"):
         return (np.power(x / 255, GAMMA_LOW if name == "gamma_low" else GAMMA_HIGH) * 255).astype(np.uint8)
     if name == "hue_shift":

@@ -68,3 +68,8 @@ def lcg(n: int, seed: int = 42) -> Column:
     #: Multiplier, increment, modulus.
     states = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(F.lit(seed).cast("long")), lambda a, _: F.concat(a, F.array(F.pmod(F.element_at(a, -1) * 1664525 + 1013904223, F.lit(1 << 32)))))
     return F.transform(F.slice(states, 2, n), lambda s: s / F.lit(float(1 << 32)) * 2 - 1)
+
+
+def even_channels(channels: Column, shown: int = 8) -> Column:
+    """Numbers of shown channels, evenly spread from the first to the last; halves go to the even number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(shown - 1)), lambda k: F.bround(k * (channels - 1) / (shown - 1)).cast("int"))

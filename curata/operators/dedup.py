@@ -48,12 +48,33 @@ def overlap(left: DataFrame, right: DataFrame, digest: str) -> DataFrame:
     return left.select(digest).intersect(right.select(digest))
 
 
+#: Needles, one word or a few characters each, that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_NEEDLES = 100_000
+
+
 def contained(rows: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Rows of rows whose text contains a needle, with the needle's columns. needles is a benchmark of bounded size: its
-    rows are checked to be at most 10,000."""
-    if needles.count() > 10_000:
-        raise ValueError("too many needles for a scan; use the decontamination operator")
-    return rows.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle)))
+    """Rows of rows whose text contains a needle, with the needle's columns; an empty needle is in nothing.
+
+    A needle's words but its first and last stand whole in any text that contains it, so its longest one finds the texts
+    to search. Needles without such a word are found by their first characters, as many as the shortest of them has (8 at
+    most). Only what is found so is searched.
+    """
+    inner = F.slice(F.split(F.col(needle), r"\s+"), 2, F.greatest(F.lit(0), F.size(F.split(F.col(needle), r"\s+")) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    told = needles.where(F.col(needle) != "").withColumn("__word", longest)
+    by_word, by_head = told.where(F.col("__word").isNotNull()), told.where(F.col("__word").isNull()).drop("__word")
+    shortest, short, long = needles.where(F.col(needle) != "").agg(F.min(F.when(F.size(inner) == 0, F.length(needle))), F.count_if(F.size(inner) == 0), F.count_if(F.size(inner) > 0)).first()
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_NEEDLES else df
+    found = []
+    if long or not short:
+        words = rows.withColumn("__word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
+        found.append(words.join(few(by_word, long), "__word").where(F.contains(F.col(text), F.col(needle))).drop("__word"))
+    if short:
+        n = min(8, shortest)
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        heads = rows.withColumn("__head", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n))))))
+        found.append(heads.join(few(by_head.withColumn("__head", F.left(F.col(needle), F.lit(n))), short), "__head").where(F.contains(F.col(text), F.col(needle))).drop("__head"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def clean_supplement(extra: DataFrame, known: DataFrame, digest: str, key: str) -> DataFrame:
@@ -100,3 +121,14 @@ def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None
 def keep_first_by_window(rows: DataFrame, digest: str, order: list[str]) -> DataFrame:
     """Adds is_extra: whether the row comes after another of its content."""
     return rows.withColumn("is_extra", F.row_number().over(Window.partitionBy(digest).orderBy(*order)) > 1)
+
+
+def candidate_samples(rows: DataFrame, pairs: DataFrame, bits: str, side: str, keep: str, limit: int = 100) -> DataFrame:
+    """The first limit pairs of rows behind the pairs of hamming_pairs(side=...), in the order of sides, distance,
+    fingerprints and the rows' keep column: a report's samples. Each pair of fingerprints gives one pair of rows at least,
+    so the first limit of those are enough."""
+    order = ["side_a", "side_b", "distance", "a", "b"]
+    first = pairs.orderBy(*order).limit(limit).select(*order)
+    one = lambda name: rows.select(F.col(bits).alias(name), F.col(side).alias(f"side_{name}"), F.struct(keep).alias(f"row_{name}"))
+    met = first.join(one("a"), ["a", "side_a"]).join(one("b"), ["b", "side_b"])
+    return met.select("side_a", "side_b", "distance", "a", "b", F.col(f"row_a.{keep}").alias("left"), F.col(f"row_b.{keep}").alias("right")).orderBy(*order, "left", "right").limit(limit)

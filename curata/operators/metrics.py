@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that percentiles() sorts apart.
+RANGES = 64
+
 
 def classes(rows: DataFrame, names: Sequence) -> DataFrame:
     """The label domain as a table; it is given, not derived, so classes without rows are in it."""
@@ -68,8 +72,51 @@ def mean_loss(rows: DataFrame, loss: Column, correct: Column) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: exact percentiles, linear between neighbours."""
-    return rows.agg(*(F.percentile(value, share).alias(name) for name, share in shares.items()), F.count(value).alias("n"))
+    """One row: exact percentiles, linear between neighbours, and n.
+
+    Values are counted, cut into ranges at approximate quantiles, and only the ranges that hold a wanted rank are sorted,
+    so no task holds more than a range's distinct values."""
+    known = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    cuts, n = known.agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10 * RANGES), F.sum("n")).first()
+    spark = rows.sparkSession
+    if not n:
+        return spark.range(1).select(*(F.lit(None).cast("double").alias(name) for name in shares), F.lit(0).cast("long").alias("n"))
+    cuts = sorted(set(cuts))
+    known = known.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))))
+    ahead, at = {}, 0
+    for r in known.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # RANGES rows at most
+        ahead[r["range"]] = (at, at + r["n"])
+        at += r["n"]
+    ranks = {x for share in shares.values() for x in (math.floor(share * (n - 1)), math.ceil(share * (n - 1)))}
+    wanted = [(k, a) for k, (a, b) in ahead.items() if any(a <= x < b for x in ranks)]
+    own = known.join(F.broadcast(spark.createDataFrame(wanted, "range int, ahead long")), "range")
+    own = own.withColumn("upto", F.col("ahead") + F.sum("n").over(Window.partitionBy("range").orderBy("v")))
+    hit = F.array(*(F.lit(x) for x in sorted(ranks)))
+    found = own.where(F.exists(hit, lambda x: (x < F.col("upto")) & (x >= F.col("upto") - F.col("n")))).select("v", "upto", "n").collect()  # two rows a percentile at most
+    at_rank = {x: r["v"] for r in found for x in ranks if r["upto"] - r["n"] <= x < r["upto"]}
+    out = []
+    for share in shares.values():
+        exact = share * (n - 1)
+        low, high = at_rank[math.floor(exact)], at_rank[math.ceil(exact)]
+        out.append(low + (high - low) * (exact - math.floor(exact)))
+    return spark.createDataFrame([(*out, n)], ", ".join(f"`{name}` double" for name in shares) + ", n long")
+
+
+def peak(history: DataFrame, value: str) -> DataFrame:
+    """One row: the largest value over all epochs that have one, or null."""
+    return history.agg(F.max(value).alias("peak"))
+
+
+def by_padding(rows: DataFrame, padding: str, scored: Column, correct: Column, images: int) -> DataFrame:
+    """padding, scored, correct, accuracy_over_all_images (of images, misses included) and accuracy_where_detected (null
+    where nothing was scored)."""
+    n, right = F.count_if(scored), F.count_if(scored & correct)
+    return rows.groupBy(padding).agg(n.alias("scored"), right.alias("correct"), ratio(right, F.lit(images)).alias("accuracy_over_all_images"), F.try_divide(right.cast("double"), n).alias("accuracy_where_detected"))
+
+
+def verdicts(rows: DataFrame, truth: str, prediction: str) -> DataFrame:
+    """Adds verdict: correct or incorrect; a missing prediction is incorrect."""
+    return rows.withColumn("verdict", F.when(F.col(truth).eqNullSafe(F.col(prediction)), "correct").otherwise("incorrect"))
 
 
 def zero_recall(table: DataFrame) -> DataFrame:

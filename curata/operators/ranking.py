@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chunks at most, whose counts one window may hold.
+CHUNKS = 1 << 16
+
+
 def positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], chunk: Column, name: str = "pos", total: str | None = None) -> DataFrame:
     """Numbers the rows of each group of by from 0 in the given order.
 
@@ -38,8 +42,12 @@ def by_digest(rows: DataFrame, by: Sequence[str], key: str, ties: Sequence[str],
 
 
 def by_number(rows: DataFrame, by: Sequence[str], key: str, name: str = "pos", total: str | None = None, width: int = 4096) -> DataFrame:
-    """positions() in the order of a unique whole number."""
-    return positions(rows, by, [key], F.floor(F.col(key) / width), name, total)
+    """positions() in the order of a unique whole number. Chunks are ranges of width numbers, or wider ones where the
+    numbers are spread so far that there would be more than CHUNKS of them."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is not None:
+        width = max(width, -(-(int(high) - int(low) + 1) // CHUNKS))
+    return positions(rows, by, [key], F.floor((F.col(key) - F.lit(low)) / width), name, total)
 
 
 def first_of(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.manifest import read_json, write_json
+
 
 def prepared(rows: DataFrame, features: str) -> DataFrame:
     """rows whose features are there, as a vector column."""
@@ -31,3 +35,49 @@ def linear_svc(rows: DataFrame, features: str, label: str, rounds: int = 20) ->
 def apply(model: PipelineModel, rows: DataFrame, features: str) -> DataFrame:
     """rows with prediction."""
     return model.transform(prepared(rows, features)).drop("vector", "rawPrediction", "probability")
+
+
+class ModelError(ValueError):
+    """A saved model is not what is expected."""
+
+
+def save(model: PipelineModel, path: str, contract: dict, more: dict | None = None) -> dict:
+    """Saves a model and its contract (what it was fitted on and how) below path; more may not replace the contract's
+    fields. Returns what was saved beside the model."""
+    clash = set(contract) & set(more or {})
+    if clash:
+        raise ModelError(f"fields of the contract can't be replaced: {', '.join(sorted(clash))}")
+    said = contract | (more or {})
+    model.write().save(f"{path}/model")
+    write_json(SparkSession.active(), f"{path}/contract.json", said)
+    return said
+
+
+def load(spark: SparkSession, path: str, required: Sequence[str], expected: dict) -> tuple[PipelineModel, dict]:
+    """A saved model and its contract, if it has all required fields and the expected values."""
+    said = read_json(spark, f"{path}/contract.json")
+    missing = [f for f in required if f not in said]
+    if missing:
+        raise ModelError(f"fields are missing: {', '.join(sorted(missing))}")
+    other = [k for k, v in expected.items() if said.get(k) != v]
+    if other:
+        raise ModelError(f"another contract: {', '.join(sorted(other))}")
+    return PipelineModel.load(f"{path}/model"), said
+
+
+def check_training(epochs: int, batch: int, rate: float, size: int, patience: int, workers: int = 0, per_class: int | None = None, per_split: int | None = None, repeat: int = 1, select_on: str = "validation", extra: tuple[str | None, str | None] = (None, None)) -> None:
+    """An error for values that no training run takes."""
+    rules = [
+        (1 <= epochs <= 100, "epochs must be 1 to 100"),
+        (min(batch, rate, size) > 0, "batch, rate and size must be positive"),
+        (patience > 0, "patience must be positive"),
+        (workers >= 0, "workers must not be negative"),
+        (per_class is None or per_class > 0, "per_class must be positive"),
+        (per_class is None or per_split is None, "per_class and per_split exclude each other"),
+        (repeat >= 1, "repeat must be 1 at least"),
+        (select_on in ("validation", "stress"), "select_on must be validation or stress"),
+        ((extra[0] is None) == (extra[1] is None), "extra rows need a manifest and a root"),
+    ]
+    for holds, said in rules:
+        if not holds:
+            raise ValueError(said)

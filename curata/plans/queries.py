@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, landmarks, vectors
+from ..functions import hashing, landmarks, text, vectors
 from ..operators import dedup, metrics, ranking, sampling, score, selection, splits, validate
 from .embedding_split import CLASSES, SQL, scored, table
 
@@ -239,10 +239,10 @@ def cross_partition_duplicates(spark, sf_dir):
     return dedup.spanning(docs(spark, sf_dir), "sha", "source")
 
 
-@query("SELECT sha256(text) AS sha FROM documents WHERE source = 'src0' INTERSECT SELECT sha256(text) FROM documents WHERE source = 'src1'")
+@query("SELECT sha256(d.text) AS sha FROM documents d JOIN labels USING (doc_id) INTERSECT SELECT sha256(text) FROM documents d WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = d.doc_id)")
 def train_test_overlap(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return dedup.overlap(d.where("source = 'src0'"), d.where("source = 'src1'"), "sha")
+    d, known = docs(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id")
+    return dedup.overlap(d.join(known, "doc_id", "left_semi"), d.join(known, "doc_id", "left_anti"), "sha")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -427,6 +427,85 @@ def crop_box(spark, sf_dir):
     return rows.select("vec_id", "box.*")
 
 
+@query("""WITH p AS (SELECT vec_id, list_transform(range(21), lambda i: [embedding[3 * i + 1]::DOUBLE, embedding[3 * i + 2]::DOUBLE]) AS p FROM embeddings
+), f AS (SELECT vec_id, list_concat(flatten(p), list_transform([9, 13, 17, 21], lambda i: sqrt((p[i][1] - p[1][1]) ** 2 + (p[i][2] - p[1][2]) ** 2))) AS f FROM p)
+SELECT vec_id, CAST(generate_subscripts(f, 1) - 1 AS INT) AS pos, round(unnest(f), 6) + 0.0 AS value FROM f""")
+def plane_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(landmarks.plane_points(F.col("embedding")), landmarks.wrist_to_tips(F.col("embedding"))).alias("f"))
+    return rows.select("vec_id", F.posexplode("f").alias("pos", "value")).select("vec_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("""SELECT n_name, CAST(CASE WHEN n_name[1] IN ('A', 'B', 'C', 'E', 'H', 'M', 'N', 'O', 'S', 'T') THEN 0 WHEN n_name[1] IN ('D', 'I', 'J', 'X', 'Z') THEN 1
+  WHEN n_name[1] IN ('G', 'K', 'L', 'P', 'Q', 'R', 'U', 'V', 'Y') THEN 2 WHEN n_name[1] IN ('F', 'W') THEN 3 END AS INT) AS shape_group FROM nation""")
+def shape_groups(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_name", landmarks.shape_group(F.left("n_name", F.lit(1))).alias("shape_group"))
+
+
+@query("SELECT p_partkey, CAST(k AS INT) AS k, CAST(round_even(k * (p_size + 7 - 1) / 7.0, 0) AS INT) AS channel FROM part CROSS JOIN range(8) r(k)")
+def even_channels(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(vectors.even_channels(F.col("p_size") + 7)).alias("k", "channel"))
+
+
+@query("SELECT o_orderpriority AS run, max(o_totalprice) FILTER (WHERE o_orderstatus <> 'P') AS peak FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY 1")
+def peak_memory(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    first = o.join(o.agg(F.min("o_orderpriority").alias("o_orderpriority")), "o_orderpriority")
+    run = first.agg(F.min("o_orderpriority").alias("run"))
+    return run.join(metrics.peak(first.withColumn("seen", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))), "seen"))
+
+
+@query("""SELECT l_linenumber, count(*) FILTER (WHERE l_quantity > 10) AS scored, count(*) FILTER (WHERE l_quantity > 10 AND l_returnflag = 'N') AS correct,
+  round(count(*) FILTER (WHERE l_quantity > 10 AND l_returnflag = 'N') / (SELECT count(*) FROM orders), 9) AS accuracy_over_all_images,
+  round(count(*) FILTER (WHERE l_quantity > 10 AND l_returnflag = 'N') / nullif(count(*) FILTER (WHERE l_quantity > 10), 0), 9) AS accuracy_where_detected FROM lineitem GROUP BY l_linenumber""")
+def accuracy_by_padding(spark, sf_dir):
+    images = table(spark, sf_dir, "orders").count()
+    return rounded(metrics.by_padding(table(spark, sf_dir, "lineitem"), "l_linenumber", F.col("l_quantity") > 10, F.col("l_returnflag") == "N", images), 9)
+
+
+@query(f"WITH {SQL} SELECT vec_id, CASE WHEN label = prediction THEN 'correct' ELSE 'incorrect' END AS verdict FROM scored")
+def verdicts(spark, sf_dir):
+    return metrics.verdicts(scored(spark, sf_dir), "label", "prediction").select("vec_id", "verdict")
+
+
+@query("""WITH k AS (SELECT DISTINCT lang, sha256(text) AS sha, CASE WHEN left(sha256(text), 1) < '3' THEN 'test' WHEN left(sha256(text), 1) < '6' THEN 'validation' ELSE 'train' END AS split FROM documents)
+SELECT doc_id, k.split FROM documents d JOIN k ON k.lang = d.lang AND k.sha = sha256(d.text)""")
+def source_partitions_split(spark, sf_dir):
+    first = F.left("sha", F.lit(1))
+    rows = docs(spark, sf_dir).withColumn("role", F.when(first < "3", "test").when(first < "6", "validation").otherwise("train"))
+    return splits.layout_split(rows, ["train", "validation", "test"], "lang", "sha", [0.7, 0.15, 0.15]).select("doc_id", "split")
+
+
+@query("""WITH g AS (SELECT lang, sha256(text) AS sha, count(*) AS size FROM documents GROUP BY 1, 2), t AS (SELECT * FROM g WHERE left(sha, 1) >= '3'
+), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || lang || ':' || sha), sha) AS rn, count(*) OVER (PARTITION BY lang) AS groups, sum(size) OVER (PARTITION BY lang) AS n FROM t
+), q AS (SELECT DISTINCT lang, n FROM k), a AS (SELECT lang, n, i, n * r AS want, floor(n * r) AS low FROM q CROSS JOIN (VALUES (0, 0.7::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE)), (1, 0.15::DOUBLE / (0.7::DOUBLE + 0.15::DOUBLE))) x(i, r)
+), u AS (SELECT lang, i, CAST(low + (row_number() OVER (PARTITION BY lang ORDER BY low - want, i) <= n - sum(low) OVER (PARTITION BY lang))::INT AS BIGINT) AS target FROM a
+), y AS (SELECT lang, max(target) FILTER (WHERE i = 0) AS t0, max(target) FILTER (WHERE i = 1) AS t1 FROM u GROUP BY lang
+), w AS (SELECT lang, 0::BIGINT AS rn, NULL::VARCHAR AS sha, 0::BIGINT AS a0, 0::BIGINT AS a1, -1 AS pick FROM y
+  UNION ALL SELECT lang, rn, sha, a0 + (pick = 0)::INT * size, a1 + (pick = 1)::INT * size, pick FROM (
+    SELECT w.lang, k.rn, k.sha, k.size::BIGINT AS size, a0, a1, list_sort(list_filter([
+      (2 * k.size * (a0 - t0) + k.size * k.size, a0 - t0, 0, a0 = 0), (2 * k.size * (a1 - t1) + k.size * k.size, a1 - t1, 1, a1 = 0)],
+      lambda x: x[4] OR (a0 = 0)::INT + (a1 = 0)::INT <> k.groups - k.rn + 1))[1][3] AS pick
+    FROM w JOIN y USING (lang) JOIN k ON k.lang = w.lang AND k.rn = w.rn + 1)
+), placed AS (SELECT lang, sha, list_value('train', 'validation')[pick + 1] AS split FROM w WHERE rn > 0 UNION ALL SELECT lang, sha, 'test' FROM g WHERE left(sha, 1) < '3')
+SELECT doc_id, split FROM documents d JOIN placed p ON p.lang = d.lang AND p.sha = sha256(d.text)""".replace("WITH g", "WITH RECURSIVE g", 1))
+def renormalised_split(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumn("role", F.when(F.left("sha", F.lit(1)) < "3", "test").otherwise("train"))
+    return splits.layout_split(rows, ["train", "test"], "lang", "sha", [0.7, 0.15, 0.15]).select("doc_id", "split")
+
+
+@query(f"""{GRID}, k AS (SELECT DISTINCT source AS side, bits FROM f), p AS (SELECT x.side AS side_a, y.side AS side_b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance, x.bits AS a, y.bits AS b FROM k x JOIN k y ON x.side < y.side AND bit_count(xor(x.bits, y.bits)) <= 5)
+SELECT side_a, side_b, distance, a, b, m.doc_id AS "left", n.doc_id AS "right" FROM p JOIN f m ON m.source = side_a AND m.bits = a JOIN f n ON n.source = side_b AND n.bits = b ORDER BY ALL LIMIT 100""")
+def candidate_samples(spark, sf_dir):
+    rows = _grid(spark, sf_dir)
+    return dedup.candidate_samples(rows, dedup.hamming_pairs(rows, "bits", 5, side="source"), "bits", "source", "doc_id")
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text, '{\"a\":' || doc_id || ',\"b\":\"' || lang || '\"}' AS said FROM documents")
+def flat_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.flat(F.col("text")).alias("text"), text.sorted_json(b=F.col("lang"), a=F.col("doc_id")).alias("said"))
+
+
 @query("""SELECT p_partkey AS name, p_size AS length, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM part""")
 def tensor_offsets(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("length"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import validate
@@ -36,8 +38,14 @@ def images(listed: DataFrame, labels: Sequence[str] = validate.LABELS, deepest:
 
 
 def class_roots(found: DataFrame, labels: Sequence[str] = validate.LABELS) -> DataFrame:
-    """class_root and role of folders that hold all classes."""
-    return found.groupBy("class_root", "role").agg(F.countDistinct("label").alias("n")).where(F.col("n") == len(labels)).select("class_root", "role")
+    """class_root and role of folders that hold all classes. Below such a folder there are no others: copies of a dataset
+    inside one of its classes are not looked at."""
+    whole = found.groupBy("class_root", "role").agg(F.countDistinct("label").alias("n")).where(F.col("n") == len(labels)).select("class_root", "role")
+    parts = F.split("class_root", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    inside = whole.select("class_root", F.explode(F.filter(F.array_distinct(above), lambda a: a != F.col("class_root"))).alias("outer"))
+    inside = inside.join(whole.select(F.col("class_root").alias("outer")), "outer", "left_semi").select("class_root").distinct()
+    return whole.join(inside, "class_root", "left_anti")
 
 
 def choose_roots(roots: DataFrame) -> dict[str, str]:
@@ -51,6 +59,16 @@ def choose_roots(roots: DataFrame) -> dict[str, str]:
     return {role: by[role].root for role in ("train", "validation", "test") if role in by}
 
 
+def choose_external_root(roots: DataFrame) -> str:
+    """The root of an outside dataset: the only one, or the only one that is a test root."""
+    by = {r.role: r for r in roots.groupBy("role").agg(F.count("*").alias("n"), F.min("class_root").alias("root")).collect()}
+    if sum(r.n for r in by.values()) == 1:
+        return next(iter(by.values())).root
+    if "test" in by and by["test"].n == 1:
+        return by["test"].root
+    raise LayoutError(f"cannot tell which of these roots to take: { {k: r.n for k, r in by.items()} }")
+
+
 def fingerprinted(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
     """listed with sha256 of each file's bytes, which are read here and only here."""
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -64,7 +82,65 @@ def read_manifest(spark: SparkSession, path: str, **options) -> DataFrame:
     if tuple(header) != validate.FIELDS:
         raise validate.ContractError(f"header {header}")
     rows = spark.read.schema(validate.MANIFEST).option("header", "true").option("mode", "FAILFAST").option("emptyValue", "").csv(path)
-    return validate.require(rows.withColumn("line", F.monotonically_increasing_id()), **options).drop("line")
+    return validate.require(with_lines(rows), **options).drop("line")
+
+
+def with_lines(rows: DataFrame) -> DataFrame:
+    """rows, just read from files with a header, with line: the number of their line in its file, the header being 1.
+
+    Rows are counted by the stretch of a file that a task reads; stretches then stand behind each other."""
+    own = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"))
+    sizes = own.groupBy("__file", "__from").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__file", "__from", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("__file", "__from").orderBy("__id"))
+    return own.withColumn("__place", place).join(sizes, ["__file", "__from"]).withColumn("line", F.col("__ahead") + F.col("__place") + 1).drop("__file", "__from", "__id", "__place", "__ahead")
+
+
+def resolve(spark: SparkSession, folder: str, split: str) -> str:
+    """The manifest of a split in a folder: the first of its usual names that is there."""
+    names = [f"{split}.csv", f"manifest_{split}.csv", f"{split}_manifest.csv"]
+    for name in names:
+        try:
+            spark.read.text(f"{folder}/{name}").schema  # noqa: B018  resolving the path is the test
+            return f"{folder}/{name}"
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no {split} manifest in {folder}; expected {', '.join(names)}")
+
+
+def read_split(spark: SparkSession, path: str, split: str, labels: Sequence[str] = validate.LABELS) -> DataFrame:
+    """read_manifest(), and all rows must be of one split with known labels, and there must be some."""
+    rows = read_manifest(spark, path, labels=labels)
+    found = validate.wrong_split(rows, split).first()
+    if not found.n_rows:
+        raise validate.ContractError(f"no rows in {path}")
+    if found.n_violations:
+        raise validate.ContractError(f"{found.n_violations} rows of {path} are of another split than {split}")
+    return rows
+
+
+def verified(spark: SparkSession, path: str, root: str, split: str | None = None) -> DataFrame:
+    """The rows of a manifest, if the files below root are there and still have the recorded bytes."""
+    rows = read_split(spark, path, split) if split else read_manifest(spark, path)
+    listed = files(spark, root)
+    actual = fingerprinted(spark, listed, root).select("path", F.col("sha256").alias("actual"))
+    first = validate.changed_content(rows, actual).agg(F.min(F.struct("path", "status")).alias("v")).first()["v"]
+    if first:
+        raise validate.ContractError(f"{first['path']}: {first['status']}")
+    return rows
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small document as JSON with sorted keys, by Spark's own commit: a folder with one text file."""
+    said = json.dumps(value, indent=2, sort_keys=True)
+    spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
+
+
+def read_json(spark: SparkSession, path: str):
+    """What write_json() wrote."""
+    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()))
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -85,9 +161,10 @@ def read_features(spark: SparkSession, paths: Sequence[str], size: int = 79, con
 
 
 def write_features(rows: DataFrame, path: str, contract: str = "landmark-v1") -> DataFrame:
-    """Writes (path, label, features) with the contract; null features are misses and stay. Returns considered, extracted
-    and detection_rate in one row."""
+    """Writes (path, label, features) with the contract; null features are misses and stay. The misses of each
+    class go to path.missed.json. Returns considered, extracted and detection_rate in one row."""
     rows.withColumn("contract", F.lit(contract)).write.mode("errorifexists").parquet(path)
+    write_json(rows.sparkSession, f"{path.rstrip('/')}.missed.json", {str(r.label): r.n for r in rows.where(F.col("features").isNull()).groupBy("label").agg(F.count("*").alias("n")).collect()})  # one row a class
     return rows.agg(F.count("*").alias("considered"), F.count("features").alias("extracted"), F.coalesce(F.try_divide(F.count("features").cast("double"), F.count("*")), F.lit(0.0)).alias("detection_rate"))
 
 
