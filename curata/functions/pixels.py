@@ -88,8 +88,10 @@ def to_hsv(image: np.ndarray) -> np.ndarray:
     span = np.where(high > low, high - low, 1)
     r, g, b = ((high[..., None] - x) / span[..., None]).transpose(2, 0, 1)
     turn = np.select([x[..., 0] == high, x[..., 1] == high], [b - g, 2 + r - b], 4 + g - r)
-    hue = np.where(high > low, np.fmod(turn / 6 + 1, 1), 0)
-    return np.stack([(hue * 255).astype(np.uint8), np.where(high > 0, (high - low) / np.maximum(high, 1) * 255, 0).astype(np.uint8), high.astype(np.uint8)], -1)
+    # Shares in single precision, as common imaging libraries have them, so that thirds don't fall short.
+    hue = np.where(high > low, np.fmod(turn / 6 + 1, 1), 0).astype(np.float32).astype(np.float64)
+    much = ((high - low) / np.maximum(high, 1)).astype(np.float32).astype(np.float64)
+    return np.stack([(hue * 255).astype(np.uint8), (much * 255).astype(np.uint8), high.astype(np.uint8)], -1)
 
 
 def from_hsv(image: np.ndarray) -> np.ndarray:
