@@ -48,56 +48,81 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int) -> DataFrame:
-    """Cuts each document's ids (null text: only end_id) into pieces of at most length ids; the last one is the rest."""
+    """Cuts each document's ids (null text: only end_id) into pieces of at most length ids; the last one is the rest.
+    Adds row, the number of the document's row: its task's and its place in the task."""
 
     def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-        own = tokens.encoder(tokenizer_path, keeps_space=False)
-        step = length * own.dtype.itemsize
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, ids in zip(batch["doc_id"], own.encode(batch["text"], end_id), strict=True):
-                total = len(ids) // own.dtype.itemsize
-                rows += [(None if pd.isna(doc) else int(doc), at // own.dtype.itemsize, len(ids[at : at + step]) // own.dtype.itemsize, ids[at : at + step], total) for at in range(0, len(ids), step)]
-                held += len(ids)
-                if held > 4_000_000:
-                    yield _frame(rows)
-                    rows, held = [], 0
-            yield _frame(rows)
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+        own, row = tokens.encoder(tokenizer_path, keeps_space=False), TaskContext.get().partitionId() << 40
+        size = own.dtype.itemsize
+        step = length * size
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "row"]
+        out: list[tuple] = []
+        held = 0
 
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-def _frame(rows: list[tuple]):
-    import pandas as pd
-
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-    return out.astype({"doc_id": "Int64"})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for doc, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist(), end_id), strict=True):
+                    total = len(ids) // size
+                    for k in range(0, len(ids), step):
+                        piece = ids[k : k + step]
+                        out.append((doc, k // size, len(piece) // size, piece, total, row))
+                        held += len(piece)
+                        if held > 2_000_000:
+                            yield told()
+                            out, held = [], 0
+                    row += 1
+        if out:
+            yield told()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"{PIECES}, row long")
+
+
+def _wide(ids, n: int):
+    """Binary values of 16- or 32-bit ids, n ids in all, as 32-bit ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    lengths = np.fromiter((len(x) for x in (v.as_buffer() for v in ids)), np.int64, len(ids))
+    raw = np.frombuffer(b"".join(v.as_buffer() for v in ids), np.uint8)
+    if not n or len(raw) == 4 * n:
+        return ids
+    data = raw.view("<u2").astype("<u4").tobytes()
+    ends = np.concatenate([[0], np.cumsum(2 * lengths)]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, group_bytes: int = 8 << 20, seed: int = 7) -> DataFrame:
     """Packs the tokens of all docs (doc_id, text) into sequences of at most length ids.
 
-    Pieces are dealt to random groups of about group_bytes of text each, so that a group always fits one task, whatever
-    one document or source holds; in each group first-fit decreasing fills its sequences. Returns one row per piece:
-    doc_id, start, length, ids (little-endian, 32 bits each), doc_tokens, sequence_id, offset. A null text is empty and
-    gives its end id alone; null and repeated doc_id are allowed, every row is packed; further columns are ignored; an
-    empty table gives no rows. Ties in length go by doc_id and start, so a rerun packs alike.
+    Pieces are dealt to random groups of about group_bytes each, counting a text's bytes and 64 for each row, so that a
+    group always fits one task, whatever one document, doc_id or source holds; in each group first-fit decreasing fills
+    its sequences. Returns one row per piece: doc_id, start, length, ids (little-endian, 32 bits each), doc_tokens,
+    sequence_id, offset. A null text is empty and gives its end id alone; null and repeated doc_id are allowed, every row
+    is packed and dealt on its own; further columns are ignored; an empty table gives no rows. Ties in length go by
+    doc_id, start and row, so a rerun over the same files packs alike.
     """
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
     groups = max(1, -(-int(total) // group_bytes))
-    pieces = token_pieces(docs, tokenizer_path, end_id, length).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
+    pieces = token_pieces(docs, tokenizer_path, end_id, length).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(groups)))
 
     def fill(group):
         import numpy as np
+        import pyarrow as pa
 
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        at = np.array(first_fit_decreasing(group["length"].tolist(), length), dtype="int64").reshape(-1, 2)
-        group["sequence_id"] = (group["bucket"].to_numpy("int64") << 32) + at[:, 0]
-        group["offset"] = at[:, 1]
-        group["ids"] = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4").tobytes() for x, n in zip(group["ids"], group["length"], strict=True)]
-        return group.drop(columns="bucket")
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        lengths = group.column("length").to_pylist()
+        at = np.array(first_fit_decreasing(lengths, length), dtype="int64").reshape(-1, 2)
+        sequence = (np.int64(group.column("bucket")[0].as_py()) << 32) + at[:, 0]
+        group = group.set_column(group.schema.get_field_index("ids"), "ids", _wide(group.column("ids"), sum(lengths)))
+        return group.drop_columns(["bucket", "row"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(at[:, 1]))
 
-    return pieces.groupBy("bucket").applyInPandas(fill, PACKED)
+    return pieces.groupBy("bucket").applyInArrow(fill, PACKED)
