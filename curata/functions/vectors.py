@@ -58,7 +58,8 @@ def cross_entropy(probabilities: Column, place: Column, smoothing: float = 0.0)
 def jitter(values: Column, scale: float, seed: int, key: Column) -> Column:
     """values with normal noise that depends on seed, key and place only, so on no partitioning."""
     def unit(i: Column, salt: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key, i), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(salt)), key.cast("string"), i.cast("string")))
+        return (F.conv(F.substring(drawn, 1, 10), 16, 10).cast("long") + 1) / F.lit(float((1 << 40) + 1))
 
     return F.transform(values, lambda v, i: v + scale * F.sqrt(-2 * F.ln(unit(i, 1))) * F.cos(2 * F.pi() * unit(i, 2)))
 

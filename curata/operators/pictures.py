@@ -57,6 +57,10 @@ def corrupted(rows: DataFrame) -> DataFrame:
     return map_pictures(rows, lambda x, r: pixels.corrupt(x, r.corruption, int(r.seed)).tobytes(), "pixels", "binary")
 
 
+#: Fixed value: a compact network has fewer parameters.
+MOST_PARAMETERS = 1_000_000
+
+
 class Cnn:
     """Three blocks of two 3 x 3 convolutions with normalisation and a pool, then an average and a linear layer."""
 
@@ -70,6 +74,8 @@ class Cnn:
                 before = width
             self.blocks.append(block)
         self.weights, self.bias = rng.normal(0, 0.1, (classes, before)), np.zeros(classes)
+        if self.parameters() >= MOST_PARAMETERS:
+            raise ValueError(f"{self.parameters()} parameters are too many for a compact network")
 
     def parameters(self) -> int:
         return sum(w.size + g.size + b.size for block in self.blocks for w, g, b, *_ in block) + self.weights.size + self.bias.size

@@ -78,6 +78,21 @@ def ordered_digest(rows: DataFrame, order: Sequence[str], line: Column) -> DataF
     return rows.agg(F.sha2(F.array_join(F.transform(said, lambda s: s["__line"]), ""), 256).alias("digest"), F.count("*").alias("n_rows"))
 
 
+#: Rows whose lines may meet in one row.
+ORDERED_ROWS = 100_000
+
+
+def row_set_digest(rows: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
+    """ordered_digest() of few rows, tree_digest() of more; which of them follows from the number of rows alone."""
+    few = rows.limit(ORDERED_ROWS + 1).count() <= ORDERED_ROWS
+    return ordered_digest(rows, order, line) if few else tree_digest(rows, line)
+
+
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows in the order of a unique key."""
+    return rows.orderBy(key).limit(n)
+
+
 def tree_digest(rows: DataFrame, line: Column, buckets: int = 65536) -> DataFrame:
     """One row (digest, n_rows) for row sets of any size and order: lines meet by bucket of their own digest, then the
     buckets' digests meet."""

@@ -82,6 +82,11 @@ def empty_classes(rows: DataFrame, label: str, expected: DataFrame) -> DataFrame
     return expected.join(rows.select(label).distinct(), label, "left_anti")
 
 
+def known_classes(rows: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
+    """rows of the named classes; others, and rows without a class, are left out."""
+    return rows.where(F.col(label).isin(*names))
+
+
 def role_of(path: Column, roles: dict[str, Sequence[str]] = ROLES) -> Column:
     """The split that the nearest telling folder above a file names, whatever its case and dashes; else null."""
     folders = F.reverse(F.slice(F.split(F.replace(F.lower(path), F.lit("-"), F.lit("_")), "/"), 1, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1)))

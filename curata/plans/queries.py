@@ -199,7 +199,7 @@ def corruption_assignment(spark, sf_dir):
 
 @query("SELECT sha256(string_agg(n_nationkey || chr(9) || n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS n_rows FROM nation")
 def row_set_digest(spark, sf_dir):
-    return sampling.ordered_digest(table(spark, sf_dir, "nation"), ["n_nationkey"], F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), "n_name", F.lit("\n")))
+    return sampling.row_set_digest(table(spark, sf_dir, "nation"), ["n_nationkey"], F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), "n_name", F.lit("\n")))
 
 
 @query("""SELECT lang, count(*) AS n, round(sum(is_extra) / count(*), 6) AS share FROM (SELECT lang, 0 AS is_extra FROM documents UNION ALL SELECT lang, 1 FROM documents, range(7) WHERE source = 'src3') GROUP BY lang""")
@@ -435,6 +435,16 @@ def plane_features(spark, sf_dir):
     return rows.select("vec_id", F.posexplode("f").alias("pos", "value")).select("vec_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
 
 
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 200")
+def first_200(spark, sf_dir):
+    return sampling.first_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+def known_classes(spark, sf_dir):
+    return validate.known_classes(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["en", "de"])
+
+
 @query("""SELECT n_name, CAST(CASE WHEN n_name[1] IN ('A', 'B', 'C', 'E', 'H', 'M', 'N', 'O', 'S', 'T') THEN 0 WHEN n_name[1] IN ('D', 'I', 'J', 'X', 'Z') THEN 1
   WHEN n_name[1] IN ('G', 'K', 'L', 'P', 'Q', 'R', 'U', 'V', 'Y') THEN 2 WHEN n_name[1] IN ('F', 'W') THEN 3 END AS INT) AS shape_group FROM nation""")
 def shape_groups(spark, sf_dir):
@@ -560,10 +570,14 @@ def linear_bn_relu(spark, sf_dir):
     return rows.select("vec_id", *(F.round(F.col("y")[i], 5).alias(f"y{i}") for i in range(4)))
 
 
-@query()
+_unit = lambda salt: f"((('0x' || md5('42:{salt}:' || vec_id || ':' || (k - 1))[1:10])::BIGINT + 1) / 1099511627777.0::DOUBLE)"
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)
+SELECT vec_id, CAST(k - 1 AS INT) AS pos, round(v + 0.01 * sqrt(-2 * ln({_unit(1)})) * cos(2 * pi() * {_unit(2)}), 6) + 0.0 AS value FROM e""")
 def jitter(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.jitter(F.col("embedding").cast("array<double>"), 0.01, 42, F.col("vec_id")).alias("features"))
-    return rows
+    return rows.select("vec_id", F.posexplode("features").alias("pos", "value")).select("vec_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS position FROM lineitem")
@@ -580,10 +594,22 @@ def ml_random_forest(spark, sf_dir):
     return training.apply(training.forest(rows, "embedding", "label"), rows, "embedding").select("vec_id", "label", "prediction")
 
 
-@query()
+_mlp = [[[((3 * i + 7 * j + n) % 11 - 5) / 10 for j in range(a)] for i in range(b)] for n, (a, b) in enumerate(((64, 12), (12, 8), (8, 10)))]
+_layer = lambda n, x: f"[{', '.join(f'list_dot_product({x}, {w}::DOUBLE[]) + {0.1 * i}' for i, w in enumerate(_mlp[n]))}]"
+_positive = lambda x: f"list_transform({x}, lambda v, i: greatest(0.0::DOUBLE, (v - 0.05 * i) / sqrt(0.5 + i + 1e-5::DOUBLE) * (1 + 0.1 * i) + 0.2))"
+
+
+@query(f"""WITH a AS (SELECT vec_id, {_positive(_layer(0, 'embedding::DOUBLE[]'))} AS x FROM embeddings), b AS (SELECT vec_id, {_positive(_layer(1, 'x'))} AS x FROM a), c AS (SELECT vec_id, {_layer(2, 'x')} AS x FROM b)
+SELECT vec_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, round(unnest(x), 5) + 0.0 AS logit FROM c""")
 def mlp_forward(spark, sf_dir):
+    import numpy as np
+
     from ..operators import pictures
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", landmarks.features(landmarks.points_of(F.col("embedding")), F.lit("right")).alias("features"))
-    out = pictures.feature_logits(rows, "features", pictures.Mlp())
-    return out.select("vec_id", vectors.argmax(F.col("logits")).alias("prediction"))
+    model = pictures.Mlp((64, 12, 8, 10))
+    model.layers = [(np.array(w), 0.1 * np.arange(len(w))) for w in _mlp]
+    at = [np.arange(1, len(w) + 1) for w in _mlp[:2]]
+    model.norms = [(1 + 0.1 * i, np.full(len(i), 0.2), 0.05 * i, 0.5 + i) for i in at]
+    out = pictures.feature_logits(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", model)
+    return out.select("vec_id", F.posexplode("logits").alias("pos", "logit")).select("vec_id", "pos", (F.round("logit", 5) + 0.0).alias("logit"))
+
