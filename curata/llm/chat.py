@@ -34,7 +34,9 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, chunk: int
     within the same stretch of budget - history tokens share one, and a turn that runs over the end of a stretch has
     one to itself, so a window's own turns exceed the stretch only where a single turn does. A window begins with its
     conversation's system turn (the first turn, if its role is system), then repeats the whole turns that lie within
-    the history tokens before it. The loss mask covers the texts of own assistant turns; repeated ones are masked.
+    the history tokens before it. The system turn comes off the budget first, and history and stretch share the rest as
+    they share the whole budget elsewhere: a window exceeds the budget only by a single own turn that is longer than the
+    stretch, or where the system turn alone leaves no room. The loss mask covers the texts of own assistant turns; repeated ones are masked.
 
     A conversation may be of any length: its prefix sums are taken first over chunks of turn numbers, then within each,
     and its windows are built apart from each other. Turns are ordered by turn, role, text, nulls first; a null role or
@@ -42,32 +44,36 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, chunk: int
     are ignored; an empty table gives no rows. Returns conv_id, window (rising along the conversation), formatted,
     n_context (turns at its head that are repeated), n_own, loss_spans (start and end in code points of formatted).
     """
-    stretch = budget - history
-    if stretch < 1 or history < 0:
+    if budget <= history or history < 0:
         raise ValueError("the budget must exceed the history")
     # The chunk of a turn must not depend on other rows, so it is taken from its number; nulls come first.
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))))
     rows = rows.withColumn("tokens", token_count(F.col("text")) + token_count(F.col("role")) + MARKS)
     ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("in_chunk"), F.count("*").alias("n_chunk"))
-    chunks = chunks.select("conv_id", "chunk", F.coalesce(F.sum("in_chunk").over(ahead), F.lit(0)).alias("tokens_ahead"), F.coalesce(F.sum("n_chunk").over(ahead), F.lit(0)).alias("n_ahead"))
+    # Of several first turns with one number and role the longest counts for the system turn's share of the budget.
+    first = F.min(F.struct("turn", "role", (-F.col("tokens")).alias("less")))
+    chunks = rows.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("in_chunk"), F.count("*").alias("n_chunk"), first.alias("first"))
+    head = F.min("first").over(Window.partitionBy("conv_id"))
+    room = F.greatest(F.lit(1), budget - F.when(head["role"] == "system", -head["less"]).otherwise(0))
+    chunks = chunks.select("conv_id", "chunk", F.coalesce(F.sum("in_chunk").over(ahead), F.lit(0)).alias("tokens_ahead"), F.coalesce(F.sum("n_chunk").over(ahead), F.lit(0)).alias("n_ahead"), room.alias("room"))
+    chunks = chunks.withColumn("history", F.floor(F.col("room") * history / budget)).withColumn("stretch", F.greatest(F.lit(1), F.col("room") - F.col("history")))
     order = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
-    c = chunks.select(F.col("conv_id").alias("c_id"), F.col("chunk").alias("c_chunk"), "tokens_ahead", "n_ahead")
+    c = chunks.select(F.col("conv_id").alias("c_id"), F.col("chunk").alias("c_chunk"), "tokens_ahead", "n_ahead", "history", "stretch")
     rows = rows.join(c, F.col("conv_id").eqNullSafe(F.col("c_id")) & (F.col("chunk") == F.col("c_chunk")))
     rows = rows.withColumn("end", F.col("tokens_ahead") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("pos", F.col("n_ahead") + F.row_number().over(order) - 1).withColumn("begin", F.col("end") - F.col("tokens"))
-    first, last = F.floor(F.col("begin") / stretch), F.floor((F.col("end") - 1) / stretch)
-    rows = rows.withColumn("window", 2 * first + (first != last).cast("long")).select("conv_id", "pos", "role", "text", "begin", "end", "window")
+    first, last = F.floor(F.col("begin") / F.col("stretch")), F.floor((F.col("end") - 1) / F.col("stretch"))
+    rows = rows.withColumn("window", 2 * first + (first != last).cast("long")).select("conv_id", "pos", "role", "text", "begin", "end", "window", "history", "stretch")
 
     # History: a turn may be repeated by the windows that begin up to history tokens after it began, a few at most.
     starts = rows.groupBy("conv_id", "window").agg(F.min("begin").alias("w_begin")).select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w_window"), "w_begin")
-    nearest = F.greatest(F.col("window") + 1, 2 * F.floor(F.col("end") / stretch))
-    farthest = F.greatest(nearest, 2 * F.floor((F.col("begin") + history) / stretch) + 1)
-    spread = rows.where(F.col("end") - F.col("begin") <= history).withColumn("w", F.explode(F.sequence(nearest, farthest)))
+    nearest = F.greatest(F.col("window") + 1, 2 * F.floor(F.col("end") / F.col("stretch")))
+    farthest = F.greatest(nearest, 2 * F.floor((F.col("begin") + F.col("history")) / F.col("stretch")) + 1)
+    spread = rows.where(F.col("end") - F.col("begin") <= F.col("history")).withColumn("w", F.explode(F.sequence(nearest, farthest)))
     spread = spread.join(starts, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("w") == F.col("w_window")))
     is_system = (F.col("pos") == 0) & (F.col("role") == "system")
-    repeated = spread.where((F.col("begin") >= F.col("w_begin") - history) & (F.col("end") <= F.col("w_begin")) & ~is_system)
+    repeated = spread.where((F.col("begin") >= F.col("w_begin") - F.col("history")) & (F.col("end") <= F.col("w_begin")) & ~is_system)
     heads = rows.where(is_system).select(F.col("conv_id").alias("h_conv"), F.col("pos"), "role", "text", F.col("window").alias("h_window"))
     kept = starts.join(heads, F.col("w_conv").eqNullSafe(F.col("h_conv")) & (F.col("w_window") > F.col("h_window")))
     segments = (
