@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """names, each with as many underscores ahead as it takes to differ from every name in taken, whatever its case."""
+    ahead, lower = "_", [t.lower() for t in taken]
+    while any(t.startswith(ahead) for t in lower):
+        ahead += "_"
+    return [ahead + n for n in names]
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 

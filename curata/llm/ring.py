@@ -7,6 +7,8 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BITS = 64
 
 
@@ -59,7 +61,7 @@ def deal(counts: dict[int, int], nodes: list[tuple[int, int]], capacity: list[in
     return merged
 
 
-def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int = 14, slack: float = 0.0, seed: int = 11) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int = 14, slack: float = 0.0, seed: int = 11, cell_rows: int = 1_000_000) -> DataFrame:
     """Puts each row of docs (doc_id, text) into a shard of a ring with bounded loads.
 
     The ring has 2 ** cell_bits cells; a row lies on the cell of its doc_id's hash, and each shard has vnodes virtual
@@ -67,9 +69,11 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int
     most one apart, and all shards are full to the last row. Rows that overflow a full shard go on clockwise.
 
     The driver sees one count for each cell, at most 2 ** cell_bits of them, however many rows there are. Ranks are
-    taken within a cell, so rows spread over that many groups whatever their source or text. Returns doc_id, size (UTF-8
+    taken within a cell, so rows spread over that many groups whatever their source or text, and cells of over cell_rows
+    rows, as one repeated or null doc_id makes them, are ranked in parts. Returns doc_id, size (UTF-8
     bytes of the text, null: none, plus 16), text_crc32 (of the UTF-8 text, null: of nothing), shard, slot (gapless from 0
-    in its shard). Null doc_ids share one cell; repeated rows each get their own slot; an empty table gives no rows.
+    in its shard). Null doc_ids share one cell; repeated rows each get their own slot; texts of any length count
+    whole; further columns are ignored, whatever their names; an empty table gives no rows.
     """
     if shards < 1 or vnodes < 1 or slack < 0:
         raise ValueError("shards and vnodes must be positive and slack not negative")
@@ -86,8 +90,22 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), on_cell.alias("cell"))
-    order = Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    hot = [(cell, -(-n // cell_rows)) for cell, n in counts.items() if n > cell_rows]
+    if hot:
+        # Rows of a cell are dealt on to parts of it, equal ones too, and ranked in each; parts stand behind each other.
+        # The deal is written down, so that both readings see the same.
+        parts = F.broadcast(spark.createDataFrame(hot, "h_cell int, parts long"))
+        dealt = rows.join(parts, F.col("cell") == F.col("h_cell"), "left").drop("h_cell")
+        at = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+        rows = written(dealt.withColumn("part", at).drop("parts"), "ring")
+        ahead = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+        sizes = sizes.select(F.col("cell").alias("s_cell"), F.col("part").alias("s_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+        rows = rows.join(sizes, (F.col("cell") == F.col("s_cell")) & (F.col("part") == F.col("s_part"))).drop("s_cell", "s_part")
+    else:
+        rows = rows.withColumn("part", F.lit(0)).withColumn("ahead", F.lit(0))
+    order = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("rank", F.col("ahead") + F.row_number().over(order).cast("long") - 1)
     # A cell has one part, and one more for each overflow: the plan is bounded by the ring, not by the rows.
     placed = ranked.join(F.broadcast(plan_df), (F.col("cell") == F.col("p_cell")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("p_slot") + F.col("rank") - F.col("p_from")).alias("slot"))
