@@ -38,6 +38,41 @@ def test_templates_variable_words(spark):
     compare(templates.sql(s), rows, got)
 
 
+def test_templates_of_one_leaf_are_kept_apart(spark):
+    """Three templates of ten lines, and lines of their own, in one leaf."""
+    forms = ["job {} was started by {} on the first node of all", "job {} was stopped after {} hours with no error at all", "job {} was queued behind {} others by the new planner rule"]
+    rows = [(10 * f + k, form.format(f"n{'abcdefghij'[k]}", f"v{'klmnopqrst'[k]}")) for f, form in enumerate(forms) for k in range(10)]
+    rows += [(100 + k, f"job z{'abcd'[k]} was " + " ".join(f"o{'abcd'[k]}{'efghijkl'[j]}" for j in range(8))) for k in range(4)]
+    s = templates.Settings(depth=1)
+    got = templates.drop_lines(frame(spark, rows), s).collect()
+    assert sum(r.n_dropped for r in got) == 27 and {r.doc_id for r in got if not r.n_dropped} == {0, 10, 20, 100, 101, 102, 103}
+    compare(templates.sql(s), rows, got)
+    alone = templates.drop_lines(frame(spark, rows[:10]), s).collect()
+    assert sum(r.n_dropped for r in alone) == 9
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60))
+    rows = [(1, f"{long}\nmy own words are these"), (2, f"{long}\nand others are in here"), (3, "a line of just six words"), (4, "a line of just six words")]
+    got = templates.drop_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 0, 4: 0}
+    compare(templates.sql(), rows, got)
+
+
+def test_templates_leave_clashing_columns_alone(spark):
+    names = ("doc", "text_hash", "dropped_lines", "_doc", "template", "first_doc", "line_no")
+    rows = [(i, "shared line of more than five words\nown", *[f"{n}{i}" for n in names]) for i in range(4)]
+    got = templates.drop_lines(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert {(r.doc_id, r.n_dropped) for r in got} == {(0, 0), (1, 1), (2, 1), (3, 1)}
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+def test_templates_of_a_text_of_many_lines(spark):
+    text = "\n".join(f"this very line is in all of them {'abcdefghij'[k % 10]}" for k in range(40_000))
+    got = templates.drop_lines(frame(spark, [(1, text), (2, text), (3, text + "\nrest")])).collect()
+    assert {(r.doc_id, r.n_dropped, r.text == "rest") for r in got} == {(1, 0, False), (2, 40_000, False), (3, 40_000, True)}
+
+
 @pytest.mark.parametrize("n", [0, 40])
 def test_templates_against_sql(spark, n):
     words = ["a", "b", "the", "of", "x1", "42", "é"]
