@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score, 0 to 1, to docs (text and any further columns); a null text is scored as an empty one."""
+    """Adds score, 0 to 1, to docs (text and any further columns); a null text is scored as an empty one, a text of any
+    length whole. Repeated rows are scored alike, each on its own; an empty table gives no rows; a column of docs named score
+    is replaced, others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: list[str | None]) -> dict[str, list]:

@@ -162,10 +162,13 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return Model(labels, idf.astype(np.float32), w.astype(np.float32), heat, s.features)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score (its probability) to docs (text, any further columns), reading whole texts.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score (its probability), under these names, to docs (text, any further columns), reading whole
+    texts, whatever their length.
 
-    A text that is null or has no letter gets `und` and score 0. Without a single learned language all are `und`.
+    A text that is null or has no letter gets `und` and score 0. Without a single learned language all are `und`. Of
+    languages with equal scores the first by name is taken; repeated rows are scored alike, each on its own; an empty table
+    gives no rows; columns of docs with the added names are replaced, others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,13 +177,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         texts = [x or "" for x in texts]
         lettered = np.array([charcodes.has_letter(charcodes.codes(x)) for x in texts], dtype=bool)
         if not m.labels:
-            return {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts)}
+            return dict(zip(names, ([UNDETERMINED] * len(texts), [0.0] * len(texts)), strict=True))
         counts = np.stack([ngram_counts(x, m.features) for x in texts])
         p = softmax((tf_idf(counts, m.idf) @ m.weights[:-1] + m.weights[-1]) / m.heat)
         best = p.argmax(1)
-        return {"lang_pred": [m.labels[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)], "score": np.where(lettered, p[np.arange(len(best)), best], 0.0).tolist()}
+        return dict(zip(names, ([m.labels[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)], np.where(lettered, p[np.arange(len(best)), best], 0.0).tolist()), strict=True))
 
-    return by_text(docs, score, "lang_pred string, score double", rows=64)
+    return by_text(docs, score, f"`{names[0]}` string, `{names[1]}` double", rows=64)
 
 
 def held_out() -> Column:

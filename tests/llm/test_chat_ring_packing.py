@@ -44,6 +44,37 @@ def test_chat_windows_stay_in_budget(spark):
         assert w.formatted.count("<|turn|>") * 8 <= 100
 
 
+@pytest.mark.parametrize("system", [1, 20, 60, 85])
+def test_the_system_turn_is_in_the_budget(spark, system):
+    import re
+
+    rows = [(1, 0, "system", "rule " * system, None)] + [(1, i, "user", "one two" if i % 3 else "three four five", None) for i in range(1, 200)]
+    size = lambda said: len(re.findall(r"[^\W_]+", said.replace("<|turn|>", " ").replace("<|text|>", " ").replace("<|end|>", " "))) + 4 * said.count("<|turn|>")
+    out = chat.windows(talk(spark, rows), 100, 30).collect()
+    assert len(out) > 8 and all(size(w.formatted) <= 100 and w.formatted.startswith("<|turn|>system<|text|>rule") for w in out)
+    assert any(w.n_context > 1 for w in out) == (system < 85)
+
+
+def test_chat_against_sql(spark):
+    import duckdb
+
+    from curata.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    want = con.execute(queries.OP1_SQL)
+    names = [c[0] for c in want.description]
+    got = queries.op1_chat(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(want.fetchall()) == sorted(tuple(r[n] for n in names) for r in got)
+    assert all(r.formatted_chars > r.loss_chars for r in got)
+
+
+def test_chat_very_long_text(spark):
+    rows = [(1, 0, "user", "hi", None), (1, 1, "assistant", "word </s> " * 200_000, None), (1, 2, "user", "bye", None)]
+    (got,) = chat.digests(chat.windows(talk(spark, rows))).collect()
+    assert (got.n_turns, got.loss_chars) == (3, 2_000_000) and got.loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
+
+
 def test_chat_empty(spark):
     assert chat.digests(chat.windows(talk(spark, []))).collect() == []
 
@@ -82,6 +113,40 @@ def test_ring_overflow_follows_the_ring():
     assert [placed[5, r] for r in range(3)] == [1, 1, 1] and placed[7, 0] == 2
 
 
+@pytest.mark.parametrize("doc", [None, 5])
+def test_ring_ranks_one_id_on_all_rows_in_parts(spark, doc):
+    rows = [(doc, f"t{i % 3}", 1, 1, "x") for i in range(700)] + [(i, None, 1, 1, "x") for i in range(100)]
+    got = ring.assign_shards(docs(spark, rows), 7, vnodes=8, cell_bits=8, cell_rows=100).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 800 and max(counts.values()) - min(counts.values()) <= 1
+    for shard in counts:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(counts[shard]))
+    assert Counter(r.text_crc32 for r in got) == Counter(zlib.crc32((r[1] or "").encode()) for r in rows)
+
+
+def test_ring_against_a_plain_walk(spark):
+    """Every row on the first shard with room that its cell meets clockwise, cells in rounds as the rows overflow."""
+    rows = [(i * 37, "t", 1, 1, "x") for i in range(400)]
+    got = {r.doc_id: r.shard for r in ring.assign_shards(docs(spark, rows), 5, vnodes=4, cell_bits=6).collect()}
+    nodes = ring.ring(spark, 5, 4, 6, 11)
+    from pyspark.sql import functions as F
+
+    cells = {r.doc_id: r.cell for r in docs(spark, rows).select("doc_id", ring._cell([F.col("doc_id")], 6, 11).alias("cell")).collect()}
+    room, waiting, want = dict.fromkeys(range(5), 80), sorted(cells, key=lambda d: (cells[d], d)), {}
+    for step in range(len(nodes)):
+        left = []
+        for d in waiting:
+            first = next((k for k, (c, _) in enumerate(nodes) if c >= cells[d]), 0)
+            shard = nodes[(first + step) % len(nodes)][1]
+            if room[shard]:
+                room[shard] -= 1
+                want[d] = shard
+            else:
+                left.append(d)
+        waiting = left
+    assert got == want
+
+
 def test_first_fit_decreasing_matches_plain_search():
     import random
 
@@ -103,7 +168,7 @@ def test_word_encoder_is_exact(name, keeps):
     plain = Tokenizer.from_file(vocabulary(name))
     plain.encode_special_tokens = True
     texts = NASTY + ["  two  spaces \n\n and\tlines \r\n x", "it's  we'll\n 's", "a\xa0 b\xa0\n\nc", " lead", "trail  ", "\n", "<|endoftext|> Ünïcode ßÉ 1234", "x\n\n\n  y"]
-    own = tokens.WordEncoder(vocabulary(name), keeps, cache_words=5)
+    own = tokens.WordEncoder(vocabulary(name), keeps, cache_bytes=5)
     for got, text in zip(own.encode(texts, 2, at_once=20), texts, strict=True):
         assert np.frombuffer(got, own.dtype).tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2]
 
@@ -129,3 +194,11 @@ def test_packing_is_whole(spark):
     assert len(by_doc[5]) == 3
     assert sum(n for p in by_sequence.values() for _, n in p) > 0.9 * 256 * len(by_sequence)
     assert packing.pack(docs(spark, []), vocabulary("word_bpe_49k.json")).collect() == []
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_packing_deals_one_id_to_many_groups(spark, doc):
+    rows = [(doc, "same words again", 1, 1, "x")] * 600 + [(doc, None, 1, 1, "x")] * 600
+    got = packing.pack(docs(spark, rows), vocabulary("word_bpe_49k.json"), group_bytes=4000).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 1200 and len(groups) > 15 and max(groups.values()) < 150

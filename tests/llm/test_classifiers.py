@@ -196,3 +196,62 @@ def test_references_count_everything(spark):
     r = divergence.references(docs, divergence.Rules(common=1))
     assert set(r) == {"x", "y"} and r["x"].words.tolist() == divergence.counted(["a"]).lowered.tolist() and r["x"].counts.tolist() == [3, 2]
     assert r["x"].classes[charcodes.CLASSES.index("upper")] == 1 and r["x"].classes.sum() == 8
+
+
+def test_attention_scores_against_loops(spark):
+    """Scores of a fitted model by loops over passages and units, without numpy's products."""
+    s = attention.Settings(passage=40, hashed=8, hidden=4, gate=3, epochs=3, batch=4)
+    docs = [(i, ("clean words here " if i % 2 else "### $$$ x ") * (1 + i % 9), None) for i in range(30)] + [(40, "", None), (41, None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    model = attention.fit(frame(spark, docs), labels, s)
+    got = {r.doc_id: r.score for r in attention.predict(frame(spark, docs), model).collect()}
+    p = {k: v.tolist() for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for doc, text, _ in docs:
+        encoded, gates = [], []
+        for row in attention.passage_features(text or "", s).tolist():
+            x = [(v - m) * c for v, m, c in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(v * p["W"][i][j] for i, v in enumerate(x)) + p["b"][j]) for j in range(4)]
+            gates.append(sum(math.tanh(sum(h[i] * p["V"][i][j] for i in range(4))) * sigmoid(sum(h[i] * p["U"][i][j] for i in range(4))) * p["w"][j] for j in range(3)))
+            encoded.append(h)
+        weights = [math.exp(g - max(gates)) for g in gates]
+        z = [sum(w * h[j] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(4)]
+        assert got[doc] == pytest.approx(sigmoid(sum(a * b for a, b in zip(z, p["o"], strict=True)) + p["c"]), abs=1e-5), doc
+
+
+def test_language_scores_against_loops(spark):
+    """n-gram counts, TF-IDF, weights and temperature by loops over dictionaries."""
+    s = langid.Settings(features=256, least_steps=20)
+    docs = [(i, ("the cat sat here " if i % 2 else "der hund lief dort ") * (1 + i % 5), ("en", "de")[i % 2 == 0]) for i in range(40)] + [(50, "", None), (51, "é1 ß", None), (52, None, None)]
+    model = langid.fit(frame(spark, docs), s)
+    got = {r.doc_id: r for r in langid.predict(frame(spark, docs).drop("lang", "score"), model).collect()}
+    word = (1 << 64) - 1
+
+    def slots(text):
+        c = [ord(x) for x in text.lower()]
+        one = [x * 0x9E3779B97F4A7C15 & word for x in c]
+        two = [(a * 0xC2B2AE3D27D4EB4F + b) & word for a, b in zip(one, one[1:], strict=False)]
+        three = [(a * 0x165667B19E3779F9 + b) & word for a, b in zip(two, one[2:], strict=False)]
+        return collections.Counter((((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & word) >> 56 for x in one + two + three)
+
+    known = [slots(t) for _, t, lang in docs if lang]
+    for k in range(256):
+        assert model.idf[k] == pytest.approx(math.log((1 + len(known)) / (1 + sum(k in x for x in known))) + 0.05, abs=1e-5)
+    for doc, text, _ in docs:
+        own = {k: math.sqrt(n) * model.idf[k] for k, n in slots(text or "").items()}
+        size = math.sqrt(sum(v * v for v in own.values())) or 1.0
+        logits = [(sum(v / size * model.weights[k][j] for k, v in own.items()) + model.weights[256][j]) / model.heat for j in range(2)]
+        share = [1 / sum(math.exp(b - a) for b in logits) for a in logits]
+        if any(c.isalpha() for c in text or ""):
+            assert got[doc].score == pytest.approx(max(share), abs=1e-4) and got[doc].lang_pred == model.labels[share.index(max(share))]
+        else:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+
+
+def test_very_long_texts(spark):
+    long = "the and of a text " * 60_000
+    docs = frame(spark, [(1, long, "en"), (2, long[: len(long) // 2], "en"), (3, "kurz und gut ist der text", "de")])
+    model = langid.fit(docs, langid.Settings(features=256, least_steps=5))
+    assert langid.predict(docs.drop("score"), model).where("lang_pred = 'en'").count() == 2
+    (n,) = [r.n_words for r in divergence.judge(docs.drop("n_words")).collect() if r.doc_id == 1]
+    assert n == 300_000
