@@ -32,31 +32,19 @@ def word_hashes(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w)))
 
 
-def seeds(rows: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """key, pos and seed for each place of each mask on the rows' words (array column h)."""
-
-    def of(number: int, mask: str) -> Column:
-        own = [k for k, x in enumerate(mask) if x == "1"]
-        places = F.when(F.size("h") >= len(mask), F.sequence(F.lit(0), F.size("h") - len(mask))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(number), *(F.get("h", i + k) for k in own)))
-
-    parts = [rows.select(key, F.posexplode(of(k, m)).alias("pos", "seed")) for k, m in enumerate(masks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def short_seeds(rows: DataFrame, key: str, lengths: list[int], whole: bool) -> DataFrame:
-    """key, pos and seed of the windows of each length, or of the rows that are exactly as long (whole)."""
+def seeds(rows: DataFrame, key: str, masks: tuple[str, ...], lengths: list[int], whole: bool) -> DataFrame:
+    """key, pos and seed for each place of each mask on the rows' words (array column h), and of the windows of each of
+    lengths, or of the rows that are exactly as long (whole). All come from one pass over the words."""
     none = F.array().cast("array<struct<pos:int,seed:bigint>>")
 
-    def of(n: int) -> Column:
-        last = F.when(F.size("h") == n, 0) if whole else F.when(F.size("h") >= n, F.size("h") - n)
-        places = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-n), *(F.get("h", i + k) for k in range(n))).alias("seed")))
+    def of(number: int, size: int, own: list[int], exactly: bool) -> Column:
+        last = F.when(F.size("h") == size, 0) if exactly else F.when(F.size("h") >= size, F.size("h") - size)
+        places = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *(F.get("h", i + k) for k in own)).alias("seed")))
         return F.coalesce(places, none)
 
-    return rows.select(key, F.inline(F.concat(*map(of, lengths))))
+    parts = [of(k, len(m), [i for i, x in enumerate(m) if x == "1"], False) for k, m in enumerate(masks)]
+    parts += [of(-n, n, list(range(n)), whole) for n in lengths]
+    return rows.select(key, F.inline(F.concat(*parts)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -69,24 +57,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     if the item's stretch begins before the text), n_places (alignments that counted).
 
     Seeds of an item that several items share are compared for each. Items with fewer words than the shortest mask are
-    met by all of their words and found where these stand in a row. Null and empty texts match nothing; a null doc_id is a document of its own and rows that
-    repeat a doc_id count together; an empty table on either side gives no rows.
+    met by all of their words and found where these stand in a row. Null and empty texts match nothing; a null doc_id is a
+    document of its own and rows that repeat a doc_id count together; texts of any length are searched whole; further
+    columns are ignored, whatever their names; an empty table on either side gives no rows.
     """
     s = settings
     items = written(benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0), "items")
     shortest = min(map(len, s.masks))
     lengths = sorted(r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < shortest).distinct().collect())
 
-    def all_seeds(rows: DataFrame, key: str, whole: bool) -> DataFrame:
-        out = seeds(rows, key, s.masks)
-        return out.unionByName(short_seeds(rows, key, lengths, whole)) if lengths else out
-
-    probes = all_seeds(items, "item_id", True).select("item_id", F.col("pos").alias("item_pos"), "seed")
+    probes = seeds(items, "item_id", s.masks, lengths, True).select("item_id", F.col("pos").alias("item_pos"), "seed")
     small = probes.count() <= BROADCAST_SEEDS
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
     sought = probes.select("seed").distinct()
     # The distinct seeds are met first, so that a seed of many items multiplies only what it has hit.
-    hit = all_seeds(hashed, "doc_id", False).join(F.broadcast(sought) if small else sought, "seed", "left_semi")
+    hit = seeds(hashed, "doc_id", s.masks, lengths, False).join(F.broadcast(sought) if small else sought, "seed", "left_semi")
     hit = hit.join(F.broadcast(probes) if small else probes, "seed")
     places = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), F.greatest(F.lit(0), F.col("item_pos") - s.lead).alias("begin")).count().drop("count")
     places = written(places, "hits")
