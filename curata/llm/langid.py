@@ -51,17 +51,17 @@ def document_frequencies(docs: DataFrame, features: int) -> tuple[np.ndarray, in
     """In how many texts each hashed n-gram occurs, over all docs; and the number of texts. Fixed in size."""
 
     def count(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         seen, n = np.zeros(features, np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
+            for text in (x.as_py() for x in batch.column(0)):
                 seen += ngram_counts(text, features) > 0
                 n += 1
         if n:
-            yield pd.DataFrame({"slot": np.arange(-1, features), "n": np.concatenate([[n], seen])})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, features), pa.int32()), pa.array(np.concatenate([[n], seen]), pa.int64())], ["slot", "n"])
 
-    total = docs.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    total = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(features + 1, np.int64)
     out[total["slot"].to_numpy() + 1] = total["n"].to_numpy()
     return out[1:], int(out[0])
@@ -136,18 +136,19 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     idf = np.log((1 + n) / (1 + df)) + 0.05
 
     def sparse(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part, rows = batch.iloc[i : i + 200], []
-                for lang, text in zip(part["lang"], part["text"], strict=True):
+            for i in range(0, batch.num_rows, 200):
+                part, rows = batch.slice(i, 200), []
+                for text in part.column(1).to_pylist():
                     counts = ngram_counts(text, s.features)
                     at = np.flatnonzero(counts)
-                    rows.append((lang, at.astype("<u4").tobytes(), counts[at].astype("<u4").tobytes()))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object), "lang": [r[0] for r in rows], "slots": [r[1] for r in rows], "counts": [r[2] for r in rows]})
+                    rows.append((at.astype("<u4").tobytes(), counts[at].astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], ["doc_id", "lang", "slots", "counts"])
 
-    got = bounded_by(usable, "doc_id", "lang", s.sample, s.seed).mapInPandas(sparse, "doc_id long, lang string, slots binary, counts binary").toPandas()
+    sample = bounded_by(usable, "doc_id", "lang", s.sample, s.seed).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    got = sample.mapInArrow(sparse, "doc_id long, lang string, slots binary, counts binary").toPandas()
     got = got.sort_values(["doc_id", "slots", "counts"], kind="stable")
     labels = sorted(set(got["lang"]))
     y = np.array([labels.index(x) for x in got["lang"]])
