@@ -7,8 +7,6 @@ from functools import cache
 import numpy as np
 
 WIDTH = 5
-#: Slots of the table that tells common shingles from rare ones: a fixed size, whatever the corpus.
-SKETCH_BITS = 23
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,14 +65,13 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Keys in the global order, rising: rare classes first, then by hash. classes: of each slot, below 128."""
-    slots = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return np.sort((classes[slots].astype(np.int64) << 56) | (hashes >> np.uint64(8)).astype(np.int64))
+    """Keys in the global order, rising: rare classes first, then by hash. classes: of each hash, below 128."""
+    return np.sort((classes.astype(np.int64) << 56) | (hashes >> np.uint64(8)).astype(np.int64))
 
 
-def prefix(n: int, percent: int) -> int:
-    """How many of a set's first elements one of them at least must be shared by any set that is similar enough."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+def least_partner(n: int, percent: int) -> int:
+    """The size of the smallest set that can be similar to one of n, and how many of its elements that must share."""
+    return -(-percent * n // 100)
 
 
 def alike(overlap, a, b, percent: int):

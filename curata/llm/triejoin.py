@@ -1,9 +1,18 @@
-"""Near-duplicate join of word-shingle sets through prefix trees."""
+"""Near-duplicate join of word-shingle sets through prefix trees.
+
+Three rounds, each on what the one before has left, find all similar pairs without ever sending all sets about:
+
+1. Every set sends its lowest hashes, packed, to buckets that tell which of them occur in another set. A set of which too
+   few do is similar to none. Nothing needs an order by frequency here, so nothing depends on the size of the corpus.
+2. The sets that are left are counted whole. Now the frequency of each of their shingles is known, and with it the global
+   order, rare first. A set of which fewer than the similarity's share occur elsewhere goes; of the others the head, one
+   element of which any similar set must share, is kept.
+3. Heads meet: first each set the lowest one of those that share an element with it, which joins most copies; then, where
+   an element's sets are still apart, their heads make a trie that all of them traverse together. Whole sets decide.
+"""
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,98 +23,276 @@ from pyspark.sql import functions as F
 from . import shingles as sh
 from .common import written
 
-#: Sketch slots that travel in one row.
-CHUNK = 1 << 17
-#: Rows of 8 or 16 bytes that may be sent to all tasks; more are joined by a shuffle.
+#: Rows of up to 40 bytes that may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: What stands for the owner of a shingle that several sets of a block have.
+MANY = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: Jaccard similarity of linked sets; block: sets with one element, and part_bytes: bytes of sets of one
-    group, that one task holds at a time."""
+    """percent: Jaccard similarity of linked sets; extra: percent of a set that it sends in the first round beyond its
+    prefix; block: sets with one element that a task compares at a time, and partners of one set; gathered: shingles that
+    a task packs at a time; bucket_bytes: text, or sets, whose shingles make one bucket."""
 
     percent: int = 80
-    block: int = 512
-    part_bytes: int = 16 << 20
+    extra: int = 10
+    block: int = 1024
+    gathered: int = 1 << 20
+    bucket_bytes: int = 32 << 20
 
+    def spare(self, n: int) -> int:
+        return max(1, -(-self.extra * n // 100))
 
-def classes_of(docs: DataFrame) -> np.ndarray:
-    """How common the shingles of each sketch slot are, on a scale of logarithms: a table of fixed size, over all docs."""
+    def sent(self, n: int) -> int:
+        """How many of its lowest hashes a set of n sends. The first spare() elements that two similar sets share, in the
+        order of hashes, lie among these in both: ahead of them stand at most the elements that the other one lacks."""
+        return n - sh.least_partner(n, self.percent) + self.spare(n)
 
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def answered(self, n: int) -> int:
+        """How many of them must occur in another set if any set is similar: spare() of the smallest possible partner."""
+        return self.spare(sh.least_partner(n, self.percent))
+
+
+def node_of(hashes: np.ndarray) -> bytes:
+    """The id of a set, 128 bits: equal sets share it."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (sh.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _cut(order_by: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    edges = [0, *(np.flatnonzero(order_by[1:] != order_by[:-1]) + 1).tolist(), len(order_by)] if len(order_by) else [0]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _joined(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a binary column (null: none), one after the other, and the row of each."""
+    raw = [b"" if v is None else v for v in column.to_pylist()]
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(raw), dtype), np.repeat(np.arange(len(raw)), [len(x) // width for x in raw])
+
+
+def _per_bucket(total: int, s: Settings) -> int:
+    return max(1, -(-total // s.bucket_bytes))
+
+
+def described(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, node (null for an empty set), n, and whether the set may be similar to another; one row for each of docs.
+
+    A block of texts sends each shingle to its bucket once, and where several of its sets have it, it needs no answer, so
+    a bucket gets at most one entry of a shingle from each block, however common it is. Blocks are numbered by task and
+    place in it: docs should be read from files, so that a lost task's work is repeated alike."""
+    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
+    buckets = _per_bucket(int(total), s)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = f"doc_ids array<{kind}>, nodes array<binary>, sizes array<long>, owners array<int>, local array<int>"
 
-        seen = np.zeros(1 << sh.SKETCH_BITS, np.uint32)
+    def send(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 24
+        ids, nodes, sizes, owners, own, place = [], [], [], [], [], {}
+
+        def told():
+            tokens = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            of = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype(np.uint32)
+            order = np.argsort(tokens, kind="stable")
+            tokens, of = tokens[order], of[order]
+            first = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, bool)
+            starts = np.flatnonzero(first)
+            shared = np.repeat(np.diff(np.append(starts, len(tokens))) > 1, np.diff(np.append(starts, len(tokens))))
+            local = np.bincount(of[shared], minlength=len(own)).astype(np.int32)
+            of = np.where(shared, np.uint32(MANY), of)[starts].astype("<u4")
+            tokens = tokens[starts]
+            to = _bucket(tokens, buckets)
+            order = np.argsort(to, kind="stable")
+            to, tokens, of = to[order], tokens[order], of[order]
+            cuts = _cut(to)
+            n = len(cuts)
+            doc = [pa.array([x], pa.list_(t)) for x, t in ((ids, ids_type), (nodes, pa.binary()), (sizes, pa.int64()), (owners, pa.int32()), (local.tolist(), pa.int32()))]
+            blank = [pa.nulls(n, x.type) for x in doc]
+            packed = [pa.array([None, *(x[a:b].tobytes() for a, b in cuts)], pa.binary()) for x in (tokens, of)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block] * (n + 1), pa.int64()), pa.array([block % buckets, *(int(to[a]) for a, _ in cuts)], pa.int32()), *(pa.concat_arrays([d, b]) for d, b in zip(doc, blank, strict=True)), *packed],
+                ["block", "bucket", "doc_ids", "nodes", "sizes", "owners", "local", "tokens", "of"],
+            )
+
+        gathered = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                # Distinct shingles of one text may share a slot; bincount on the few distinct slots keeps this exact.
-                slots, times = np.unique((sh.shingles(text) >> np.uint64(64 - sh.SKETCH_BITS)).astype(np.int64), return_counts=True)
-                seen[slots] += times.astype(np.uint32)
-        for k in range(len(seen) // CHUNK):
-            own = seen[k * CHUNK : (k + 1) * CHUNK]
-            if own.any():
-                planes = np.concatenate([(own >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
-
-    def add(group):
-        import pandas as pd
-
-        total = np.zeros(CHUNK, np.int64)
-        for raw in group["counts"]:
-            planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, CHUNK).astype(np.int64)
-            total += sum(planes[i] << (8 * i) for i in range(4))
-        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "classes": [np.minimum(127, 4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
-
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, classes binary").toPandas()
-    out = np.zeros(1 << sh.SKETCH_BITS, np.uint8)
-    for k, own in zip(parts["chunk"], parts["classes"], strict=True):
-        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(own, np.uint8)
-    return out
+            ids_type = batch.column(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = sh.shingles(text)
+                n = len(hashes)
+                node = node_of(hashes) if n else None
+                if n and node not in place:
+                    place[node] = len(own)
+                    own.append(hashes[: s.sent(n)])
+                    gathered += len(own[-1])
+                ids.append(doc)
+                nodes.append(node)
+                sizes.append(n)
+                owners.append(place[node] if n else -1)
+                if gathered >= s.gathered or len(ids) >= s.gathered:
+                    yield told()
+                    ids, nodes, sizes, owners, own, place, gathered = [], [], [], [], [], {}, 0
+                    block += 1
+        if ids:
+            yield told()
+
+    def answer(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tokens, row = _joined(rows.column("tokens"), "<u8")
+        of, _ = _joined(rows.column("of"), "<u4")
+        _, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        known = (times[at] > 1) & (of != MANY)
+        key, n = np.unique((row[known].astype(np.uint64) << np.uint64(32)) | of[known], return_counts=True)
+        cuts = _cut(key >> np.uint64(32))
+        blocks = rows.column("block").to_numpy()
+        mine = rows.filter(pc.is_valid(rows.column("doc_ids"))).select(["block", "doc_ids", "nodes", "sizes", "owners", "local"])
+        mine = mine.append_column("of", pa.nulls(mine.num_rows, pa.binary())).append_column("n", pa.nulls(mine.num_rows, pa.binary()))
+        theirs = {"block": pa.array([int(blocks[int(key[a] >> np.uint64(32))]) for a, _ in cuts], pa.int64())}
+        theirs |= {c: pa.nulls(len(cuts), mine.schema.field(c).type) for c in ("doc_ids", "nodes", "sizes", "owners", "local")}
+        theirs |= {"of": pa.array([key[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary()), "n": pa.array([n[a:b].astype("<u4").tobytes() for a, b in cuts], pa.binary())}
+        return pa.concat_tables([mine, pa.table(theirs).cast(mine.schema)])
+
+    def decide(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        own = rows.filter(pc.is_valid(rows.column("doc_ids")))
+        get = lambda c: own.column(c).combine_chunks().values
+        found = get("local").to_numpy(zero_copy_only=False).astype(np.int64)
+        of, _ = _joined(rows.column("of"), "<u4")
+        n, _ = _joined(rows.column("n"), "<u4")
+        np.add.at(found, of.astype(np.int64), n.astype(np.int64))
+        owners, sizes = get("owners").to_numpy(zero_copy_only=False), get("sizes").to_numpy(zero_copy_only=False)
+        open_ = [o >= 0 and bool(found[o] >= s.answered(k)) for o, k in zip(owners.tolist(), sizes.tolist(), strict=True)]
+        return pa.table({"doc_id": get("doc_ids"), "node": get("nodes"), "n": get("sizes"), "open": pa.array(open_, pa.bool_())})
 
-def node_of(keys: np.ndarray) -> int:
-    """The id of a set: equal sets share it."""
-    import xxhash
+    sent = docs.select("doc_id", "text").mapInArrow(send, f"block long, bucket int, {held}, tokens binary, of binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, f"block long, {held}, of binary, n binary")
+    return answers.groupBy("block").applyInArrow(decide, f"doc_id {kind}, node binary, n long, open boolean")
 
-    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if they are few enough; else left to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-def described(docs: DataFrame, classes, percent: int) -> DataFrame:
-    """doc_id, node (null for an empty set), n, and the set's prefix where a task meets a node first."""
+
+def sets_of(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """part, node, n, hashes (8 bytes each, rising) of the open sets of known, from the text of one document of each."""
+    nodes = written(known.where("open").groupBy("node").agg(F.min("doc_id").alias("some_id"), F.max("n").alias("n")), "open")
+    parts = _per_bucket(8 * int(nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), s)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        order, met = np.frombuffer(classes.value, np.uint8), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                nodes, sizes, heads = [], [], []
-                for text in part.column(1).to_pylist():
-                    keys = sh.ordered(sh.shingles(text), order)
-                    node = node_of(keys) if len(keys) else None
-                    nodes.append(node)
-                    sizes.append(len(keys))
-                    heads.append(None if node is None or node in met else keys[: sh.prefix(len(keys), percent)])
-                    met.add(node)
-                if len(met) > 500_000:
-                    met.clear()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, prefix array<long>")
-
-
-class SetTrie:
-    """Sets, or parts of sets, as rising key sequences in a path-compressed trie.
-
-    sizes: of the whole sets; left: how many elements of a set lie in its sequence or behind it.
+                own = [x for x in map(sh.shingles, batch.slice(at, 500).column(0).to_pylist()) if len(x)]
+                ids = [node_of(x) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little") % parts for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(map(len, own)), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["part", "node", "n", "hashes"])
+
+    def once(rows):
+        seen: set = set()
+        return rows.take([k for k, x in enumerate(rows.column("node").to_pylist()) if not (x in seen or seen.add(x))])
+
+    ids = written(nodes.select("some_id").distinct(), "ids")
+    texts = docs.select("doc_id", "text").join(_few(ids), F.col("doc_id").eqNullSafe(F.col("some_id"))).select("text")
+    schema = "part long, node binary, n long, hashes binary"
+    return texts.mapInArrow(run, schema).groupBy("part").applyInArrow(once, schema)
+
+
+def heads_of(sets: DataFrame, s: Settings) -> DataFrame:
+    """node, n, s (how many elements occur in another set), head (the first of them in the global order, so many that a
+    similar set must share one), of the sets where enough elements occur elsewhere.
+
+    The parts' counts of each shingle meet in buckets; each part is told the classes of frequency of its own."""
+    buckets = _per_bucket(8 * int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), s)
+
+    def send(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size, part = [], 0, None
+
+        def told():
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            to = _bucket(tokens, buckets)
+            order = np.argsort(to, kind="stable")
+            to, tokens, n = to[order], tokens[order], n[order]
+            cuts = _cut(to)
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(cuts), pa.int64()), pa.array([int(to[a]) for a, _ in cuts], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, n.astype("<u4")))], ["part", "bucket", "tokens", "n"])
+
+        for batch in batches:
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (own != part or size >= 4 * s.gathered):
+                    yield told()
+                    held, size = [], 0
+                part = own
+                held.append(np.frombuffer(raw, "<u8"))
+                size += len(held[-1])
+        if held:
+            yield told()
+
+    def answer(rows):
+        import pyarrow as pa
+
+        tokens, row = _joined(rows.column("tokens"), "<u8")
+        n, _ = _joined(rows.column("n"), "<u4")
+        _, at = np.unique(tokens, return_inverse=True)
+        total = np.bincount(at, n).astype(np.int64)[at] if len(at) else n.astype(np.int64)
+        known = total > 1
+        parts = rows.column("part").to_numpy()[row[known]]
+        order = np.argsort(parts, kind="stable")
+        parts, tokens = parts[order], tokens[known][order]
+        classes = np.minimum(127, 4 * np.log2(total[known][order])).astype(np.uint8)
+        cuts = _cut(parts)
+        return pa.table({"part": pa.array([int(parts[a]) for a, _ in cuts], pa.int64()), "tokens": pa.array([tokens[a:b].tobytes() for a, b in cuts], pa.binary()), "classes": pa.array([classes[a:b].tobytes() for a, b in cuts], pa.binary())})
+
+    def order(own, told):
+        import pyarrow as pa
+
+        tokens, _ = _joined(told.column("tokens"), "<u8")
+        classes, _ = _joined(told.column("classes"), "u1")
+        tokens, first = np.unique(tokens, return_index=True)
+        classes = classes[first]
+        out: list[tuple] = []
+        for node, n, raw in zip(own.column("node").to_pylist(), own.column("n").to_pylist(), own.column("hashes").to_pylist(), strict=True):
+            hashes = np.frombuffer(raw, "<u8")
+            at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+            hit = tokens[at] == hashes if len(tokens) else np.zeros(len(hashes), bool)
+            keys = sh.ordered(hashes[hit], classes[at[hit]]) if hit.any() else np.zeros(0, np.int64)
+            needed = sh.least_partner(n, s.percent)
+            if len(keys) >= needed:
+                out.append((node, n, len(keys), keys[: len(keys) - needed + 1]))
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("node", "n", "s", "head"), columns, types, strict=True)})
+
+    answers = sets.select("part", "hashes").mapInArrow(send, "part long, bucket int, tokens binary, n binary").groupBy("bucket").applyInArrow(answer, "part long, tokens binary, classes binary")
+    return sets.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(order, "node binary, n long, s long, head array<long>")
+
+
+class HeadTrie:
+    """Heads that share an element, from it on, as rising key sequences in a path-compressed trie.
+
+    sizes: of the whole sets; left: how many elements of a set, of those that occur elsewhere, stand at the sequence's
+    beginning or behind it.
     """
 
     def __init__(self, sequences: list[np.ndarray], sizes, left, percent: int):
-        self.sequences, self.sizes, self.left, self.percent = sequences, sizes, left, percent
-        order = sorted(range(len(sequences)), key=lambda k: sequences[k].astype(">i8").tobytes())
-        self.root = self._build(order)
+        self.sequences, self.percent = sequences, percent
+        self.sizes, self.left = np.asarray(sizes, np.int64), np.asarray(left, np.int64)
+        self.root = self._build(sorted(range(len(sequences)), key=lambda k: sequences[k].astype(">i8").tobytes()))
 
     def _build(self, order: list[int]):
         s = self.sequences
@@ -118,9 +305,9 @@ class SetTrie:
             apart = np.flatnonzero(first[depth:most] != last[depth:most])
             end = depth + int(apart[0]) if len(apart) else most
             children: list = []
-            sizes = [self.sizes[k] for k in own]
+            sizes = self.sizes[own]
             ends = [k for k in own if len(s[k]) == end]
-            siblings.append((first[depth:end], end, min(sizes), max(sizes), max(self.left[k] for k in own), ends, children))
+            siblings.append((own[0], depth, end, int(sizes.min()), int(sizes.max()), int(self.left[own].max()), ends, children))
             run: list[int] = []
             for k in own[len(ends) :]:
                 if run and s[k][end] != s[run[0]][end]:
@@ -131,142 +318,89 @@ class SetTrie:
                 work.append((children, run, end))
         return root[0]
 
-    def overlaps(self, probe: np.ndarray, size: int, left: int) -> Iterator[tuple[int, int]]:
-        """(number, shared elements) of the sequences that can still reach the similarity with the probe's set.
-
-        probe: all that the set has from where the sequences begin. With its head alone, what the sequences share with
-        its tail would count neither as shared nor as still to come, and true links would be pruned."""
-        work = [(self.root, 0, 0)]
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(number, numbers of sequences) that may be similar: all sequences go down the trie together, with what each has
+        shared on the path so far, and those leave that can't reach the similarity with any set below.
+
+        Up to the lower of the ends of path and probe, what both share is counted; beyond, the smaller rest bounds it."""
+        m = len(self.sequences)
+        lengths = np.array([len(x) for x in self.sequences])
+        starts = np.cumsum(lengths) - lengths
+        flat = np.concatenate(self.sequences)
+        owner = np.repeat(np.arange(m), lengths)
+        values, rank = np.unique(flat, return_inverse=True)
+        by_value = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[by_value], np.arange(len(values) + 1))
+        wide = np.int64(len(values) + 1)
+        keyed = owner * wide + rank
+        last_rank = rank[starts + lengths - 1]
+        work = [(self.root, np.arange(m), np.zeros(m, np.int64))]
         while work:
-            (part, end, least, most, rest, ends, children), shared, reached = work.pop()
-            if 100 * most < self.percent * size or 100 * size < self.percent * least:
-                continue
-            if len(part) and len(probe):
-                at = np.searchsorted(probe, part)
-                hit = probe[np.minimum(at, len(probe) - 1)] == part
-                shared += int(hit.sum())
-                reached = int(at[-1]) + int(hit[-1])
-            if shared + min(rest - end, left - reached) < sh.least_overlap(least, size, self.percent):
+            (one, depth, end, least, most, rest, ends, children), own, shared = work.pop()
+            own_sizes = self.sizes[own]
+            fits = (100 * most >= self.percent * own_sizes) & (100 * own_sizes >= self.percent * least)
+            own, shared, own_sizes = own[fits], shared[fits], own_sizes[fits]
+            if not len(own):
                 continue
+            path = rank[starts[one] : starts[one] + end]
+            seen = np.zeros(m, np.int64)
+            for r in path[depth:]:
+                seen[owner[by_value[cuts[r] : cuts[r + 1]]]] += 1
+            shared = shared + seen[own]
+            upto = np.minimum(path[-1], last_rank[own])
+            reached = np.searchsorted(keyed, own * wide + upto, "right") - starts[own]
+            passed = np.searchsorted(path, upto, "right")
+            possible = lambda theirs, at: shared[at] + np.minimum(theirs - passed[at], self.left[own[at]] - reached[at])
+            every = np.arange(len(own))
+            go = every[possible(rest, every) >= sh.least_overlap(least, own_sizes, self.percent)]
             for k in ends:
-                yield k, shared
-            work += [(child, shared, reached) for child in children]
-
-
-def links_of_block(hub: tuple[int, int, np.ndarray], others: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """The links of one set (node, size, keys) with others, by whole sets."""
-    if not others:
-        return []
-    node, size, keys = hub
-    trie = SetTrie([k for _, _, k in others], [n for _, n, _ in others], [n for _, n, _ in others], percent)
-    return [(node, others[k][0]) for k, shared in trie.overlaps(keys, size, size) if sh.alike(shared, size, others[k][1], percent)]
-
-
-def links_of_group(rows: list[tuple], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar sets of different components whose first common prefix element is among theirs.
-
-    rows: (node, component, whole set as rising keys, the elements to look at). sides: only rows of different sides
-    are compared. For each element, what follows it in the prefixes makes a trie, which the sets that have the element
-    traverse; whole sets decide. Sets that links found so far connect are not compared again, nor is a pair twice.
-    """
-    root = {r[1]: r[1] for r in rows}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    holders: dict[int, list[int]] = {}
-    for k, r in enumerate(rows):
-        for element in r[3]:
-            holders.setdefault(int(element), []).append(k)
-    heads = [r[2][: sh.prefix(len(r[2]), percent)] for r in rows]
-    tried, out = set(), []
-    for element in sorted(holders):
-        own = holders[element]
-        roots = [find(rows[k][1]) for k in own]
-        if len(set(roots)) < 2:
-            continue
-        largest = max(sorted(set(roots)), key=roots.count)
-        probes = own if sides else [k for k, r in zip(own, roots, strict=True) if r != largest]
-        at = {k: int(np.searchsorted(rows[k][2], element)) for k in own}
-        sizes = [len(rows[k][2]) for k in own]
-        if len(own) > 3:
-            trie = SetTrie([heads[k][at[k] :] for k in own], sizes, [n - at[k] for k, n in zip(own, sizes, strict=True)], percent)
-        for k in probes:
-            node, label, keys, _ = rows[k]
-            size = len(keys)
-            if len(own) > 3:
-                found = sorted(trie.overlaps(keys[at[k] :], size, size - at[k]), key=lambda x: -x[1])
-            else:  # a trie of two or three would share nothing
-                found = [(m, None) for m in range(len(own))]
-            for m, shared in found:
-                other = own[m]
-                if other == k or (sides and sides[other] == sides[k]) or find(rows[other][1]) == find(label):
-                    continue
-                pair = (min(k, other), max(k, other))
-                theirs = rows[other][2]
-                need = sh.least_overlap(size, len(theirs), percent)
-                if pair in tried or min(size, len(theirs)) < need:
-                    continue
-                if shared is None:
-                    most = min(size - at[k], len(theirs) - at[other])
-                else:
-                    last = heads[other][-1]
-                    most = shared + min(size - np.searchsorted(keys, last, "right"), len(theirs) - np.searchsorted(theirs, last, "right"))
-                if most < need:
-                    continue
-                tried.add(pair)
-                if sh.alike(len(np.intersect1d(keys, theirs, assume_unique=True)), size, len(theirs), percent):
-                    out.append((node, rows[other][0]))
-                    root[find(rows[other][1])] = find(label)
-            if len({find(rows[m][1]) for m in own}) == 1:
-                break
+                near = go[(possible(self.left[k], go) >= sh.least_overlap(int(self.sizes[k]), own_sizes[go], self.percent)) & (own[go] != k)]
+                if len(near):
+                    yield k, own[near]
+            work += [(child, own[go], shared[go]) for child in children]
+
+
+def candidates_of_group(element: int, rows: list[tuple], sides: list[int] | None, percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of nodes of different components, whose first common element is this one, that may be similar.
+
+    rows: (node, component, n, s, head), all with the element. sides: only rows of different sides are compared."""
+    heads = [r[4] for r in rows]
+    at = [int(np.searchsorted(h, element)) for h in heads]
+    trie = HeadTrie([h[a:] for h, a in zip(heads, at, strict=True)], [r[2] for r in rows], [r[3] - a for r, a in zip(rows, at, strict=True)], percent)
+    out = []
+    for k, near in trie.candidates():
+        for p in near.tolist():
+            a, b = rows[k], rows[p]
+            if a[0] < b[0] and a[1] != b[1] and not (sides and sides[k] == sides[p]) and not len(np.intersect1d(heads[k][: at[k]], heads[p][: at[p]], assume_unique=True)):
+                out.append((a[0], b[0]))
     return out
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, marked for broadcast if they are few enough; else left to a shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, classes) -> DataFrame:
-    """node, n, keys (8 bytes each) of the given nodes, from the text of one document of each."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        order = np.frombuffer(classes.value, np.uint8)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                keys = [sh.ordered(sh.shingles(x), order) for x in batch.slice(at, 200).column(0).to_pylist()]
-                keys = [k for k in keys if len(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(k) for k in keys], pa.int64()), pa.array([len(k) for k in keys], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "n", "keys"])
-
-    nodes = written(nodes.distinct(), "nodes")
-    ids = known.join(_few(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("some_id")).select("some_id").distinct()
-    ids = written(ids, "ids")
-    texts = docs.select("doc_id", "text").join(_few(ids), F.col("doc_id").eqNullSafe(F.col("some_id"))).select("text")
-    return texts.mapInArrow(run, "node long, n long, keys binary").join(_few(nodes), "node", "left_semi").dropDuplicates(["node"])
+def links_of_hub(hub: tuple[bytes, int, np.ndarray], others: list[tuple[bytes, int, np.ndarray]], percent: int) -> list[tuple[bytes, bytes]]:
+    """The links of one set (node, size, hashes) with others, by whole sets."""
+    node, size, hashes = hub
+    overlap = lambda x: int((hashes[np.minimum(np.searchsorted(hashes, x), size - 1)] == x).sum())
+    return [(node, other) for other, n, x in others if 100 * min(n, size) >= percent * max(n, size) and sh.alike(overlap(x), size, n, percent)]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (hub, node) whose whole sets are similar. A hub with many partners is met in blocks of s.block."""
+    """The pairs (hub, node) whose whole sets are similar, as a and b. A hub with many partners is met in blocks of s.block."""
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("partners")).withColumn("blocks", F.ceil(F.col("partners") / s.block).cast("int"))
     theirs = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
     own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
-    rows = theirs.unionByName(own).join(sets, "node")
+    met = written(theirs.unionByName(own), "pairs")
+    rows = sets.select("node", "n", "hashes").join(_few(met), "node")
 
     def check(group):
-        import pandas as pd
+        import pyarrow as pa
 
-        entries = [(int(a), int(n), np.frombuffer(k, np.int64)) for a, n, k in zip(group["node"], group["n"], group["keys"], strict=True)]
-        hub = group["hub"].iloc[0]
+        entries = [(a, n, np.frombuffer(x, "<u8")) for a, n, x in zip(*(group.column(c).to_pylist() for c in ("node", "n", "hashes")), strict=True)]
+        hub = group.column("hub")[0].as_py()
         first = [e for e in entries if e[0] == hub]
-        found = links_of_block(first[0], [e for e in entries if e[0] != hub], s.percent) if first else []
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = links_of_hub(first[0], [e for e in entries if e[0] != hub], s.percent) if first else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return rows.groupBy("hub", "block").applyInPandas(check, "a long, b long")
+    return rows.groupBy("hub", "block").applyInArrow(check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,55 +418,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_links(docs: DataFrame, known: DataFrame, classes, s: Settings) -> DataFrame:
-    """Links (a, b) between different sets of known that together connect all similar ones.
-
-    Sets that share a prefix element first meet the set where that element comes earliest, which joins most copies of
-    one text. What is still apart then is compared element by element, in blocks, so no similar pair stays apart.
-    """
-    t = known.where(F.col("prefix").isNotNull()).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    live = written(t.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "live")
-    shared = written(t.join(_few(live), "token").dropDuplicates(["token", "node"]), "shared")
-    hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
-    near = shared.join(hubs, "token").where((F.col("node") != F.col("hub.node")) & (100 * F.least("n", "hub.n") >= s.percent * F.greatest("n", "hub.n")))
+def stars(heads: DataFrame, s: Settings) -> DataFrame:
+    """hub, node: each set with the lowest one of those that share an element of their heads with it, for each element,
+    if sizes and places allow them to be similar."""
+    t = heads.select("node", "n", "s", F.posexplode("head").alias("pos", "token"))
+    hubs = t.groupBy("token").agg(F.min(F.struct("node", "n", "s", "pos")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    near = t.join(hubs, "token").where((F.col("node") != F.col("hub.node")) & (100 * F.least("n", "hub.n") >= s.percent * F.greatest("n", "hub.n")))
     need = F.ceil(s.percent * (F.col("n") + F.col("hub.n")) / (100 + s.percent))
-    near = near.where(F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos")) >= need)
-    votes = near.groupBy("node", F.col("hub.node").alias("hub")).count()
-    stars = written(votes.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub")), "stars")
-    sets = written(sets_of(docs, known, stars.select("node").union(stars.select("hub")), classes), "sets")
-    links = written(verified(stars, sets, s), "links")
-
-    labels = components(links)
-    apart = shared.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    # Only sets of like size can be similar: with sizes on a logarithmic scale they share one of two steps.
-    step = F.floor(F.log(F.col("n")) / math.log(100 / s.percent + 1e-9))
-    sized = apart.withColumn("step", F.explode(F.array(step, step + 1)))
-    meets = sized.groupBy("token", "step").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("some_node"), F.count("*").alias("members")).where("low <> high").drop("low", "high")
-    apart = written(sized.join(_few(written(meets, "open")), ["token", "step"]), "apart")
-    # Sets that share elements, over any number of steps, are one group; what a task holds of it is bounded in bytes.
-    # A set goes to as many parts of its group as its open elements lie in, not to every element's own task.
-    groups = components(apart.select(F.col("node").alias("a"), F.col("some_node").alias("b"))).select("node", F.col("label").alias("group"))
-    sizes = apart.select("node", "n").distinct().join(groups, "node").groupBy("group").agg(F.ceil(8 * F.sum("n") / s.part_bytes).cast("int").alias("parts"))
-    met = apart.join(groups, "node").join(sizes, "group")
-    none = F.lit(-1)
-    some = met.where(F.col("members") <= s.block).groupBy("group", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"), "node", "label").agg(F.collect_set("token").alias("tokens"))
-    some = some.select("group", "part", none.alias("i"), none.alias("j"), none.alias("own"), "node", "label", "tokens")
-    # An element of more sets than a block has tasks of its own, one for each pair of blocks.
-    hot = met.where(F.col("members") > s.block).groupBy("group", "token", "node", "label").agg(F.max("members").alias("members"))
-    hot = hot.join(hot.groupBy("token").agg(F.max("members").alias("most")), "token").drop("members").withColumnRenamed("most", "members")
-    hot = hot.withColumn("blocks", F.ceil(F.col("members") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.col("token").alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", F.array("token").alias("tokens"))
-    met = written(some.unionByName(hot), "met")
-    sets = written(sets_of(docs, known, met.select("node"), classes), "sets")
-
-    def compare(group):
-        import pandas as pd
-
-        rows = [(int(a), int(x), np.frombuffer(k, np.int64), t) for a, x, k, t in zip(group["node"], group["label"], group["keys"], group["tokens"], strict=True)]
-        sides = group["own"].tolist() if group["i"].iloc[0] != group["j"].iloc[0] else None
-        return pd.DataFrame(links_of_group(rows, sides, s.percent), columns=["a", "b"], dtype="int64")
-
-    more = met.join(sets.select("node", "keys"), "node").groupBy("group", "part", "i", "j").applyInPandas(compare, "a long, b long")
+    near = near.where(F.least(F.col("s") - F.col("pos"), F.col("hub.s") - F.col("hub.pos")) >= need)
+    return near.select(F.col("hub.node").alias("hub"), "node").distinct()
+
+
+def still_apart(heads: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """hub, node: pairs of sets of different components (labels: node, label) that may be similar.
+
+    Every element whose sets are not all of one component is looked at by a task; an element of more sets than a block
+    by one for each pair of blocks of them."""
+    t = heads.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n", "s", "head")
+    rows = t.select("node", "label", F.explode("head").alias("token"))
+    open_ = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").select("token", F.ceil(F.col("members") / s.block).cast("int").alias("blocks"))
+    met = rows.join(_few(written(open_, "elements")), "token").select("node", "token", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "token", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.join(_few(t), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, rows, sides, out = None, [], [], []
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["hub", "node"])
+
+        def close():
+            if len(rows) > 1:
+                out.extend(candidates_of_group(now[0], rows, sides if now[1] != now[2] else None, s.percent))
+
+        for batch in batches:
+            get = {c: batch.column(c).to_pylist() for c in ("token", "i", "j", "own", "node", "label", "n", "s")}
+            heads = batch.column("head")
+            for k, key in enumerate(zip(get["token"], get["i"], get["j"], strict=True)):
+                if key != now:
+                    close()
+                    now, rows, sides = key, [], []
+                    if len(out) > 50_000:
+                        yield told()
+                        out = []
+                rows.append((get["node"][k], get["label"][k], get["n"][k], get["s"][k], heads[k].values.to_numpy()))
+                sides.append(get["own"][k])
+        close()
+        yield told()
+
+    return met.mapInArrow(compare, "hub binary, node binary")
+
+
+def similar_links(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different sets of known that together connect all similar ones."""
+    sets = written(sets_of(docs, known, s), "sets")
+    heads = written(heads_of(sets, s), "heads")
+    links = written(verified(written(stars(heads, s), "stars"), sets, s), "links")
+    more = verified(written(still_apart(heads, components(links), s), "candidates"), sets, s)
     return written(links.unionByName(more), "all-links")
 
 
@@ -343,16 +488,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     shingle; without words it is empty and linked with nothing. Texts whose sets are similar are linked, and
     component_id is the lowest doc_id that links reach. Equal sets form one node, so copies cost nothing further.
     A null doc_id never gives its name to a component that has another; repeated rows are all returned; an empty table
-    gives no rows; further columns are ignored.
+    gives no rows; further columns are ignored, whatever their names; texts are read whole, whatever their length.
     """
     s = settings
-    classes = docs.sparkSession.sparkContext.broadcast(classes_of(docs).tobytes())
-    known = written(described(docs, classes, s.percent), "described")
-    labels = components(similar_links(docs, known, classes, s))
+    known = written(described(docs.select("doc_id", "text"), s), "described")
+    labels = components(similar_links(docs, known, s))
     lowest = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = lowest.groupBy("label").agg(F.min("low").alias("component_id"))
-    names = lowest.join(named, "label").select("node", "component_id")
+    # Nodes that no link reaches name themselves, so that only linked ones meet by label.
+    named = lowest.where(F.col("label") != F.col("node")).select("label", "low").unionByName(lowest.join(labels.select("label").distinct(), "label", "left_semi").where(F.col("label") == F.col("node")).select("label", "low"))
+    named = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    names = lowest.join(named, "label", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = known.select("doc_id", "node", F.col("n").alias("n_shingles")).join(names, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -61,23 +61,27 @@ def corpus(seed):
 def test_components_against_all_pairs(spark, seed, block):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, text string, node string, n string")
-    got = tj.near_duplicates(docs, tj.Settings(block=block, part_bytes=block * 200)).collect()
+    got = tj.near_duplicates(docs, tj.Settings(block=block, gathered=block * 4, bucket_bytes=block * 200)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
 
 
-def test_exact_round_alone_finds_all(spark, monkeypatch):
-    """Without any star, the blocks of the second round must find every link."""
+def test_tries_alone_find_all(spark, monkeypatch):
+    """Without any star, the tries must bring up every link."""
     rows = corpus(3)
-    calls = []
-    whole = tj.verified
+    whole = tj.stars
+    monkeypatch.setattr(tj, "stars", lambda heads, s: whole(heads, s).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tj.near_duplicates(docs, tj.Settings(block=4, gathered=100, bucket_bytes=3000)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
 
-    def skip_first(pairs, sets, s):
-        calls.append(1)
-        return whole(pairs.limit(0), sets, s)
 
-    monkeypatch.setattr(tj, "verified", skip_first)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = tj.near_duplicates(docs, tj.Settings(block=4, part_bytes=3000)).collect()
+def test_one_large_group_of_near_copies(spark):
+    """A third of all rows share most of their words, and one passage is in every text."""
+    rng = random.Random(8)
+    base, passage = [f"b{k}" for k in range(60)], " ".join(f"p{k}" for k in range(12))
+    rows = [near(rng, base, k % 5) + " " + passage for k in range(90)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) + " " + passage for _ in range(180)]
+    rows = list(enumerate(rows))
+    got = tj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tj.Settings(block=16, gathered=2000, bucket_bytes=20_000)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
 
 
@@ -92,41 +96,61 @@ def test_chain_of_links_is_one_component(spark):
     assert all(got[k] == 0 for k in range(41)) and got[100] == got[99] == 99
 
 
-def test_trie_overlaps_are_exact():
+def similar_pairs(sets):
+    return {(a, b) for a in range(len(sets)) for b in range(a) if sh.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)}
+
+
+def brought_up(sets, sides=None):
+    """What the tries of all elements bring up, all elements counting as shared."""
+    heads = [x[: len(x) - sh.least_partner(len(x), 80) + 1] for x in sets]
+    rows = [(k.to_bytes(4, "big"), k, len(x), len(x), h) for k, (x, h) in enumerate(zip(sets, heads, strict=True))]
+    found = set()
+    for element in np.unique(np.concatenate(heads)).tolist():
+        own = [k for k, h in enumerate(heads) if element in h]
+        pairs = tj.candidates_of_group(element, [rows[k] for k in own], sides and [sides[k] for k in own], 80)
+        pairs = [(int.from_bytes(b, "big"), int.from_bytes(a, "big")) for a, b in pairs]
+        assert not found & set(pairs) and len(set(pairs)) == len(pairs)
+        found |= set(pairs)
+    return found
+
+
+def test_tries_lose_no_pair():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 10**6, 60))
     sets = [np.unique(np.concatenate([rng.choice(base, 50, replace=False), rng.integers(0, 10**6, k % 12)])) for k in range(40)] + [base, base[:1]]
-    n = [len(x) for x in sets]
-    trie = tj.SetTrie(sets, n, n, 80)
-    for probe in sets:
-        got = dict(trie.overlaps(probe, len(probe), len(probe)))
-        for k, other in enumerate(sets):
-            o = len(np.intersect1d(probe, other))
-            if sh.alike(o, len(probe), len(other), 80):
-                assert got[k] == o
-            elif k in got:
-                assert got[k] == o
+    want = similar_pairs(sets)
+    assert want and want <= brought_up(sets)
+    sides = [k % 2 for k in range(len(sets))]
+    found = brought_up(sets, sides)
+    assert {p for p in want if sides[p[0]] != sides[p[1]]} <= found and all(sides[a] != sides[b] for a, b in found)
+
+
+def test_tries_leave_sets_with_one_passage_apart():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(8), rng.integers(10**3, 10**6, 122)])) for _ in range(50)]
+    assert not brought_up(sets)
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_lengthened_copies_join_a_linked_group(seed):
-    """A set with 8 to 25 % rare elements put first, beside a linked group of copies, which is never probed from."""
+def test_lengthened_copies_are_brought_up(seed):
+    """A set with 8 to 25 % rare elements put first, beside a group of near copies."""
     rng = np.random.default_rng(seed)
     for n in [10, 11, 16, 20, 40, 100, 101, 250]:
         base = np.unique(rng.integers(10**6, 2 * 10**6, n))
         near = [base] + [np.unique(np.append(np.delete(base, k), 10**7 + k)) for k in range(int(rng.integers(3, 6)))]
         longer = [np.unique(np.append(rng.integers(0, 10**6, max(1, len(base) * share // 100)), base)) for share in (8, 10, 15, 20, 25)]
-        rows = [(k, 0 if k < len(near) else k, x, x[: sh.prefix(len(x), 80)]) for k, x in enumerate(near + longer)]
-        label = {r[0]: r[1] for r in rows}
-        want = dict(label)
-        for a, _, x, _ in rows:
-            for b, _, y, _ in rows:
-                if want[a] != want[b] and sh.alike(len(np.intersect1d(x, y)), len(x), len(y), 80):
-                    want = {k: want[a] if v == want[b] else v for k, v in want.items()}
-        for a, b in tj.links_of_group(rows, None, 80):
-            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
-        groups = lambda of: {frozenset(k for k in of if of[k] == v) for v in of.values()}
-        assert groups(label) == groups(want), n
+        assert similar_pairs(near + longer) <= brought_up(near + longer), n
+
+
+def test_similar_sets_share_enough_of_what_they_send():
+    rng, s = np.random.default_rng(6), tj.Settings()
+    for n in [*range(1, 30), 57, 100, 333]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**62, n))
+            b = np.unique(np.append(rng.permutation(a)[: len(a) - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 2**62, int(rng.integers(0, n // 5 + 1)))))
+            if sh.alike(len(np.intersect1d(a, b)), len(a), len(b), 80):
+                both = len(np.intersect1d(a[: s.sent(len(a))], b[: s.sent(len(b))]))
+                assert both >= s.answered(len(a)) and both >= s.answered(len(b))
 
 
 def test_shingles_follow_the_words():
