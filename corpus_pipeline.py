@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import decontam, langid, packing, templates, triejoin
-from curata.llm.common import table, written
+from curata.llm.common import fresh, table, written
 from curata.llm.queries import vocabulary
 
 #: A language named with less certainty than this counts as not recognised.
@@ -18,22 +18,27 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language (no text, no letter, or no language certain enough)."""
-    model = langid.fit(docs)
-    named = langid.predict(docs, model)
-    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without a recognisable language (no text, no letter, or no language certain enough). Null or
+    repeated doc_ids are judged row by row; columns keep their values whatever their names; an empty table stays empty."""
+    named, score = fresh(docs.columns, "lang", "score")
+    found = langid.predict(docs, langid.fit(docs), names=(named, score))
+    return found.where((F.col(named) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines whose templates recur in other documents, and the documents that consist of nothing else."""
-    rest = templates.drop_lines(docs)
-    rest = rest.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Drops lines whose templates recur in other documents, and the documents that consist of nothing else. The lowest
+    doc_id keeps a template (null is the highest); rows that repeat a doc_id and text lose the same lines; null and empty
+    texts stay; text and n_chars change, all other columns keep their values; an empty table stays empty."""
+    n_lines, n_dropped = fresh(docs.columns, "n_lines", "n_dropped")
+    rest = templates.drop_lines(docs, names=(n_lines, n_dropped))
+    rest = rest.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, that with the lowest doc_id; of rows that repeat a doc_id, one.
-    Documents without a doc_id can't be told apart and stay."""
+    Documents without a doc_id can't be told apart and stay; texts without words are like no other and stay. Columns keep
+    their values whatever their names; an empty table stays empty."""
     found = triejoin.near_duplicates(docs.select("doc_id", "text"))
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     kept = written(kept.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
@@ -44,13 +49,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap an item of the benchmark."""
-    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """Drops documents that overlap an item of the benchmark: all rows of such a doc_id, a null one included. Null and
+    empty texts overlap nothing; columns keep their values whatever their names; an empty table stays empty."""
+    (leaked,) = fresh(docs.columns, "leaked")
+    found = decontam.overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 2048: one row per piece, with its ids."""
+    """Packs the documents' tokens into sequences of 2048: one row per piece, with its ids. Every row is packed, null and
+    empty texts as their end id; further columns are left out; an empty table gives no rows."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
