@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .arrow import release
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -81,6 +82,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int)
                     row += 1
         if out:
             yield told()
+            out = []
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"{PIECES}, row long")
 
