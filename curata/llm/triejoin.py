@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
+from .arrow import release
 from .common import written
 
 #: Rows of up to 40 bytes that may be sent to all tasks; more are joined by a shuffle.
@@ -32,14 +33,16 @@ MANY = 0xFFFFFFFF
 @dataclass(frozen=True)
 class Settings:
     """percent: Jaccard similarity of linked sets; extra: percent of a set that it sends in the first round beyond its
-    prefix; block: sets with one element that a task compares at a time, and partners of one set; gathered: shingles that
-    a task packs at a time; bucket_bytes: text, or sets, whose shingles make one bucket."""
+    prefix; block: sets with one element that a task compares at a time, and partners of one set; few: an element of more
+    sets brings whole sets along, so that the task itself decides; gathered: shingles that a task packs at a time, more
+    where there are so many buckets that few would go to each; bucket_bytes: text, or sets, whose shingles make one bucket."""
 
     percent: int = 80
     extra: int = 10
-    block: int = 1024
-    gathered: int = 1 << 20
-    bucket_bytes: int = 32 << 20
+    block: int = 512
+    few: int = 64
+    gathered: int = 1 << 18
+    bucket_bytes: int = 8 << 20
 
     def spare(self, n: int) -> int:
         return max(1, -(-self.extra * n // 100))
@@ -49,6 +52,9 @@ class Settings:
         order of hashes, lie among these in both: ahead of them stand at most the elements that the other one lacks."""
         return n - sh.least_partner(n, self.percent) + self.spare(n)
 
+    def packed(self, buckets: int) -> int:
+        return max(self.gathered, min(8 * self.gathered, 16 * buckets))
+
     def answered(self, n: int) -> int:
         """How many of them must occur in another set if any set is similar: spare() of the smallest possible partner."""
         return self.spare(sh.least_partner(n, self.percent))
@@ -90,6 +96,7 @@ def described(docs: DataFrame, s: Settings) -> DataFrame:
     place in it: docs should be read from files, so that a lost task's work is repeated alike."""
     total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
     buckets = _per_bucket(int(total), s)
+    most = s.packed(buckets)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = f"doc_ids array<{kind}>, nodes array<binary>, sizes array<long>, owners array<int>, local array<int>"
 
@@ -139,12 +146,14 @@ def described(docs: DataFrame, s: Settings) -> DataFrame:
                 nodes.append(node)
                 sizes.append(n)
                 owners.append(place[node] if n else -1)
-                if gathered >= s.gathered or len(ids) >= s.gathered:
+                if gathered >= most or len(ids) >= most:
                     yield told()
                     ids, nodes, sizes, owners, own, place, gathered = [], [], [], [], [], {}, 0
                     block += 1
         if ids:
             yield told()
+            ids, nodes, sizes, owners, own, place = [], [], [], [], [], {}
+        release()
 
     def answer(rows):
         import pyarrow as pa
@@ -234,7 +243,7 @@ def heads_of(sets: DataFrame, s: Settings) -> DataFrame:
 
         for batch in batches:
             for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and (own != part or size >= 4 * s.gathered):
+                if held and (own != part or size >= s.packed(buckets)):
                     yield told()
                     held, size = [], 0
                 part = own
@@ -360,19 +369,33 @@ class HeadTrie:
             work += [(child, own[go], shared[go]) for child in children]
 
 
-def candidates_of_group(element: int, rows: list[tuple], sides: list[int] | None, percent: int) -> list[tuple[bytes, bytes]]:
+def candidates_of_group(element: int, rows: list[tuple], sides: list[int] | None, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[bytes, bytes]]:
     """Pairs of nodes of different components, whose first common element is this one, that may be similar.
 
-    rows: (node, component, n, s, head), all with the element. sides: only rows of different sides are compared."""
+    rows: (node, component, n, s, head), all with the element. sides: only rows of different sides are compared. sets:
+    whole sets of the rows; then the pairs are links, and sets that links found here connect are not compared again."""
     heads = [r[4] for r in rows]
     at = [int(np.searchsorted(h, element)) for h in heads]
     trie = HeadTrie([h[a:] for h, a in zip(heads, at, strict=True)], [r[2] for r in rows], [r[3] - a for r, a in zip(rows, at, strict=True)], percent)
+    _, component = np.unique(np.array([r[1].hex() for r in rows]), return_inverse=True)
+    rank = np.empty(len(rows), np.int64)
+    rank[sorted(range(len(rows)), key=lambda k: rows[k][0])] = np.arange(len(rows))
+    side = None if sides is None else np.array(sides)
     out = []
     for k, near in trie.candidates():
-        for p in near.tolist():
-            a, b = rows[k], rows[p]
-            if a[0] < b[0] and a[1] != b[1] and not (sides and sides[k] == sides[p]) and not len(np.intersect1d(heads[k][: at[k]], heads[p][: at[p]], assume_unique=True)):
-                out.append((a[0], b[0]))
+        near = near[(rank[near] > rank[k]) & (component[near] != component[k])]
+        if side is not None:
+            near = near[side[near] != side[k]]
+        near = np.array([p for p in near.tolist() if not at[k] or not at[p] or not len(np.intersect1d(heads[k][: at[k]], heads[p][: at[p]], assume_unique=True))], np.int64)
+        if sets is not None and len(near):
+            own, theirs = sets[k], np.concatenate([sets[p] for p in near])
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            sizes = np.array([len(sets[p]) for p in near])
+            overlap = np.bincount(np.repeat(np.arange(len(near)), sizes), hit, len(near)).astype(np.int64)
+            near = near[sh.alike(overlap, len(own), sizes, percent)]
+            for p in near.tolist():
+                component[component == component[p]] = component[k]
+        out += [(rows[k][0], rows[p][0]) for p in near.tolist()]
     return out
 
 
@@ -418,10 +441,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def stars(heads: DataFrame, s: Settings) -> DataFrame:
+def stars(t: DataFrame, s: Settings) -> DataFrame:
     """hub, node: each set with the lowest one of those that share an element of their heads with it, for each element,
-    if sizes and places allow them to be similar."""
-    t = heads.select("node", "n", "s", F.posexplode("head").alias("pos", "token"))
+    if sizes and places allow them to be similar. t: node, n, s, pos and token of the elements of all heads."""
     hubs = t.groupBy("token").agg(F.min(F.struct("node", "n", "s", "pos")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     near = t.join(hubs, "token").where((F.col("node") != F.col("hub.node")) & (100 * F.least("n", "hub.n") >= s.percent * F.greatest("n", "hub.n")))
     need = F.ceil(s.percent * (F.col("n") + F.col("hub.n")) / (100 + s.percent))
@@ -429,56 +451,72 @@ def stars(heads: DataFrame, s: Settings) -> DataFrame:
     return near.select(F.col("hub.node").alias("hub"), "node").distinct()
 
 
-def still_apart(heads: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """hub, node: pairs of sets of different components (labels: node, label) that may be similar.
+def still_apart(heads: DataFrame, elements: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """hub, node, sure: pairs of sets of different components (labels: node, label) that may be similar, or are (sure).
 
     Every element whose sets are not all of one component is looked at by a task; an element of more sets than a block
-    by one for each pair of blocks of them."""
-    t = heads.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n", "s", "head")
-    rows = t.select("node", "label", F.explode("head").alias("token"))
-    open_ = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").select("token", F.ceil(F.col("members") / s.block).cast("int").alias("blocks"))
-    met = rows.join(_few(written(open_, "elements")), "token").select("node", "token", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    by one for each pair of blocks of them. An element of many sets brings whole sets along and yields links only, so
+    what it yields doesn't grow with the square of its sets."""
+    few_labels = _few(labels)
+    label = F.coalesce("label", "node").alias("label")
+    t = heads.join(few_labels, "node", "left").select("node", label, "n", "s", "head")
+    rows = elements.select("node", "n", "token").join(few_labels, "node", "left").select("node", label, "n", "token")
+    open_ = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("n").alias("all")).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("members") / s.block, F.when(F.col("members") > s.few, 8 * F.col("all") / s.bucket_bytes).otherwise(0))).cast("int")
+    open_ = open_.select("token", blocks.alias("blocks"), (F.col("members") > s.few).alias("whole"))
+    met = elements.select("node", "token").join(_few(written(open_, "open-elements")), "token").select("node", "token", "blocks", "whole", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "token", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = met.join(_few(t), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    met = written(met.select("node", "token", "whole", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "met")
+    met = met.join(_few(t), "node")
+    wanted = _few(written(met.where("whole").select("node").distinct(), "whole-sets"))
+    brought = met.where("whole").join(sets.join(wanted, "node", "left_semi").select("node", "hashes"), "node")
+    met = met.where("NOT whole").withColumn("hashes", F.lit(None).cast("binary")).unionByName(brought)
+    met = met.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, rows, sides, out = None, [], [], []
+        now, rows, sides, whole, out = None, [], [], [], []
 
         def told():
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["hub", "node"])
+            return pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)), pa.array([p[2] for p in out], pa.bool_())], ["hub", "node", "sure"])
 
         def close():
             if len(rows) > 1:
-                out.extend(candidates_of_group(now[0], rows, sides if now[1] != now[2] else None, s.percent))
+                sure = whole[0] is not None
+                found = candidates_of_group(now[0], rows, sides if now[1] != now[2] else None, s.percent, [np.frombuffer(x, "<u8") for x in whole] if sure else None)
+                out.extend((a, b, sure) for a, b in found)
 
         for batch in batches:
-            get = {c: batch.column(c).to_pylist() for c in ("token", "i", "j", "own", "node", "label", "n", "s")}
-            heads = batch.column("head")
-            for k, key in enumerate(zip(get["token"], get["i"], get["j"], strict=True)):
-                if key != now:
-                    close()
-                    now, rows, sides = key, [], []
-                    if len(out) > 50_000:
-                        yield told()
-                        out = []
-                rows.append((get["node"][k], get["label"][k], get["n"][k], get["s"][k], heads[k].values.to_numpy()))
-                sides.append(get["own"][k])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                get = {c: part.column(c).to_pylist() for c in ("token", "i", "j", "own", "node", "label", "n", "s", "hashes")}
+                heads = part.column("head")
+                for k, key in enumerate(zip(get["token"], get["i"], get["j"], strict=True)):
+                    if key != now:
+                        close()
+                        now, rows, sides, whole = key, [], [], []
+                        if len(out) > 50_000:
+                            yield told()
+                            out = []
+                    rows.append((get["node"][k], get["label"][k], get["n"][k], get["s"][k], heads[k].values.to_numpy()))
+                    sides.append(get["own"][k])
+                    whole.append(get["hashes"][k])
         close()
         yield told()
 
-    return met.mapInArrow(compare, "hub binary, node binary")
+    return met.mapInArrow(compare, "hub binary, node binary, sure boolean")
 
 
 def similar_links(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between different sets of known that together connect all similar ones."""
     sets = written(sets_of(docs, known, s), "sets")
     heads = written(heads_of(sets, s), "heads")
-    links = written(verified(written(stars(heads, s), "stars"), sets, s), "links")
-    more = verified(written(still_apart(heads, components(links), s), "candidates"), sets, s)
-    return written(links.unionByName(more), "all-links")
+    elements = written(heads.select("node", "n", "s", F.posexplode("head").alias("pos", "token")), "elements")
+    links = written(verified(written(stars(elements, s), "stars"), sets, s), "links")
+    found = written(still_apart(heads, elements, components(links), sets, s), "candidates")
+    more = verified(found.where("NOT sure").select("hub", "node"), sets, s)
+    return written(links.unionByName(more).unionByName(found.where("sure").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "all-links")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -69,9 +69,9 @@ def test_tries_alone_find_all(spark, monkeypatch):
     """Without any star, the tries must bring up every link."""
     rows = corpus(3)
     whole = tj.stars
-    monkeypatch.setattr(tj, "stars", lambda heads, s: whole(heads, s).limit(0))
+    monkeypatch.setattr(tj, "stars", lambda elements, s: whole(elements, s).limit(0))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = tj.near_duplicates(docs, tj.Settings(block=4, gathered=100, bucket_bytes=3000)).collect()
+    got = tj.near_duplicates(docs, tj.Settings(block=4, few=6, gathered=100, bucket_bytes=3000)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
 
 
@@ -81,7 +81,7 @@ def test_one_large_group_of_near_copies(spark):
     base, passage = [f"b{k}" for k in range(60)], " ".join(f"p{k}" for k in range(12))
     rows = [near(rng, base, k % 5) + " " + passage for k in range(90)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) + " " + passage for _ in range(180)]
     rows = list(enumerate(rows))
-    got = tj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tj.Settings(block=16, gathered=2000, bucket_bytes=20_000)).collect()
+    got = tj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tj.Settings(block=16, few=12, gathered=2000, bucket_bytes=20_000)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
 
 
@@ -100,14 +100,14 @@ def similar_pairs(sets):
     return {(a, b) for a in range(len(sets)) for b in range(a) if sh.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)}
 
 
-def brought_up(sets, sides=None):
+def brought_up(sets, sides=None, whole=False):
     """What the tries of all elements bring up, all elements counting as shared."""
     heads = [x[: len(x) - sh.least_partner(len(x), 80) + 1] for x in sets]
-    rows = [(k.to_bytes(4, "big"), k, len(x), len(x), h) for k, (x, h) in enumerate(zip(sets, heads, strict=True))]
+    rows = [(k.to_bytes(4, "big"), k.to_bytes(4, "big"), len(x), len(x), h) for k, (x, h) in enumerate(zip(sets, heads, strict=True))]
     found = set()
     for element in np.unique(np.concatenate(heads)).tolist():
         own = [k for k, h in enumerate(heads) if element in h]
-        pairs = tj.candidates_of_group(element, [rows[k] for k in own], sides and [sides[k] for k in own], 80)
+        pairs = tj.candidates_of_group(element, [rows[k] for k in own], sides and [sides[k] for k in own], 80, [sets[k] for k in own] if whole else None)
         pairs = [(int.from_bytes(b, "big"), int.from_bytes(a, "big")) for a, b in pairs]
         assert not found & set(pairs) and len(set(pairs)) == len(pairs)
         found |= set(pairs)
@@ -125,6 +125,23 @@ def test_tries_lose_no_pair():
     assert {p for p in want if sides[p[0]] != sides[p[1]]} <= found and all(sides[a] != sides[b] for a, b in found)
 
 
+def test_tries_with_whole_sets_yield_links_only():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 10**6, 60))
+    sets = [np.unique(np.concatenate([rng.choice(base, 48, replace=False), rng.integers(0, 10**6, k % 16)])) for k in range(60)]
+    want, got = similar_pairs(sets), brought_up(sets, whole=True)
+    assert got <= want
+
+    def groups(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return label
+
+    same = lambda x: {frozenset(k for k, v in enumerate(x) if v == w) for w in x}
+    assert same(groups(want)) == same(groups(got))
+
+
 def test_tries_leave_sets_with_one_passage_apart():
     rng = np.random.default_rng(5)
     sets = [np.unique(np.concatenate([np.arange(8), rng.integers(10**3, 10**6, 122)])) for _ in range(50)]
