@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, chat, decontam, divergence, langid, packing, rans, ring, templates, triejoin
+from . import attention, chat, decontam, divergence, langid, packing, rans, ring, templates, tokencount, triejoin, variants, zeta
 from .common import shared_folder, table, written
 
 
@@ -93,6 +93,23 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+def op11_wholetoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, counted by the table of strings that are one token."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_zeta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each language at each step of every order."""
+    counts = zeta.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return zeta.audit(counts, "ABCDE")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the form that each is a variant of."""
+    return variants.group(variants.counted(variants.runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_attention": op2_attention,
@@ -104,5 +121,14 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_rans": op9_rans,
     "op10_divergence": op10_divergence,
+    "op11_wholetoken": op11_wholetoken,
+    "op12_zeta": op12_zeta,
+    "op13_variants": op13_variants,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_triejoin": triejoin.sql(),
+    "op6_templates": templates.sql(),
+    "op8_decontam": decontam.sql(),
+    "op12_zeta": zeta.sql(),
+    "op13_variants": variants.sql(),
 }
-ORACLE_SQL: dict[str, str] = {"op4_triejoin": triejoin.sql(), "op6_templates": templates.sql(), "op8_decontam": decontam.sql()}
