@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from .jpeg import recompressed
+
 #: Mean and deviation per channel of the preprocessing, grey of the letterbox, sizes and strengths.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 LETTERBOX_GREY, LETTERBOX_SHARE, SMALL = 118, 0.6, 20
@@ -112,8 +114,11 @@ def _hue(image: np.ndarray, shift: int) -> np.ndarray:
 
 
 def corrupt(image: np.ndarray, name: str, seed: int) -> np.ndarray:
-    """The picture under a named corruption. Recompression is left out: its result depends on one library's encoder."""
+    """The picture under a named corruption. What recompression gives is that of the format; decoders' own rounding may
+    differ by a few units a pixel."""
     x = image.astype(np.float64)
+    if name == "jpeg_q25":
+        return recompressed(image, 25)
     if name == "gaussian_noise":
         noise = np.random.default_rng(seed).normal(0, NOISE, x.shape).astype(np.float32)
         return (np.clip(image.astype(np.float32) / 255 + noise, 0, 1) * 255).astype(np.uint8)

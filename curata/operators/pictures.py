@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import pixels
+from ..functions import augment, jpeg, pixels
+
+#: Turned pictures whose paths may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_TURNED = 100_000
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, data (rows of BGR bytes, as Spark decodes); files that can't be decoded are left out."""
+    """path, height, width, channels, data (rows of BGR bytes, as Spark decodes); files that can't be decoded are left out."""
     found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
     return found.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
@@ -24,6 +27,54 @@ def undecodable(spark: SparkSession, path: str) -> DataFrame:
     return files.join(read(spark, path).select("path"), "path", "left_anti")
 
 
+def orientations(spark: SparkSession, path: str) -> DataFrame:
+    """path, orientation (2 to 8) of the files below path that ask to be turned. Files without the tag, of other formats
+    or with a damaged one don't appear."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file's bytes at a time
+                how = jpeg.orientation(batch.column(1)[k].as_py())
+                if how > 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([how], pa.int32())], names=["path", "orientation"])
+
+    return files.mapInArrow(run, "path string, orientation int")
+
+
+def read_upright(spark: SparkSession, path: str) -> DataFrame:
+    """read(), with the pictures turned as their files ask; height and width are those of the turned picture."""
+    told = orientations(spark, path)
+    told = F.broadcast(told) if told.limit(BROADCAST_TURNED + 1).count() <= BROADCAST_TURNED else told
+    rows = read(spark, path).join(told.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left")
+    columns = ["path", "height", "width", "channels", "data"]
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.orientation > 1:  # null: as it is
+                    x = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+                    x = np.ascontiguousarray(jpeg.turned(x, int(r.orientation)))
+                    batch.at[r.Index, "height"], batch.at[r.Index, "width"], batch.at[r.Index, "data"] = x.shape[0], x.shape[1], x.tobytes()
+            yield batch[columns]
+
+    return rows.mapInPandas(run, rows.select(*columns).schema)
+
+
+def augmented(rows: DataFrame, profile: str, epoch: int, size: int, key: str = "path", seed: int = 42) -> DataFrame:
+    """Pictures as a profile's training input of an epoch: column tensor, 3 x size x size normalised values. What is drawn
+    depends on seed, epoch and the row's key alone. An unknown profile is an error."""
+    augment.profile(profile)
+
+    def make(x: np.ndarray, row) -> list[float]:
+        draw = augment.generator(seed, epoch, getattr(row, key))
+        return augment.normalised(x, size, augment.drawn(profile, draw, *x.shape[:2], size)).ravel().tolist()
+
+    return map_pictures(rows, make, "tensor", "array<float>")
+
+
 def array_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """RGB from the decoder's bytes."""
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)

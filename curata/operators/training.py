@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
@@ -10,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import fourier_features, fourier_plan
 from ..sources.manifest import read_json, write_json
 
 
@@ -32,6 +34,57 @@ def linear_svc(rows: DataFrame, features: str, label: str, rounds: int = 20) ->
     return Pipeline(stages=[svc]).fit(prepared(rows, features))
 
 
+@dataclass(frozen=True)
+class KernelMachine:
+    """Linear machines, one per class, on random Fourier features: gamma of the kernel, the plan of the features, and the
+    fitted machines."""
+
+    gamma: float
+    plan: list
+    machines: PipelineModel
+
+    def apply(self, rows: DataFrame, features: str) -> DataFrame:
+        """rows with prediction; rows without features are left out."""
+        (mapped,) = _free(rows, "fourier")
+        return apply(self.machines, rows.withColumn(mapped, fourier_features(F.col(features), self.plan)), mapped).drop(mapped)
+
+    def save(self, path: str, contract: dict) -> dict:
+        return save(self.machines, path, contract, {"gamma": self.gamma, "fourier": self.plan})
+
+
+def load_kernel_machine(spark: SparkSession, path: str, expected: dict) -> KernelMachine:
+    machines, said = load(spark, path, ["gamma", "fourier"], expected)
+    return KernelMachine(said["gamma"], said["fourier"], machines)
+
+
+def _free(rows: DataFrame, name: str) -> list[str]:
+    while name.lower() in (c.lower() for c in rows.columns):
+        name = "_" + name
+    return [name]
+
+
+def kernel_scale(rows: DataFrame, features: str) -> tuple[int, float]:
+    """The features' number, and the usual gamma: 1 / (number x variance of all values), 1 for constant values."""
+    values = rows.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
+    low, high, spread = values.select(F.size("x").alias("d"), F.explode("x").alias("v")).agg(F.min("d"), F.max("d"), F.var_pop("v")).first()
+    if low is None or low != high:
+        raise ValueError("a kernel machine needs rows, all with equally many features")
+    return low, 1 / (low * spread) if spread else 1.0
+
+
+def rbf_svc(rows: DataFrame, features: str, label: str, n: int = 512, gamma: float | None = None, rounds: int = 30, penalty: float = 1e-3, seed: int = 42) -> KernelMachine:
+    """A machine with the kernel exp(-gamma |x - y|^2), approximated by n random Fourier features of each row and fitted
+    in the features' space, so that no row meets another and a model's size does not grow with the rows. gamma: by
+    kernel_scale() where not given. Rows without features are left out; no rows, or rows of unlike sizes, are errors."""
+    size, usual = kernel_scale(rows, features)
+    plan = fourier_plan(size, n, usual if gamma is None else gamma, seed)
+    (mapped,) = _free(rows, "fourier")
+    svc = OneVsRest(classifier=LinearSVC(featuresCol="vector", labelCol=label, maxIter=rounds, regParam=penalty), featuresCol="vector", labelCol=label)
+    known = rows.where(F.col(features).isNotNull())
+    fitted = Pipeline(stages=[svc]).fit(prepared(known.withColumn(mapped, fourier_features(F.col(features), plan)), mapped))
+    return KernelMachine(usual if gamma is None else gamma, plan, fitted)
+
+
 def apply(model: PipelineModel, rows: DataFrame, features: str) -> DataFrame:
     """rows with prediction."""
     return model.transform(prepared(rows, features)).drop("vector", "rawPrediction", "probability")
