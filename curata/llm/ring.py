@@ -7,9 +7,9 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 BITS = 64
+#: Rows of one value that are numbered at a time.
+BLOCK = 65_536
 
 
 def _cell(key: list[Column], cell_bits: int, seed: int) -> Column:
@@ -69,8 +69,9 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int
     most one apart, and all shards are full to the last row. Rows that overflow a full shard go on clockwise.
 
     The driver sees one count for each cell, at most 2 ** cell_bits of them, however many rows there are. Ranks are
-    taken within a cell, so rows spread over that many groups whatever their source or text, and cells of over cell_rows
-    rows, as one repeated or null doc_id makes them, are ranked in parts. Returns doc_id, size (UTF-8
+    taken within a cell, so rows spread over that many groups whatever their source or text; cells of over cell_rows
+    rows, as very many rows or one repeated doc_id make them, are ranked in parts by a hash of the rows' values. What is
+    in the table decides where a row goes, not how it is laid out in files. Returns doc_id, size (UTF-8
     bytes of the text, null: none, plus 16), text_crc32 (of the UTF-8 text, null: of nothing), shard, slot (gapless from 0
     in its shard). Null doc_ids share one cell; repeated rows each get their own slot; texts of any length count
     whole; further columns are ignored, whatever their names; an empty table gives no rows.
@@ -90,22 +91,25 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 64, cell_bits: int
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), on_cell.alias("cell"))
-    hot = [(cell, -(-n // cell_rows)) for cell, n in counts.items() if n > cell_rows]
-    if hot:
-        # Rows of a cell are dealt on to parts of it, equal ones too, and ranked in each; parts stand behind each other.
-        # The deal is written down, so that both readings see the same.
-        parts = F.broadcast(spark.createDataFrame(hot, "h_cell int, parts long"))
-        dealt = rows.join(parts, F.col("cell") == F.col("h_cell"), "left").drop("h_cell")
-        at = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
-        rows = written(dealt.withColumn("part", at).drop("parts"), "ring")
-        ahead = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
-        sizes = sizes.select(F.col("cell").alias("s_cell"), F.col("part").alias("s_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-        rows = rows.join(sizes, (F.col("cell") == F.col("s_cell")) & (F.col("part") == F.col("s_part"))).drop("s_cell", "s_part")
-    else:
-        rows = rows.withColumn("part", F.lit(0)).withColumn("ahead", F.lit(0))
-    order = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.col("ahead") + F.row_number().over(order).cast("long") - 1)
+    value = ["doc_id", "text_crc32", "size"]
+    parts = [(cell, -(-n // cell_rows)) for cell, n in counts.items() if n > cell_rows]
+    several = F.broadcast(spark.createDataFrame(parts or [(-1, 1)], "h_cell int, parts long"))
+    # Rows equal in all that is returned are counted, not ranked one by one: where they lie in files doesn't matter.
+    values = rows.groupBy("cell", *value).agg(F.count("*").alias("n")).join(several, F.col("cell") == F.col("h_cell"), "left")
+    values = values.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), *value), F.coalesce("parts", F.lit(1)))).drop("h_cell", "parts")
+    ahead = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = values.where(F.col("cell").isin([c for c, _ in parts])).groupBy("cell", "part").agg(F.sum("n").alias("own"))
+    sizes = sizes.select(F.col("cell").alias("s_cell"), F.col("part").alias("s_part"), F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("cell", "part").orderBy(*value).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    if parts:
+        values = values.join(sizes, (F.col("cell") == F.col("s_cell")) & (F.col("part") == F.col("s_part")), "left")
+        values = values.withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
+    # Each value's rows take the ranks from its first on; many rows of one value are spread in blocks.
+    blocks = values.select("cell", *value, "n", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("block"))
+    if parts:
+        blocks = blocks.repartition("cell", *value, "block")
+    ranked = blocks.select("cell", *value, F.explode(F.sequence(F.col("rank") + F.col("block"), F.col("rank") + F.least("n", F.col("block") + BLOCK) - 1)).alias("rank"))
     # A cell has one part, and one more for each overflow: the plan is bounded by the ring, not by the rows.
     placed = ranked.join(F.broadcast(plan_df), (F.col("cell") == F.col("p_cell")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("p_slot") + F.col("rank") - F.col("p_from")).alias("slot"))

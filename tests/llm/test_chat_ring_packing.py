@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from curata.llm import chat, packing, ring, tokens
 from curata.llm.queries import vocabulary
@@ -129,7 +130,6 @@ def test_ring_against_a_plain_walk(spark):
     rows = [(i * 37, "t", 1, 1, "x") for i in range(400)]
     got = {r.doc_id: r.shard for r in ring.assign_shards(docs(spark, rows), 5, vnodes=4, cell_bits=6).collect()}
     nodes = ring.ring(spark, 5, 4, 6, 11)
-    from pyspark.sql import functions as F
 
     cells = {r.doc_id: r.cell for r in docs(spark, rows).select("doc_id", ring._cell([F.col("doc_id")], 6, 11).alias("cell")).collect()}
     room, waiting, want = dict.fromkeys(range(5), 80), sorted(cells, key=lambda d: (cells[d], d)), {}
@@ -202,3 +202,29 @@ def test_packing_deals_one_id_to_many_groups(spark, doc):
     got = packing.pack(docs(spark, rows), vocabulary("word_bpe_49k.json"), group_bytes=4000).collect()
     groups = Counter(r.sequence_id >> 32 for r in got)
     assert len(got) == 1200 and len(groups) > 15 and max(groups.values()) < 150
+
+
+def test_shards_depend_on_the_rows_and_not_on_how_they_lie(spark):
+    """Cells of more than cell_rows rows, one repeated row among them, under several layouts."""
+    rows = [(k % 1500 if k % 3 else None, f"text {k % 700}") for k in range(3000)] + [(77, "hot")] * 1000
+    found = []
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand(n)).repartition(n)
+        for limit, kind in ((40, "parts"), (1_000_000, "whole")):
+            got = ring.assign_shards(df, 6, vnodes=8, cell_bits=6, cell_rows=limit).collect()
+            found.append((kind, sorted(map(str, got))))
+            sizes = [sum(r.shard == s for r in got) for s in range(6)]
+            assert len(got) == 4000 and max(sizes) - min(sizes) <= 1
+            for s in range(6):
+                assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    for kind in ("parts", "whole"):
+        assert len({str(f) for k, f in found if k == kind}) == 1
+
+
+def test_many_rows_of_one_value_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ring, "BLOCK", 16)
+    df = spark.createDataFrame([(1, "same")] * 500 + [(k, "x") for k in range(40)], "doc_id long, text string")
+    for limit in (50, 1000):
+        got = ring.assign_shards(df, 3, vnodes=4, cell_bits=4, cell_rows=limit).collect()
+        assert sorted((r.doc_id, r["size"]) for r in got) == sorted([(1, 20)] * 500 + [(k, 17) for k in range(40)])
+        assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(3) for k in range(180)]

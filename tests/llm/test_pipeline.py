@@ -88,3 +88,21 @@ def test_stages_keep_what_a_plain_version_keeps(spark):
             if len(x.split()) >= 5 and len(holders[x]) >= 3:
                 assert d == min(holders[x]) or re.search("[0-9]", x), (d, x)
     assert ITEM
+
+
+def test_rows_that_share_or_lack_a_doc_id_are_judged_one_by_one(spark):
+    """Unlike texts under one doc_id stay, copies go, whatever doc_ids they have; a clean row without doc_id stays."""
+    from test_lines_leaks import ITEM  # noqa: F401
+
+    a, b, c = (" ".join(f"{x}{k} the" for k in range(60)) for x in "abc")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    make = lambda rows: spark.createDataFrame([(d, t, "en", "s", 0, "mine") for d, t in rows], schema)
+    near = lambda rows: sorted([(r.doc_id, r.text[:2]) for r in cp.near_copies(spark, make(rows), SF).collect()], key=str)
+    assert near([(5, a), (5, b)]) == [(5, "a0"), (5, "b0")]
+    assert near([(2, a), (5, b), (5, a)]) == [(2, "a0"), (5, "b0")]
+    assert near([(None, a), (None, b), (None, a), (7, b)]) == [(7, "b0"), (None, "a0")]
+    assert near([(3, a), (3, a), (4, c)]) == [(3, "a0"), (4, "c0")]
+    assert cp.near_copies(spark, make([(1, ""), (1, ""), (None, None)]), SF).count() == 3
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    left = [(r.doc_id, r.text[:2], r.row) for r in cp.decontaminate(spark, make([(None, item), (None, a), (8, b), (8, f"{c} {item} {c}"), (9, c)]), SF).collect()]
+    assert sorted(left, key=str) == [(8, "b0", "mine"), (9, "c0", "mine"), (None, "a0", "mine")]
