@@ -35,25 +35,41 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that names each row: doc_id where no two rows share one and none lacks it, else a number that is
+    written down with the rows."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    (row,) = fresh(docs.columns, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the lowest doc_id; of rows that repeat a doc_id, one.
-    Documents without a doc_id can't be told apart and stay; texts without words are like no other and stay. Columns keep
-    their values whatever their names; an empty table stays empty."""
-    found = triejoin.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    kept = written(kept.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Keeps one document of each group of near copies, that with the lowest doc_id (null is the highest; of rows that
+    repeat it, one). Rows are judged one by one, so that unlike texts under one doc_id and rows without one are kept or
+    dropped each by its own text; texts without words are like no other and stay. Columns keep their values whatever their
+    names; an empty table stays empty."""
+    rows, key = numbered(docs)
+    found = triejoin.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    if key == "doc_id":
+        kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept"))
+    else:
+        ids = rows.select(F.col(key).alias("kept"), F.col("doc_id").alias("own"))
+        met = found.join(ids, F.col("doc_id") == F.col("kept"))
+        first = F.min(F.struct(F.col("own").isNull(), "own", "kept")).alias("first")
+        kept = met.groupBy("component_id").agg(first).select("first.kept")
+    (mark,) = fresh(rows.columns, "kept")
+    kept = written(kept.select(F.col("kept").alias(mark)), "kept")
+    return rows.join(kept, F.col(key) == F.col(mark), "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap an item of the benchmark: all rows of such a doc_id, a null one included. Null and
-    empty texts overlap nothing; columns keep their values whatever their names; an empty table stays empty."""
-    (leaked,) = fresh(docs.columns, "leaked")
-    found = decontam.overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leaked)).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
+    """Drops the documents that overlap an item of the benchmark, row by row, also where rows share a doc_id or lack it.
+    Null and empty texts overlap nothing; columns keep their values whatever their names; an empty table stays empty."""
+    rows, key = numbered(docs)
+    (leaked,) = fresh(rows.columns, "leaked")
+    found = decontam.overlaps(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(leaked)).distinct(), F.col(key) == F.col(leaked), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
