@@ -59,4 +59,7 @@ def token_grid(text: Column, cells: int = 72) -> Column:
     """How many words of text fall into each cell, by the first 4 hex digits of the word's md5."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     places = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % cells).cast("int"))
-    return bound(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.size(F.filter(own, lambda p: p == i))))
+    # Each cell once more, in order: a cell's run ends where the next one begins, and is one longer than its words.
+    ordered = F.sort_array(F.concat(places, F.sequence(F.lit(0), F.lit(cells - 1))))
+    ends = bound(ordered, lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.coalesce(F.get(own, i) != F.get(own, i + 1), F.lit(True))))
+    return bound(ends, lambda own: F.transform(own, lambda e, k: e - F.coalesce(F.get(own, k - 1), F.lit(-1)) - 1))

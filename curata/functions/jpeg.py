@@ -42,7 +42,8 @@ def _stored(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A plane after its 8 x 8 blocks were transformed, rounded to steps of the table and turned back."""
     h, w = plane.shape
     blocks = plane.reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3) - 128.0
-    found = COSINES @ blocks @ COSINES.T / table
+    # Halves must not fall to either side by the order in which a machine adds.
+    found = np.round(COSINES @ blocks @ COSINES.T / table, 9)
     kept = np.sign(found) * np.floor(np.abs(found) + 0.5) * table
     back = np.rint(COSINES.T @ kept @ COSINES + 128).clip(0, 255)
     return back.transpose(0, 2, 1, 3).reshape(h, w)

@@ -20,6 +20,11 @@ def points_of(values: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(values, 3 * i + k).cast("double")))
 
 
+def points_from_structs(points: Column) -> Column:
+    """Points given as structs with fields x, y and z, as arrays of these; a null coordinate stays null."""
+    return F.transform(points, lambda p: F.array(*(p[axis].cast("double") for axis in ("x", "y", "z"))))
+
+
 def _length(p: Column) -> Column:
     return F.sqrt(total(F.transform(p, lambda v: v * v)))
 

@@ -107,6 +107,11 @@ def peak(history: DataFrame, value: str) -> DataFrame:
     return history.agg(F.max(value).alias("peak"))
 
 
+def peaks(history: DataFrame, by: str, value: str) -> DataFrame:
+    """by and peak(): the largest value of each run, null for a run without any."""
+    return history.groupBy(by).agg(F.max(value).alias("peak"))
+
+
 def by_padding(rows: DataFrame, padding: str, scored: Column, correct: Column, images: int) -> DataFrame:
     """padding, scored, correct, accuracy_over_all_images (of images, misses included) and accuracy_where_detected (null
     where nothing was scored)."""

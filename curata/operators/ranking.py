@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 
 #: Chunks at most, whose counts one window may hold.
 CHUNKS = 1 << 16
@@ -38,7 +39,7 @@ def positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str],
 
 def by_digest(rows: DataFrame, by: Sequence[str], key: str, ties: Sequence[str], name: str = "pos", total: str | None = None) -> DataFrame:
     """positions() in the order of a hexadecimal digest."""
-    return positions(rows, by, [key, *ties], F.substring(key, 1, 2), name, total)
+    return positions(rows, by, [key, *ties], F.substring(key, 1, 4), name, total)
 
 
 def by_number(rows: DataFrame, by: Sequence[str], key: str, name: str = "pos", total: str | None = None, width: int = 4096) -> DataFrame:
@@ -50,6 +51,13 @@ def by_number(rows: DataFrame, by: Sequence[str], key: str, name: str = "pos", t
     return positions(rows, by, [key], F.floor((F.col(key) - F.lit(low)) / width), name, total)
 
 
+def by_range(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "pos", total: str | None = None) -> DataFrame:
+    """positions() in an order of any kind: rows are dealt out by ranges of the order, whose numbers are the chunks, and
+    written down, since ranges are found by sampling. Rows that are equal in the order may take each other's numbers."""
+    dealt = settled(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    return positions(dealt, by, order, F.col("__range"), name, total).drop("__range")
+
+
 def first_of(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """The row with the lowest value of order in each group of by."""
     best = F.min_by(F.struct(*rows.columns), F.struct(order)).alias("__row")

@@ -71,21 +71,22 @@ def with_corruption(rows: DataFrame, key: str, names: Sequence[str] = CORRUPTION
     return ranked.withColumn("corruption", corruption_at(F.col("position"), names))
 
 
+#: Rows whose lines may meet in one row.
+ORDERED_ROWS = 100_000
+
+
 def ordered_digest(rows: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
-    """One row (digest, n_rows): SHA-256 of all lines in order. The lines meet in one row, so this is for the bounded
-    row sets that name a benchmark; tree_digest() is for others."""
+    """One row (digest, n_rows): SHA-256 of all lines in order, as a benchmark of few rows is named. The lines meet in one
+    row; over ORDERED_ROWS rows are an error, and row_set_digest() is for them."""
+    if rows.limit(ORDERED_ROWS + 1).count() > ORDERED_ROWS:
+        raise ValueError(f"an ordered digest takes {ORDERED_ROWS} rows at most")
     said = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
     return rows.agg(F.sha2(F.array_join(F.transform(said, lambda s: s["__line"]), ""), 256).alias("digest"), F.count("*").alias("n_rows"))
 
 
-#: Rows whose lines may meet in one row.
-ORDERED_ROWS = 100_000
-
-
-def row_set_digest(rows: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
-    """ordered_digest() of few rows, tree_digest() of more; which of them follows from the number of rows alone."""
-    few = rows.limit(ORDERED_ROWS + 1).count() <= ORDERED_ROWS
-    return ordered_digest(rows, order, line) if few else tree_digest(rows, line)
+def row_set_digest(rows: DataFrame, line: Column) -> DataFrame:
+    """One row (digest, n_rows) that names a set of rows by their lines, whatever their number and order."""
+    return tree_digest(rows, line)
 
 
 def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import augment
 from ..functions.vectors import fourier_features, fourier_plan
 from ..sources.manifest import read_json, write_json
+from ..sources.scratch import settled
 
 
 def prepared(rows: DataFrame, features: str) -> DataFrame:
@@ -79,9 +81,10 @@ def rbf_svc(rows: DataFrame, features: str, label: str, n: int = 512, gamma: flo
     size, usual = kernel_scale(rows, features)
     plan = fourier_plan(size, n, usual if gamma is None else gamma, seed)
     (mapped,) = _free(rows, "fourier")
-    svc = OneVsRest(classifier=LinearSVC(featuresCol="vector", labelCol=label, maxIter=rounds, regParam=penalty), featuresCol="vector", labelCol=label)
-    known = rows.where(F.col(features).isNotNull())
-    fitted = Pipeline(stages=[svc]).fit(prepared(known.withColumn(mapped, fourier_features(F.col(features), plan)), mapped))
+    svc = OneVsRest(classifier=LinearSVC(featuresCol="vector", labelCol=label, maxIter=rounds, regParam=penalty), featuresCol="vector", labelCol=label, parallelism=4)
+    # The features are computed once and written: each round of each machine reads them.
+    known = settled(rows.where(F.col(features).isNotNull()).select(F.col(label), fourier_features(F.col(features), plan).alias(mapped)))
+    fitted = Pipeline(stages=[svc]).fit(prepared(known, mapped))
     return KernelMachine(usual if gamma is None else gamma, plan, fitted)
 
 
@@ -118,19 +121,29 @@ def load(spark: SparkSession, path: str, required: Sequence[str], expected: dict
     return PipelineModel.load(f"{path}/model"), said
 
 
-def check_training(epochs: int, batch: int, rate: float, size: int, patience: int, workers: int = 0, per_class: int | None = None, per_split: int | None = None, repeat: int = 1, select_on: str = "validation", extra: tuple[str | None, str | None] = (None, None)) -> None:
-    """An error for values that no training run takes."""
-    rules = [
-        (1 <= epochs <= 100, "epochs must be 1 to 100"),
-        (min(batch, rate, size) > 0, "batch, rate and size must be positive"),
-        (patience > 0, "patience must be positive"),
-        (workers >= 0, "workers must not be negative"),
-        (per_class is None or per_class > 0, "per_class must be positive"),
-        (per_class is None or per_split is None, "per_class and per_split exclude each other"),
-        (repeat >= 1, "repeat must be 1 at least"),
-        (select_on in ("validation", "stress"), "select_on must be validation or stress"),
-        ((extra[0] is None) == (extra[1] is None), "extra rows need a manifest and a root"),
-    ]
-    for holds, said in rules:
-        if not holds:
-            raise ValueError(said)
+#: Lowest and highest whole number of each setting of a run that has a range; None: without limit.
+WHOLE = {"epochs": (1, 100), "batch": (1, None), "size": (1, None), "patience": (1, None), "repeat": (1, None), "per_class": (1, None), "per_split": (1, None)}
+
+
+def check_training(said: dict) -> None:
+    """An error for the first setting of a run, by name, that no run takes: whole numbers outside their range, a rate or
+    profile that is none, a limit per class beside one per split, a selection by anything but validation or stress. None
+    stands for a setting that is not given; unknown names are errors."""
+    for name, value in sorted(said.items()):
+        if value is None:
+            continue
+        if name in WHOLE:
+            low, high = WHOLE[name]
+            fits = isinstance(value, int) and not isinstance(value, bool) and value >= low and (high is None or value <= high)
+        elif name == "rate":
+            fits = isinstance(value, (int, float)) and 0 < value < float("inf")
+        elif name == "profile":
+            fits = value in augment.PROFILES
+        elif name == "select_on":
+            fits = value in ("validation", "stress")
+        else:
+            raise ValueError(f"no setting named {name}")
+        if not fits:
+            raise ValueError(f"{name} can't be {value!r}")
+    if said.get("per_class") is not None and said.get("per_split") is not None:
+        raise ValueError("per_class and per_split exclude each other")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, landmarks, text, vectors
+from ..functions import hashing, landmarks, sqlnames, text, vectors
 from ..operators import dedup, metrics, ranking, sampling, score, selection, splits, validate
 from .embedding_split import CLASSES, SQL, scored, table
 
@@ -199,7 +199,7 @@ def corruption_assignment(spark, sf_dir):
 
 @query("SELECT sha256(string_agg(n_nationkey || chr(9) || n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS n_rows FROM nation")
 def row_set_digest(spark, sf_dir):
-    return sampling.row_set_digest(table(spark, sf_dir, "nation"), ["n_nationkey"], F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), "n_name", F.lit("\n")))
+    return sampling.ordered_digest(table(spark, sf_dir, "nation"), ["n_nationkey"], F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), "n_name", F.lit("\n")))
 
 
 @query("""SELECT lang, count(*) AS n, round(sum(is_extra) / count(*), 6) AS share FROM (SELECT lang, 0 AS is_extra FROM documents UNION ALL SELECT lang, 1 FROM documents, range(7) WHERE source = 'src3') GROUP BY lang""")
@@ -523,11 +523,15 @@ def tensor_offsets(spark, sf_dir):
 
 
 def running_offsets(rows: DataFrame, key: str, length: str, width: int = 4096) -> DataFrame:
-    """Adds offset: the sum of length over all lower keys, first over ranges of keys and then within each."""
+    """Adds offset: the sum of length over all lower keys, first over ranges of keys and then within each. Ranges are as
+    wide as it takes for there to be ranking.CHUNKS of them at most."""
     from pyspark.sql import Window
 
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__chunk", F.floor(F.col(key) / width))
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is not None:
+        width = max(width, -(-(int(high) - int(low) + 1) // ranking.CHUNKS))
+    rows = rows.withColumn("__chunk", F.floor((F.col(key) - F.lit(low)) / width))
     sums = rows.groupBy("__chunk").agg(F.sum(length).alias("__in"))
     sums = sums.select("__chunk", F.coalesce(F.sum("__in").over(before(Window.partitionBy(F.lit(0)).orderBy("__chunk"))), F.lit(0)).alias("__ahead"))
     own = F.coalesce(F.sum(length).over(before(Window.partitionBy("__chunk").orderBy(key))), F.lit(0))
@@ -586,6 +590,137 @@ def row_positions(spark, sf_dir):
     return ranking.positions(rows, [], ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 4096), "position")
 
 
+@query("SELECT o_orderpriority AS run, max(o_totalprice) FILTER (WHERE o_orderstatus <> 'P') AS peak FROM orders GROUP BY 1")
+def peak_memory_by_run(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("run"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("seen"))
+    return metrics.peaks(o, "run", "seen")
+
+
+@query()
+def halves_by_shuffle(spark, sf_dir):
+    """Halves by Python's own shuffle; tests hold them against the shuffle itself."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.format_string("v/%09d", "vec_id").alias("path"))
+    return splits.shuffled_halves(rows, "label", "path")
+
+
+# --- pictures: each embedding as 8 x 8 grey values ----------------------------------------------------------------------
+
+PIXELS = "px AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS ij, CAST(greatest(0, least(255, floor(128.5 + 300 * unnest(embedding)::DOUBLE))) AS INT) AS v FROM embeddings)"
+
+
+def _grey_pictures(spark, sf_dir):
+    bytes_of = F.transform("embedding", lambda e: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128.5 + 300 * e.cast("double")))).cast("long")), 2, "0"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(bytes_of, "")).alias("data"))
+    return rows
+
+
+def _grey_rows(rows, make):
+    from ..operators import pictures
+
+    made = pictures.map_pictures(rows, lambda x, r: make(x, r)[..., 0].ravel().astype(int).tolist(), "grey", "array<int>")
+    return made.select("vec_id", F.posexplode("grey").alias("pos", "value"))
+
+
+_brightness = "16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62 18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"
+
+
+@query(f"""WITH {PIXELS}, basis AS (
+  SELECT u.t * 8 + v.t AS uv, i.t * 8 + j.t AS ij, (CASE WHEN u.t = 0 THEN sqrt(0.125::DOUBLE) ELSE 0.5::DOUBLE END) * cos((2 * i.t + 1) * u.t * pi() / 16) * (CASE WHEN v.t = 0 THEN sqrt(0.125::DOUBLE) ELSE 0.5::DOUBLE END) * cos((2 * j.t + 1) * v.t * pi() / 16) AS w
+  FROM range(8) u(t), range(8) v(t), range(8) i(t), range(8) j(t)
+), q AS (SELECT unnest(range(64)) AS uv, least(255, 2 * unnest([{_brightness.replace(" ", ", ")}])) AS q
+), f AS (SELECT vec_id, uv, round(round(sum((v - 128) * w), 9) / any_value(q), 9) AS f, any_value(q) AS q FROM px JOIN basis USING (ij) JOIN q USING (uv) GROUP BY vec_id, uv
+), k AS (SELECT vec_id, uv, sign(f) * floor(abs(f) + 0.5) * q AS k FROM f)
+SELECT vec_id, CAST(ij AS INT) AS pos, CAST(greatest(0, least(255, round(sum(k * w) + 128))) AS INT) AS value FROM k JOIN basis USING (uv) GROUP BY vec_id, ij""")
+def jpeg_blocks(spark, sf_dir):
+    from ..functions import pixels
+
+    return _grey_rows(_grey_pictures(spark, sf_dir), lambda x, _: pixels.corrupt(x, "jpeg_q25", 0))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT vec_id, (vec_id % 8 + 1)::INT AS how, ij // 8 AS i, ij % 8 AS j, v FROM px)
+SELECT vec_id, CAST(CASE how WHEN 1 THEN i * 8 + j WHEN 2 THEN i * 8 + 7 - j WHEN 3 THEN (7 - i) * 8 + 7 - j WHEN 4 THEN (7 - i) * 8 + j
+  WHEN 5 THEN j * 8 + i WHEN 6 THEN j * 8 + 7 - i WHEN 7 THEN (7 - j) * 8 + 7 - i ELSE (7 - j) * 8 + i END AS INT) AS pos, v AS value FROM t""")
+def upright_pictures(spark, sf_dir):
+    from ..functions import jpeg
+
+    return _grey_rows(_grey_pictures(spark, sf_dir), lambda x, r: jpeg.turned(x, int(r.vec_id) % 8 + 1))
+
+
+@query(f"""WITH {PIXELS}, g AS (SELECT vec_id, ij // 8 AS i, ij % 8 AS j, v FROM px
+), s AS (SELECT vec_id, i, j, CASE WHEN vec_id % 2 = 0 THEN j ELSE 7 - j END AS x, i AS y FROM g
+), m AS (SELECT s.vec_id, s.i, s.j, coalesce(a.v, 0) AS v FROM s LEFT JOIN g a ON a.vec_id = s.vec_id AND a.i = s.y - 1 AND a.j = CASE WHEN s.vec_id % 2 = 0 THEN s.j - 2 ELSE 7 - (s.j - 2) END AND s.j >= 2)
+SELECT vec_id, CAST(i * 8 + j AS INT) AS pos, CAST(greatest(0, least(255, round_even(v * 1.25, 0))) AS INT) AS value FROM m""")
+def augmented_pictures(spark, sf_dir):
+    """Every second picture mirrored, then all moved by two places right and one down, and a quarter brighter."""
+    from ..functions import augment
+
+    return _grey_rows(_grey_pictures(spark, sf_dir), lambda x, r: augment.applied(x, ([("flip",)] if r.vec_id % 2 else []) + [("affine", 0, 2, 1, 1, 0, 0), ("brightness", 1.25)]))
+
+
+# --- learners ---------------------------------------------------------------------------------------------------------
+
+_fourier = vectors.fourier_plan(64, 6, 0.5)
+
+
+@query(f"""WITH z AS (SELECT vec_id, [{", ".join(f"cos(list_dot_product(embedding::DOUBLE[], {p['w']}::DOUBLE[]) + {p['b']!r}::DOUBLE)" for p in _fourier)}] AS z FROM embeddings)
+SELECT vec_id, CAST(generate_subscripts(z, 1) - 1 AS INT) AS pos, round(unnest(z) * sqrt(2 / 6.0::DOUBLE), 6) + 0.0 AS value FROM z""")
+def fourier_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.fourier_features(F.col("embedding"), _fourier)).alias("pos", "value"))
+    return rows.select("vec_id", "pos", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("""SELECT learner, count(*) FILTER (WHERE NOT held_out) AS n_train, count(*) FILTER (WHERE held_out) AS n_held_out, true AS beats_centroid
+FROM (SELECT left(sha256('held:' || vec_id), 1) < '5' AS held_out FROM embeddings), (VALUES ('kernel machine'), ('network')) l(learner) GROUP BY learner""")
+def learners_held_out(spark, sf_dir):
+    """Whether two values have the same sign, which no straight line tells: the kernel machine and the network against the
+    nearest centroid, each judged on the rows that none of them has seen."""
+    from ..operators import network, training
+    from ..sources.scratch import settled
+
+    x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double") * 8)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), x.alias("x"))
+    rows = rows.withColumn("label", (F.col("x")[0] * F.col("x")[1] > 0).cast("int")).withColumn("held_out", F.left(F.sha2(F.concat(F.lit("held:"), "id"), 256), F.lit(1)) < "5")
+    rows = settled(rows)
+    train, held = rows.where("NOT held_out"), rows.where("held_out")
+    machine = training.rbf_svc(train, "x", "label", n=128, rounds=20)
+    settings = network.Settings(epochs=40, batch=32, batches_a_step=4, rate=3e-2, hidden=(16, 8), dropout=0.0, jitter=0.0, patience=40)
+    fitted = network.fit(train, train, "id", "x", "label", settings)
+    places = [F.avg(F.col("x")[k]) for k in range(2)]
+    centres = {r.label: (r.a, r.b) for r in train.groupBy("label").agg(places[0].alias("a"), places[1].alias("b")).collect()}  # two rows
+    away = {c: F.pow(F.col("x")[0] - a, 2) + F.pow(F.col("x")[1] - b, 2) for c, (a, b) in centres.items()}
+    nearest = held.withColumn("prediction", F.when(away[0] <= away[1], 0).otherwise(1))
+    right = lambda df: df.select(F.avg((F.col("prediction") == F.col("label")).cast("double")))
+    told = {"kernel machine": machine.apply(held, "x"), "network": network.predict(held, fitted, "x")}
+    low = right(nearest).first()[0]
+    found = [(name, right(df).first()[0] > low) for name, df in told.items()]
+    counts = rows.agg(F.count_if("held_out").alias("n_held_out"), F.count_if(~F.col("held_out")).alias("n_train"))
+    return counts.withColumn("l", F.explode(F.array(*(F.struct(F.lit(n).alias("learner"), F.lit(b).alias("beats_centroid")) for n, b in found)))).select("l.learner", "n_train", "n_held_out", "l.beats_centroid")
+
+
+# --- written in SQL alone -------------------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["token_grid_hash"])
+def sql_token_grid(spark, sf_dir):
+    sqlnames.register(spark)
+    return spark.sql(f"SELECT doc_id, hex16(gradient_bits(token_grid(text))) AS dhash FROM parquet.`{sf_dir}/documents.parquet`")
+
+
+@query(ORACLE_SQL["landmark_features"])
+def sql_landmark_features(spark, sf_dir):
+    sqlnames.register(spark)
+    features = "landmark_features(points_of(embedding), if(label % 2 = 0, ' Left', 'Right'))"
+    return spark.sql(f"SELECT vec_id, pos, round(value, 6) + 0D AS value FROM parquet.`{sf_dir}/embeddings.parquet` LATERAL VIEW posexplode({features}) AS pos, value")
+
+
+@query("""SELECT vec_id, CAST(rank AS INT) AS rank, CAST(place AS INT) AS place, round(value, 6) AS value FROM (
+  SELECT vec_id, place, value, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, place) AS rank
+  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding)::DOUBLE AS value FROM embeddings)) WHERE rank <= 3""")
+def sql_top_k(spark, sf_dir):
+    sqlnames.register(spark)
+    return spark.sql(f"SELECT vec_id, t.rank, t.place, round(t.value, 6) AS value FROM parquet.`{sf_dir}/embeddings.parquet`, LATERAL top_k(cast(embedding AS ARRAY<DOUBLE>), 3) AS t")
+
+
 @query()
 def ml_random_forest(spark, sf_dir):
     from ..operators import training

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import dedup, metrics, pictures, ranking, splits, validate
 from . import manifest
+from .scratch import settled
 
 SPLITS = ("train", "validation", "test")
 
@@ -37,26 +38,40 @@ def duplicate_report(rows: DataFrame, threshold: int = 5, samples: int = 100) ->
     labels = rows.select(F.col("path"), F.col("label"))
     listed = listed.join(labels.toDF("left", "left_label"), "left").join(labels.toDF("right", "right_label"), "right")
     listed = listed.orderBy("side_a", "side_b", "distance", "left", "right").collect()  # samples rows at most
+    #: The names of the report's fields.
     return {
         "exact_cross_split_duplicates": 0,
         "exact_duplicate_group_count": copies.n_groups,
         "exact_duplicate_extra_image_count": copies.n_extra,
         "near_duplicate_threshold": threshold,
         "perceptual_cross_split_candidate_count": pairs.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0],
-        "perceptual_cross_split_candidates_are_review_candidates": True,
         "perceptual_candidate_samples": [{"left_path": r.left, "left_split": r.side_a, "left_label": r.left_label, "right_path": r.right, "right_split": r.side_b, "right_label": r.right_label, "hamming_distance": r.distance} for r in listed],
     }
 
 
+def _counted(cells: dict) -> dict:
+    """counts() from {(split, label): n}."""
+    per_class: dict = {}
+    for (split, label), n in sorted(cells.items()):
+        if n:
+            per_class.setdefault(split, {})[label] = n
+    per_split = {split: sum(own.values()) for split, own in per_class.items()}
+    total = sum(per_split.values())
+    return {"counts": {"total": total, "per_split": per_split, "per_class_by_split": per_class}, "actual_ratios": {s: n / total for s, n in per_split.items()}}
+
+
 def counts(rows: DataFrame) -> dict:
     """How many rows each split and each class of it has, and each split's share."""
     cells = metrics.counts_by_split(rows, "split", "label").collect()  # one row for each split and class
-    per_split = {r.split: r.n for r in cells if r.split is not None and r.label is None}
-    total = sum(per_split.values())
-    return {
-        "counts": {"total": total, "per_split": per_split, "per_class_by_split": {s: {r.label: r.n for r in cells if r.split == s and r.label is not None} for s in per_split}},
-        "actual_ratios": {s: n / total for s, n in per_split.items()},
-    }
+    return _counted({(r.split, r.label): r.n for r in cells if r.split is not None and r.label is not None})
+
+
+def counting(rows: DataFrame, labels: Sequence[str], names: Sequence[str] = SPLITS) -> tuple[DataFrame, Callable[[], dict]]:
+    """rows, and what gives counts() of them once they have been written: they are counted while they pass, so that no
+    further reading is needed. labels and names are all classes and splits there can be."""
+    seen, cells = Observation(), [(s, c) for s in names for c in labels]
+    watched = rows.observe(seen, *(F.count_if((F.col("split") == s) & (F.col("label") == c)).alias(f"n{k}") for k, (s, c) in enumerate(cells)))
+    return watched, lambda: _counted({cell: seen.get[f"n{k}"] for k, cell in enumerate(cells)})
 
 
 def manifests(spark: SparkSession, root: str, out: str, seed: int = 42, ratios: Sequence[float] = (0.7, 0.15, 0.15), threshold: int = 5, labels: Sequence[str] = validate.LABELS) -> dict:
@@ -74,7 +89,7 @@ def manifests(spark: SparkSession, root: str, out: str, seed: int = 42, ratios:
     # Pictures are read and decoded once; all that follows reads the table.
     rows.write.mode("errorifexists").parquet(f"{out}/records.parquet")
     rows = spark.read.parquet(f"{out}/records.parquet")
-    dealt = splits.layout_split(rows, list(roots), "label", "sha256", ratios, seed)
+    dealt, counted = counting(splits.layout_split(rows, list(roots), "label", "sha256", ratios, seed), labels)
     dealt.write.mode("errorifexists").parquet(f"{out}/splits.parquet")
     dealt = spark.read.parquet(f"{out}/splits.parquet")
     report = duplicate_report(dealt, threshold)
@@ -83,7 +98,7 @@ def manifests(spark: SparkSession, root: str, out: str, seed: int = 42, ratios:
     manifest.write_json(spark, f"{out}/duplicate_report.json", report)
     digest = lambda name: manifest_digest(dealt.where(F.col("split") == name))
     metadata = {"schema_version": 1, "source_root": root, "layout": "pooled" if "pooled" in roots else "source_partitions", "class_names": list(labels), "seed": seed}
-    metadata |= {"ratios": dict(zip(SPLITS, ratios, strict=True)), "source_class_roots": {role: r or "." for role, r in roots.items()}, "manifest_digest": {s: digest(s) for s in SPLITS}} | counts(dealt)
+    metadata |= {"ratios": dict(zip(SPLITS, ratios, strict=True)), "source_class_roots": {role: r or "." for role, r in roots.items()}, "manifest_digest": {s: digest(s) for s in SPLITS}} | counted()
     manifest.write_json(spark, f"{out}/metadata.json", metadata)
     return metadata
 
@@ -130,8 +145,8 @@ def supplement(listed: DataFrame, known: DataFrame, labels: Sequence[str] = vali
 
 
 def fixture(spark: SparkSession, labels: Sequence[str] = validate.LABELS, per_class: int = 8, size: int = 80, seed: int = 42) -> DataFrame:
-    """path and content (PNG) of a small picture set of all classes: a coloured square and a stripe on light grey, moved a
-    little by the seed."""
+    """path and content (PNG) of a small picture set of all classes: on a dark ground a disc, whose hue tells the class,
+    at a place that is drawn for each picture, and a little noise, so that no two pictures are equal."""
     import numpy as np
 
     from ..functions import pixels
@@ -141,19 +156,34 @@ def fixture(spark: SparkSession, labels: Sequence[str] = validate.LABELS, per_cl
     def draw(batches):
         import pyarrow as pa
 
+        down, across = np.mgrid[0:size, 0:size] / size
         for batch in batches:
             paths, made = [], []
             for k in batch.column(0).to_pylist():
-                place, n = divmod(k, per_class)
-                rng = np.random.default_rng([seed, k])
-                image = np.full((size, size, 3), 245, np.uint8)
-                edge = 8 + n % 4
-                image[edge : size - edge, edge : size - edge] = [30 + place * step % 190 for step in (47, 79, 113)]
-                stripe = 12 + place % 7 * 8 + int(rng.integers(-3, 4))
-                image[10 : size - 10, stripe - 2 : stripe + 2] = 255
-                image[0, : len(names)] = rng.integers(0, 256, (min(size, len(names)), 3))
-                paths.append(f"{names[place]}/{names[place].lower()}_{n:02d}.png")
-                made.append(pixels.png(image))
+                which, own = names[k // per_class], np.random.default_rng([seed, k])
+                y, x, radius = own.uniform(0.35, 0.65, 2).tolist() + [own.uniform(0.2, 0.3)]
+                hue = 255 * (k // per_class) // len(names)
+                hsv = np.full((size, size, 3), (hue, 60, 50), np.uint8)
+                hsv[np.hypot(down - y, across - x) < radius] = (hue, 230, 220)
+                noisy = pixels.from_hsv(hsv).astype(int) + own.integers(-6, 7, (size, size, 3))
+                paths.append(f"{which}/{k % per_class:04d}.png")
+                made.append(pixels.png(noisy.clip(0, 255).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
     return spark.range(len(names) * per_class).mapInArrow(draw, "path string, content binary")
+
+
+def written_halves(spark: SparkSession, path: str, out: str, seed: int = 42) -> dict:
+    """Splits the manifest at path into halves by splits.shuffled_halves(), writes dev.csv, final.csv and record.json below
+    out, and returns the record: seed, source, and count and digest of the rows of each half. A content in both halves is
+    an error."""
+    rows = manifest.read_manifest(spark, path).withColumn("split_was", F.col("split"))
+    dealt = settled(splits.shuffled_halves(rows.drop("split"), "label", "path", seed))
+    dedup.refuse_spanning(dealt, "sha256", "split", "one content in both halves")
+    record: dict = {"seed": seed, "source_manifest": path}
+    for half in ("dev", "final"):
+        own = dealt.where(F.col("split") == half).withColumn("split", F.col("split_was")).drop("split_was")
+        manifest.write_manifest(own, f"{out}/{half}.csv")
+        record[half] = {"count": own.count(), "row_digest": manifest_digest(own)}
+    manifest.write_json(spark, f"{out}/record.json", record)
+    return record

@@ -46,7 +46,7 @@ def test_source_partitions_keep_their_test_rows(spark, tmp_path):
     said = prepare.manifests(spark, str(tmp_path / "in"), str(tmp_path / "out"), labels=LABELS)
     assert said["layout"] == "source_partitions" and said["counts"]["per_split"] == {"train": 15, "validation": 3, "test": 6}
     assert prepare.external_manifest(spark, str(tmp_path / "in"), str(tmp_path / "external.csv"), LABELS).select("split").distinct().collect() == [("external",)]
-    (tmp_path / "in/wrapper/test/A/copy.png").write_bytes((tmp_path / "in/wrapper/train/A/a_00.png").read_bytes())
+    (tmp_path / "in/wrapper/test/A/copy.png").write_bytes((tmp_path / "in/wrapper/train/A/0000.png").read_bytes())
     with pytest.raises(dedup.LeakError):
         prepare.manifests(spark, str(tmp_path / "in"), str(tmp_path / "other"), labels=LABELS)
     (tmp_path / "in/wrapper/test/A/copy.png").rename(tmp_path / "in/wrapper/train/B/copy.png")
@@ -160,11 +160,11 @@ def test_models_load_by_their_contract(spark, tmp_path):
 
 
 def test_training_values():
-    good = {"epochs": 10, "batch": 8, "rate": 0.1, "size": 64, "patience": 3}
-    training.check_training(**good)
-    for bad in ({"epochs": 0}, {"epochs": 101}, {"rate": 0}, {"patience": 0}, {"workers": -1}, {"per_class": 0}, {"per_class": 1, "per_split": 1}, {"repeat": 0}, {"select_on": "x"}, {"extra": ("a", None)}):
+    good = {"epochs": 10, "batch": 8, "rate": 0.1, "size": 64, "patience": 3, "per_class": None, "profile": "robust"}
+    training.check_training(good)
+    for bad in ({"epochs": 0}, {"epochs": 101}, {"epochs": True}, {"rate": 0}, {"patience": 0}, {"per_class": 0}, {"per_class": 1, "per_split": 1}, {"repeat": 0}, {"select_on": "x"}, {"profile": "none"}, {"colour": 1}):
         with pytest.raises(ValueError):
-            training.check_training(**good | bad)
+            training.check_training(good | bad)
 
 
 def test_lanczos_and_hsv():

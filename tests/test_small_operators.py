@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from curata.functions import hashing, landmarks
 from curata.operators import pictures, ranking, sampling, selection, splits, validate
 
 
@@ -47,12 +48,57 @@ def test_spread_numbers_make_few_chunks(spark, monkeypatch):
 
 def test_digests_of_row_sets_ignore_their_order(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"line {k}\n") for k in range(50)], "k int, said string")
-    digest = lambda r: sampling.row_set_digest(r, ["k"], F.col("said")).first()
+    digest = lambda r: sampling.row_set_digest(r, F.col("said")).first()
     one = digest(rows)
     assert one == digest(rows.repartition(5)) and one.n_rows == 50 and one != digest(rows.where("k > 0"))
     monkeypatch.setattr(sampling, "ORDERED_ROWS", 10)
-    many = digest(rows)
-    assert many == digest(rows.repartition(5)) and many != one and many != digest(rows.where("k > 0"))
+    assert digest(rows) == one
+    with pytest.raises(ValueError):
+        sampling.ordered_digest(rows, ["k"], F.col("said"))
+
+
+def test_points_as_structs(spark):
+    values = [0.1 * k * (-1) ** k for k in range(63)]
+    rows = spark.createDataFrame([(values, [tuple(values[3 * i : 3 * i + 3]) for i in range(21)])], "v array<double>, p array<struct<x:double,y:double,z:double>>")
+    both = rows.select(landmarks.features(landmarks.points_of(F.col("v")), F.lit("right")).alias("a"), landmarks.features(landmarks.points_from_structs(F.col("p")), F.lit("right")).alias("b")).first()
+    assert both.a == both.b and len(both.a) == 79
+
+
+@pytest.mark.parametrize("sizes", [{"A": 1, "B": 2, "C": 7, "D": 500, None: 40}])
+def test_halves_by_pointers_equal_the_shuffle(spark, sizes):
+    """Every place of every class, and the halves, against Python's own shuffle."""
+    import random
+
+    from curata.operators import shuffling
+
+    counts = spark.createDataFrame(list(sizes.items()), "label string, n long")
+    got = {}
+    for r in shuffling.order(counts, 42).collect():
+        got.setdefault(r.label, {})[r.at] = r.place
+    for label, n in sizes.items():
+        order = list(range(n))
+        random.Random(f"42:{label}").shuffle(order)
+        assert [got[label][k] for k in range(n)] == order
+    paths = {label: sorted(f"{label}/{(k * 7919) % 1000:03d}é{k}" for k in range(n)) for label, n in sizes.items()}
+    rows = spark.createDataFrame([(label, p) for label, own in paths.items() for p in own], "label string, path string").repartition(5)
+    dealt = {(r.label, r.path): r.split for r in splits.shuffled_halves(rows, "label", "path").collect()}
+    for label, own in paths.items():
+        order = list(own)
+        random.Random(f"42:{label}").shuffle(order)
+        assert {p for p in own if dealt[label, p] == "dev"} == set(order[: len(own) // 2])
+    assert shuffling.order(counts.limit(0), 42).collect() == [] and splits.shuffled_halves(rows.limit(0), "label", "path").collect() == []
+
+
+def test_cells_of_words_against_loops(spark):
+    import hashlib
+
+    words = ["a", "b b", "  Mixed case\nlines\t", "", None, "same " * 500, "é 漢字 x" * 9]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string")
+    for r in rows.withColumn("g", hashing.token_grid(F.col("w"))).collect():
+        want = [0] * 72
+        for w in (r.w or "").lower().split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 72] += 1
+        assert r.g == want
 
 
 def test_networks_have_a_limit():
