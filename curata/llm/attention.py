@@ -16,9 +16,11 @@ from .sampling import bounded, id_remainder
 
 @dataclass(frozen=True)
 class Settings:
-    """passage: code points of one; sample: labelled rows that the model is fitted on, at most about so many."""
+    """passage: code points of one; sample: labelled rows that the model is fitted on, at most about so many; passages: of
+    each of them so many at most, spread evenly over the whole text, go to the driver (scores are of all passages)."""
 
     passage: int = 512
+    passages: int = 32
     hashed: int = 128
     hidden: int = 32
     gate: int = 16
@@ -126,22 +128,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Learns from docs (doc_id, text) and labels (doc_id, quality 0 or 1).
 
     At most about settings.sample labelled ids are used, chosen by a hash of doc_id; of repeated labels of one id the
-    mean counts, of repeated documents one. Rows without quality are left out; without any row the model is untrained.
+    mean counts, of rows that repeat a doc_id the lowest text (null as empty). Of a text of more than settings.passages
+    passages that many are learned from, so what the driver gets is bounded by the two settings. Rows without quality are
+    left out; without any row the model is untrained; further columns are not read.
     """
     s = settings
 
+    def learned(text: str) -> bytes:
+        own = passage_features(text, s)
+        return own[np.unique(np.linspace(0, len(own) - 1, min(len(own), s.passages)).round().astype(int))].tobytes()
+
     def bags(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.iloc[i : i + 200]
-                yield pd.DataFrame({"key": part["key"], "quality": part["quality"], "bag": [passage_features(x if isinstance(x, str) else "", s).tobytes() for x in part["text"]]})
+                yield pd.DataFrame({"key": part["key"], "quality": part["quality"], "bag": [learned(x if isinstance(x, str) else "") for x in part["text"]]})
 
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     # The chosen labels are few by the sample's bound, so they go to the texts.
     chosen = F.broadcast(bounded(known, "doc_id", s.sample, s.seed))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("key"), "quality", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("key"), "quality", "text")
     got = rows.mapInPandas(bags, "key long, quality double, bag binary").toPandas().sort_values(["key", "quality"], kind="stable")
     return train([np.frombuffer(x, np.float32).reshape(-1, width(s)) for x in got["bag"]], got["quality"].to_numpy(float), s)
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
@@ -192,9 +192,12 @@ def described(docs: DataFrame, s: Settings) -> DataFrame:
     return answers.groupBy("block").applyInArrow(decide, f"doc_id {kind}, node binary, n long, open boolean")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, marked for broadcast if they are few enough; else left to a shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _few(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """rows, marked for broadcast if they are few enough, or take few enough bytes by their size where that varies; else
+    left to a shuffle."""
+    if size is None:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= 40 * BROADCAST_ROWS else rows
 
 
 def sets_of(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
@@ -407,8 +410,12 @@ def links_of_hub(hub: tuple[bytes, int, np.ndarray], others: list[tuple[bytes, i
 
 
 def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (hub, node) whose whole sets are similar, as a and b. A hub with many partners is met in blocks of s.block."""
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("partners")).withColumn("blocks", F.ceil(F.col("partners") / s.block).cast("int"))
+    """The pairs (hub, node) whose whole sets are similar, as a and b. A hub with many partners is met in blocks of s.block
+    of them, or fewer where their sets take s.bucket_bytes."""
+    held = pairs.join(_few(sets.select("node", "n"), F.lit(40)), "node")
+    blocks = F.greatest(F.col("partners") / s.block, 8 * F.col("all") / s.bucket_bytes)
+    sizes = held.groupBy("hub").agg(F.count("*").alias("partners"), F.sum("n").alias("all")).select("hub", F.ceil(blocks).cast("int").alias("blocks"))
+    sizes = written(sizes, "hubs")
     theirs = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
     own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
     met = written(theirs.unionByName(own), "pairs")
@@ -467,7 +474,7 @@ def still_apart(heads: DataFrame, elements: DataFrame, labels: DataFrame, sets:
     met = elements.select("node", "token").join(_few(written(open_, "open-elements")), "token").select("node", "token", "blocks", "whole", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = written(met.select("node", "token", "whole", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "met")
-    met = met.join(_few(t), "node")
+    met = met.join(_few(t, 64 + 8 * F.size("head")), "node")
     wanted = _few(written(met.where("whole").select("node").distinct(), "whole-sets"))
     brought = met.where("whole").join(sets.join(wanted, "node", "left_semi").select("node", "hashes"), "node")
     met = met.where("NOT whole").withColumn("hashes", F.lit(None).cast("binary")).unionByName(brought)

@@ -255,3 +255,23 @@ def test_very_long_texts(spark):
     assert langid.predict(docs.drop("score"), model).where("lang_pred = 'en'").count() == 2
     (n,) = [r.n_words for r in divergence.judge(docs.drop("n_words")).collect() if r.doc_id == 1]
     assert n == 300_000
+
+
+def test_what_the_attention_fit_takes_is_bounded(spark):
+    """Of a very long text some passages are learned from, from all over it; of rows of one doc_id the lowest text."""
+    s = attention.Settings(passage=16, passages=4, epochs=1)
+    docs = spark.createDataFrame([(1, "b" * 1000), (1, "a short text"), (2, None), (2, "z"), (3, "x " * 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    plain = attention.train
+    try:
+        attention.train = lambda bags, y, own: seen.append(([b.copy() for b in bags], list(y))) or plain(bags, y, own)
+        attention.fit(docs, labels, s)
+    finally:
+        attention.train = plain
+    bags, y = seen[0]
+    assert len(bags) == 3 and max(map(len, bags)) == 4 and sum(y) == 2
+    sides = {b.tobytes() for b in bags}
+    whole = attention.passage_features("x " * 400, s)
+    assert {attention.passage_features("a short text", s).tobytes(), attention.passage_features("", s).tobytes()} <= sides
+    assert whole[[0, 16, 33, 49]].tobytes() in sides or whole[[0, 17, 33, 49]].tobytes() in sides
