@@ -682,8 +682,8 @@ def learners_held_out(spark, sf_dir):
     rows = rows.withColumn("label", (F.col("x")[0] * F.col("x")[1] > 0).cast("int")).withColumn("held_out", F.left(F.sha2(F.concat(F.lit("held:"), "id"), 256), F.lit(1)) < "5")
     rows = settled(rows)
     train, held = rows.where("NOT held_out"), rows.where("held_out")
-    machine = training.rbf_svc(train, "x", "label", n=128, rounds=20)
-    settings = network.Settings(epochs=40, batch=32, batches_a_step=4, rate=3e-2, hidden=(16, 8), dropout=0.0, jitter=0.0, patience=40)
+    machine = training.rbf_svc(train, "x", "label", n=64, rounds=10)
+    settings = network.Settings(epochs=24, batch=32, batches_a_step=4, rate=4e-2, hidden=(16, 8), dropout=0.0, jitter=0.0, patience=24)
     fitted = network.fit(train, train, "id", "x", "label", settings)
     places = [F.avg(F.col("x")[k]) for k in range(2)]
     centres = {r.label: (r.a, r.b) for r in train.groupBy("label").agg(places[0].alias("a"), places[1].alias("b")).collect()}  # two rows
@@ -710,7 +710,9 @@ def sql_token_grid(spark, sf_dir):
 def sql_landmark_features(spark, sf_dir):
     sqlnames.register(spark)
     features = "landmark_features(points_of(embedding), if(label % 2 = 0, ' Left', 'Right'))"
-    return spark.sql(f"SELECT vec_id, pos, round(value, 6) + 0D AS value FROM parquet.`{sf_dir}/embeddings.parquet` LATERAL VIEW posexplode({features}) AS pos, value")
+    return spark.sql(f"""
+        WITH f AS (SELECT vec_id, {features} AS f FROM parquet.`{sf_dir}/embeddings.parquet`), v AS (SELECT vec_id, posexplode(f) AS (pos, value) FROM f)
+        SELECT vec_id, pos, round(value, 6) + 0D AS value FROM v""")
 
 
 @query("""SELECT vec_id, CAST(rank AS INT) AS rank, CAST(place AS INT) AS place, round(value, 6) AS value FROM (
