@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 class LeakError(ValueError):
     """Records that must be apart share content."""
@@ -90,19 +92,25 @@ def overlap_counts(extra: DataFrame, known: DataFrame, digest: str, split: str)
     return extra.join(last, digest).groupBy(split).agg(F.count("*").alias("n"))
 
 
-def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None, kept: int = 2) -> DataFrame:
+def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None, kept: int | None = None) -> DataFrame:
     """(a, b, distance, n_pairs): fingerprints at most `most` bits apart, and how many pairs of rows that makes.
 
     Equal fingerprints are counted first, so copies cost nothing. 64 bits are cut into most + kept blocks; two words that
     differ in at most `most` bits agree on `kept` blocks at least, so an equi-join on every choice of so many blocks
     finds all, on keys of many bits. A pair is only taken at its first common choice, so no distinct is needed. side: only
     pairs of rows on different sides, the lower one left; else a pair is unordered and equal words pair within themselves.
+    kept: without it, the fewest blocks (2 at least) whose bits tell apart as many values as there are words, so that a key
+    has about one word for random ones however many there are; a word has a key for each choice (21 for a hundred thousand words at
+    5 bits, 56 for a million, 252 for a thousand million). The result doesn't depend on it.
     """
     if not 0 <= most < 64:
         raise ValueError("most must be 0 to 63")
-    kept = max(1, min(kept, 64 - most))
     keys = [bits] + ([side] if side else [])
-    words = rows.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    words = settled(rows.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")))
+    if kept is None:
+        need = max(1, words.count()).bit_length()
+        kept = next((k for k in range(2, 64 - most) if 64 * k // (most + k) >= need), 2)
+    kept = max(1, min(kept, 64 - most))
     cuts = [64 * k // (most + kept) for k in range(most + kept + 1)]
     masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in own) for own in combinations(range(most + kept), kept)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]

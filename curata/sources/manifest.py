@@ -88,7 +88,8 @@ def read_manifest(spark: SparkSession, path: str, **options) -> DataFrame:
 def with_lines(rows: DataFrame) -> DataFrame:
     """rows, just read from files with a header, with line: the number of their line in its file, the header being 1.
 
-    Rows are counted by the stretch of a file that a task reads; stretches then stand behind each other."""
+    Rows are counted by the stretch of a file that a task reads; stretches then stand behind each other. A row is a line:
+    fields with line breaks are no part of the contract, and reading refuses them."""
     own = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"))
     sizes = own.groupBy("__file", "__from").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
