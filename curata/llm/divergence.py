@@ -19,14 +19,14 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 @dataclass(frozen=True)
 class Rules:
-    """A text fails by counts, or by a divergence (0 to 1) over its limit if it has min_words or more."""
+    """A text fails by counts, or by a distance (0 to 1) over its limit if it has min_words or more."""
 
     least_words: int = 10
     repeat_percent: int = 20
     min_words: int = 40
     common: int = 64
-    most_class_divergence: float = 0.065
-    most_word_divergence: float = 0.22
+    most_class_distance: float = 0.065**0.5
+    most_word_distance: float = 0.22**0.5
 
 
 @dataclass(frozen=True)
@@ -91,12 +91,12 @@ def base_failed(counts: np.ndarray, rules: Rules) -> np.ndarray:
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The divergence of each row of p from q (histograms of any sums over 0), base 2: 0 for equal ones, 1 for those with
-    nothing in common."""
+    """The distance of each row of p from q (histograms of any sums over 0), the root of their divergence to base 2: 0 for
+    equal ones, 1 for those with nothing in common."""
     p, q = p / np.maximum(p.sum(-1, keepdims=True), 1e-12), q / max(q.sum(), 1e-12)
     m = (p + q) / 2
     part = lambda a: np.sum(np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0.0), -1)
-    return np.clip((part(p) + part(np.broadcast_to(q, m.shape))) / 2, 0.0, 1.0)
+    return np.sqrt(np.clip((part(p) + part(np.broadcast_to(q, m.shape))) / 2, 0.0, 1.0))
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), chars: int = 4_000_000)
     return out
 
 
-def divergences(found: Counted, reference: Reference) -> tuple[np.ndarray, np.ndarray]:
+def distances(found: Counted, reference: Reference) -> tuple[np.ndarray, np.ndarray]:
     """Of each text's character classes and common words."""
     k = len(reference.words)
     at = np.searchsorted(reference.words, found.lowered)
@@ -176,11 +176,11 @@ def divergences(found: Counted, reference: Reference) -> tuple[np.ndarray, np.nd
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds to docs (text, lang) the counts of BASE, base_failed, class_divergence, word_divergence and kept.
+    """Adds to docs (text, lang) the counts of BASE, base_failed, class_distance, word_distance and kept.
 
-    A text is compared with each language's reference and judged by the nearest one (of equally near ones the first by
-    name), so that a wrong or missing lang can't condemn it. Below min_words there is no verdict by divergence, only by
-    counts, and both divergences are 0. A null text is empty; texts are counted whole, whatever their length. Where no row
+    A text is compared with each language's reference and judged by the nearest one (by the sum of squares; of equally near
+    ones the first by name), so that a wrong or missing lang can't condemn it. Below min_words there is no verdict by
+    distance, only by counts, and both distances are 0. A null text is empty; texts are counted whole, whatever their length. Where no row
     has a lang there is nothing to compare with and the counts decide alone. Repeated rows are judged alike, each on its
     own; an empty table gives no rows; columns of docs named as the added ones are replaced.
     """
@@ -191,11 +191,11 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         failed = base_failed(found.counts, rules)
         far = np.zeros((2, len(texts)))
         if shared.value:
-            each = np.array([divergences(found, r) for _, r in sorted(shared.value.items())])
-            nearest = each.sum(1).argmin(0)
+            each = np.array([distances(found, r) for _, r in sorted(shared.value.items())])
+            nearest = (each**2).sum(1).argmin(0)
             far = np.where(found.counts[:, 0] >= rules.min_words, each[nearest, :, np.arange(len(texts))].T, 0.0)
-        kept = ~failed & (far[0] <= rules.most_class_divergence) & (far[1] <= rules.most_word_divergence)
+        kept = ~failed & (far[0] <= rules.most_class_distance) & (far[1] <= rules.most_word_distance)
         names = [f.split()[0] for f in BASE.split(", ")]
-        return dict(zip(names, found.counts.T, strict=True)) | {"base_failed": failed, "class_divergence": far[0], "word_divergence": far[1], "kept": kept}
+        return dict(zip(names, found.counts.T, strict=True)) | {"base_failed": failed, "class_distance": far[0], "word_distance": far[1], "kept": kept}
 
-    return by_text(docs, make, f"{BASE}, base_failed boolean, class_divergence double, word_divergence double, kept boolean")
+    return by_text(docs, make, f"{BASE}, base_failed boolean, class_distance double, word_distance double, kept boolean")
