@@ -7,8 +7,9 @@ Three rounds, each on what the one before has left, find all similar pairs witho
 2. The sets that are left are counted whole. Now the frequency of each of their shingles is known, and with it the global
    order, rare first. A set of which fewer than the similarity's share occur elsewhere goes; of the others the head, one
    element of which any similar set must share, is kept.
-3. Heads meet: first each set the lowest one of those that share an element with it, which joins most copies; then, where
-   an element's sets are still apart, their heads make a trie that all of them traverse together. Whole sets decide.
+3. The heads that share an element make a trie that all of them traverse together, with what each has shared on the path
+   so far. First each set meets the lowest one that the tries of two of its elements bring up, which
+   joins most copies; then the tries of all elements whose sets are still apart bring up the rest. Whole sets decide.
 """
 
 from __future__ import annotations
@@ -295,7 +296,7 @@ def heads_of(sets: DataFrame, s: Settings) -> DataFrame:
 
 
 class HeadTrie:
-    """Heads that share an element, from it on, as rising key sequences in a path-compressed trie.
+    """Heads that share an element, whole or from it on, as rising key sequences in a path-compressed trie.
 
     sizes: of the whole sets; left: how many elements of a set, of those that occur elsewhere, stand at the sequence's
     beginning or behind it.
@@ -354,6 +355,9 @@ class HeadTrie:
             own, shared, own_sizes = own[fits], shared[fits], own_sizes[fits]
             if not len(own):
                 continue
+            if not end:  # the sequences differ from their first element on
+                work += [(child, own, shared) for child in children]
+                continue
             path = rank[starts[one] : starts[one] + end]
             seen = np.zeros(m, np.int64)
             for r in path[depth:]:
@@ -448,14 +452,62 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def stars(t: DataFrame, s: Settings) -> DataFrame:
-    """hub, node: each set with the lowest one of those that share an element of their heads with it, for each element,
-    if sizes and places allow them to be similar. t: node, n, s, pos and token of the elements of all heads."""
-    hubs = t.groupBy("token").agg(F.min(F.struct("node", "n", "s", "pos")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    near = t.join(hubs, "token").where((F.col("node") != F.col("hub.node")) & (100 * F.least("n", "hub.n") >= s.percent * F.greatest("n", "hub.n")))
-    need = F.ceil(s.percent * (F.col("n") + F.col("hub.n")) / (100 + s.percent))
-    near = near.where(F.least(F.col("s") - F.col("pos"), F.col("hub.s") - F.col("hub.pos")) >= need)
-    return near.select(F.col("hub.node").alias("hub"), "node").distinct()
+def lowest_partners(rows: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """(hub, node) for rows (node, n, s, head): the lowest node that the trie of their whole heads brings up as possibly
+    similar to each, if it is lower than its own. At most one a row."""
+    trie = HeadTrie([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows], percent)
+    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.arange(len(rows))
+    best = rank.copy()
+    for k, near in trie.candidates():
+        best[near] = np.minimum(best[near], rank[k])
+        best[k] = min(best[k], int(rank[near].min()))
+    return [(rows[order[int(b)]][0], rows[k][0]) for k, b in enumerate(best) if b < rank[k]]
+
+
+def first_meetings(heads: DataFrame, elements: DataFrame, s: Settings) -> DataFrame:
+    """hub, node: each set with the lowest one that the tries of its most and of its least shared element bring up.
+
+    Copies agree on these two as a rule, so that most meet here, in two tries a set instead of one for each element of its
+    head. An element of many sets has a trie for each block of them; the element's lowest set is in all, which ties the
+    blocks together."""
+    shared = elements.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("low")).where("members > 1")
+    known = elements.select("node", "token").join(shared, "token")
+    element = F.struct("members", "token", "low")
+    chosen = known.groupBy("node").agg(F.max(element).alias("most"), F.min(element).alias("least"))
+    chosen = chosen.select("node", F.explode(F.array_distinct(F.array("most", "least"))).alias("e")).select("node", "e.*")
+    chosen = chosen.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / s.block)).cast("int")).drop("members")
+    own = written(chosen.select("node", "token", "block", "low"), "meetings")
+    met = own.select("node", "token", "block").union(own.groupBy("token", "block").agg(F.min("low").alias("node")).select("node", "token", "block")).distinct()
+    met = met.join(_few(heads.select("node", "n", "s", "head"), 64 + 8 * F.size("head")), "node")
+    met = met.repartition("token", "block").sortWithinPartitions("token", "block")
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, rows, out = None, [], []
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["hub", "node"])
+
+        for batch in batches:
+            get = {c: batch.column(c).to_pylist() for c in ("token", "block", "node", "n", "s")}
+            own_heads = batch.column("head")
+            for k, key in enumerate(zip(get["token"], get["block"], strict=True)):
+                if key != now:
+                    if len(rows) > 1:
+                        out.extend(lowest_partners(rows, s.percent))
+                    now, rows = key, []
+                    if len(out) > 50_000:
+                        yield told()
+                        out = []
+                rows.append((get["node"][k], get["n"][k], get["s"][k], own_heads[k].values.to_numpy()))
+        if len(rows) > 1:
+            out.extend(lowest_partners(rows, s.percent))
+        yield told()
+
+    return met.mapInArrow(meet, "hub binary, node binary").distinct()
 
 
 def still_apart(heads: DataFrame, elements: DataFrame, labels: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -520,7 +572,7 @@ def similar_links(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     sets = written(sets_of(docs, known, s), "sets")
     heads = written(heads_of(sets, s), "heads")
     elements = written(heads.select("node", "n", "s", F.posexplode("head").alias("pos", "token")), "elements")
-    links = written(verified(written(stars(elements, s), "stars"), sets, s), "links")
+    links = written(verified(written(first_meetings(heads, elements, s), "first"), sets, s), "links")
     found = written(still_apart(heads, elements, components(links), sets, s), "candidates")
     more = verified(found.where("NOT sure").select("hub", "node"), sets, s)
     return written(links.unionByName(more).unionByName(found.where("sure").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "all-links")

@@ -68,8 +68,8 @@ def test_components_against_all_pairs(spark, seed, block):
 def test_tries_alone_find_all(spark, monkeypatch):
     """Without any star, the tries must bring up every link."""
     rows = corpus(3)
-    whole = tj.stars
-    monkeypatch.setattr(tj, "stars", lambda elements, s: whole(elements, s).limit(0))
+    whole = tj.first_meetings
+    monkeypatch.setattr(tj, "first_meetings", lambda heads, elements, s: whole(heads, elements, s).limit(0))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = tj.near_duplicates(docs, tj.Settings(block=4, few=6, gathered=100, bucket_bytes=3000)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows)
@@ -174,3 +174,35 @@ def test_shingles_follow_the_words():
     for text in ["A b\tc d e F", "a", "", None, "a b c d", "x y x y x y x y", "é è ü word"]:
         assert len(sh.shingles(text)) == len(plain_set(text))
     assert set(sh.shingles("A B C d e f")) == set(sh.shingles("a  b c\nd E f "))
+
+
+def test_first_tries_give_each_set_its_lowest_partner():
+    """Against all pairs: one row a set at most, its hub never higher and always one that may be similar."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 10**6, 60))
+    sets = [np.unique(np.concatenate([rng.choice(base, 55, replace=False), [10**7 + k]])) for k in range(30)] + [np.unique(np.append(rng.integers(10**6, 10**8, 55), base[:5])) for _ in range(10)]
+    heads = [x[: len(x) - sh.least_partner(len(x), 80) + 1] for x in sets]
+    similar = similar_pairs(sets) | {(b, a) for a, b in similar_pairs(sets)}
+    for element in base[:12].tolist():
+        own = [k for k, h in enumerate(heads) if element in h]
+        if len(own) < 2:
+            continue
+        got = tj.lowest_partners([(k.to_bytes(4, "big"), len(sets[k]), len(sets[k]), heads[k]) for k in own], 80)
+        found = {int.from_bytes(n, "big"): int.from_bytes(h, "big") for h, n in got}
+        assert len(found) == len(got) and all(h < n for n, h in found.items())
+        for n in own:
+            low = min((k for k in own if (k, n) in similar), default=n)
+            if low < n:
+                assert found[n] <= low
+
+
+def test_most_links_of_copies_come_from_the_tries(spark, monkeypatch):
+    """What the first tries find on a table of near copies, and what the others have left to do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = {}
+    first, apart = tj.first_meetings, tj.still_apart
+    monkeypatch.setattr(tj, "first_meetings", lambda *a: seen.setdefault("first", first(*a)))
+    monkeypatch.setattr(tj, "still_apart", lambda *a: seen.setdefault("apart", apart(*a)))
+    got = tj.near_duplicates(docs).collect()
+    linked = sum(r.component_id != r.doc_id for r in got)
+    assert linked and seen["first"].count() > 0 and not hasattr(tj, "stars")
