@@ -15,6 +15,17 @@ MIDDLE = 9
 POINTS, FEATURES, TINY = 21, 79, 1e-9
 
 
+#: What has to be done before features() says anything: recorded beside each network, so that it can describe itself.
+CONTRACT = {
+    "feature_contract": "landmark-v1",
+    "feature_dimension": FEATURES,
+    "points": POINTS,
+    "steps": ["a left hand is mirrored", "the wrist is moved to the origin", "the farthest point from it comes to distance 1", "the middle knuckle is turned straight up in the plane"],
+    "distances": ["tips to the wrist", "tips to the thumb's", "tips of neighbouring fingers", "tips to their own knuckles"],
+    "augmented": False,
+}
+
+
 def points_of(values: Column) -> Column:
     """21 points from the first 63 numbers of an array."""
     return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(values, 3 * i + k).cast("double")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import math
+import platform
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -293,6 +294,7 @@ def save(fitted: Fitted, spark: SparkSession, path: str, contract: dict) -> dict
     said = {
         "sizes": [w.shape[1] for w, _ in fitted.model.layers] + [len(fitted.classes)], "classes": fitted.classes, "best_epoch": fitted.best_epoch, "best_validation_loss": fitted.best_loss,
         "epochs_completed": len(fitted.history), "parameter_count": fitted.model.parameters(), "configuration": asdict(fitted.settings) | {"hidden": list(fitted.settings.hidden)}, "history": fitted.history,
+        "environment": {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "numpy": np.__version__},
     }
     clash = set(said) & set(contract)
     if clash:

@@ -94,6 +94,11 @@ def map_pictures(rows: DataFrame, make, column: str, kind: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def grey_vectors(rows: DataFrame, size: int = 64) -> DataFrame:
+    """Pictures as features: size x size grey values from 0 to 1, row by row, as many batches as the pictures fill."""
+    return map_pictures(rows, lambda x, _: (pixels.to_bytes(pixels.resize(pixels.grey_bytes(x)[..., None], size, size)) / 255).ravel().tolist(), "features", "array<double>")
+
+
 def with_dhash(rows: DataFrame) -> DataFrame:
     return map_pictures(rows, lambda x, _: pixels.dhash(x), "dhash", "long")
 

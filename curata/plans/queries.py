@@ -587,7 +587,7 @@ def jitter(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS position FROM lineitem")
 def row_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return ranking.positions(rows, [], ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 4096), "position")
+    return ranking.by_range(rows, [], ["l_orderkey", "l_linenumber"], "position")
 
 
 @query("SELECT o_orderpriority AS run, max(o_totalprice) FILTER (WHERE o_orderstatus <> 'P') AS peak FROM orders GROUP BY 1")
@@ -697,6 +697,22 @@ def learners_held_out(spark, sf_dir):
     return counts.withColumn("l", F.explode(F.array(*(F.struct(F.lit(n).alias("learner"), F.lit(b).alias("beats_centroid")) for n, b in found)))).select("l.learner", "n_train", "n_held_out", "l.beats_centroid")
 
 
+# --- sets ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n FROM (SELECT sha256(text) AS sha FROM documents WHERE text IS NOT NULL UNION SELECT sha256(html) FROM pages WHERE html IS NOT NULL)")
+def digest_union(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(hashing.digest("html").alias("sha"))
+    return docs(spark, sf_dir).select("sha").union(pages).where("sha IS NOT NULL").distinct().agg(F.count("*").alias("n"))
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, bool_and(event_type IN ('click', 'view', 'purchase', 'signup', 'error')) AS all_known FROM events")
+def distinct_values(spark, sf_dir):
+    kinds = F.sort_array(F.collect_set("event_type"))
+    known = F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error")))
+    return table(spark, sf_dir, "events").agg(F.array_join(kinds, ",").alias("kinds"), (F.size(F.array_except(kinds, known)) == 0).alias("all_known"))
+
+
 # --- written in SQL alone -------------------------------------------------------------------------------------------------
 
 

@@ -173,6 +173,19 @@ def fixture(spark: SparkSession, labels: Sequence[str] = validate.LABELS, per_cl
     return spark.range(len(names) * per_class).mapInArrow(draw, "path string, content binary")
 
 
+def class_folders(spark: SparkSession, root: str, held: float = 0.2, seed: int = 123, names: tuple[str, str] = ("training", "validation")) -> tuple[DataFrame, list[str]]:
+    """path, label, place and split of the pictures that lie in the folders of root, whatever their names, and those names
+    in order (place is a label's number there). Of each class the share held is validation, in the order of a seeded digest,
+    so that neither partitions nor other classes matter. A class of one picture, or root without any, is an error."""
+    listed = manifest.files(spark, root).withColumn("label", F.regexp_extract("path", "^([^/]+)/[^/]+$", 1))
+    listed = listed.where((F.col("label") != "") & validate.has_image_extension(F.col("path"))).select("path", "label")
+    classes = [r.label for r in listed.select("label").distinct().orderBy("label").collect()]  # one row a class
+    if not classes:
+        raise manifest.LayoutError(f"no pictures in folders of {root}")
+    places = F.broadcast(spark.createDataFrame(list(enumerate(classes)), "place int, label string"))
+    return splits.singleton_split(listed.join(places, "label"), "label", "path", names, (1 - held, held), seed), classes
+
+
 def written_halves(spark: SparkSession, path: str, out: str, seed: int = 42) -> dict:
     """Splits the manifest at path into halves by splits.shuffled_halves(), writes dev.csv, final.csv and record.json below
     out, and returns the record: seed, source, and count and digest of the rows of each half. A content in both halves is

@@ -87,3 +87,35 @@ def test_functions_by_name(spark):
     assert sorted(map(tuple, ranked)) == [(1, 1, 3.0), (2, 2, 3.0), (3, 0, 1.0)]
     soft = spark.sql("SELECT softmax(array(1D, 2D)) AS p, argmax(array(1D, 5D, 5D)) AS a").first()
     assert soft.p == pytest.approx([1 / (1 + 2.718281828459045), 1 - 1 / (1 + 2.718281828459045)]) and soft.a == 1
+
+
+def test_folders_of_any_classes(spark, tmp_path):
+    evaluation.put_files(prepare.fixture(spark, ["cat", "a dog"], 10, 64, 2), str(tmp_path / "in"))
+    (tmp_path / "in" / "notes.txt").write_text("no picture")
+    (tmp_path / "in" / "cat" / "inner").mkdir()
+    (tmp_path / "in" / "cat" / "inner" / "deep.png").write_bytes(b"not looked at")
+    rows, names = prepare.class_folders(spark, str(tmp_path / "in"))
+    got = rows.collect()
+    assert names == ["a dog", "cat"] and len(got) == 20 and {(r.label, r.place) for r in got} == {("a dog", 0), ("cat", 1)}
+    assert sorted((r.label, r.split) for r in got).count(("cat", "validation")) == 2
+    again, _ = prepare.class_folders(spark, str(tmp_path / "in"))
+    assert {r.path: r.split for r in again.repartition(4).collect()} == {r.path: r.split for r in got}
+    other, _ = prepare.class_folders(spark, str(tmp_path / "in"), seed=7)
+    assert {r.path for r in other.where("split = 'validation'").collect()} != {r.path for r in got if r.split == "validation"}
+    with pytest.raises(manifest.LayoutError):
+        prepare.class_folders(spark, str(tmp_path / "in" / "a dog"))
+
+
+def test_grey_vectors(spark, tmp_path):
+    from curata.operators import pictures
+
+    evaluation.put_files(prepare.fixture(spark, ["A"], 3, 32, 5), str(tmp_path / "in"))
+    rows = pictures.read(spark, str(tmp_path / "in"))
+    for size in (32, 8):
+        for r, own in zip(pictures.grey_vectors(rows, size).orderBy("path").collect(), rows.orderBy("path").collect(), strict=True):
+            grey = pixels.grey_bytes(pictures.array_of(own.data, 32, 32, 3))
+            assert len(r.features) == size * size and max(r.features) <= 1
+            if size == 32:
+                assert [round(v * 255) for v in r.features] == grey.ravel().tolist()
+            else:
+                assert abs(sum(r.features) / 64 * 255 - grey.mean()) < 2
