@@ -196,7 +196,7 @@ def evaluate(batches: DataFrame, model: Mlp, smoothing: float = SMOOTHING) -> tu
                 total += [len(places), -own.sum(), (z.argmax(1) == places).sum()]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
-    n, loss, right = np.sum(_sum_tree(batches.mapInArrow(run, "sum binary")), 0)
+    n, loss, right = np.sum(_sum_tree(batches.mapInArrow(run, "sum binary")), 0).tolist()
     return loss / n, right / n
 
 
@@ -224,7 +224,37 @@ def fit(train: DataFrame, validation: DataFrame, key: str, features: str, label:
     if not n_batches or least < 2 or held.isEmpty() or shape["most"] != shape["least"] or shape["most"] % 1:
         raise TrainingError("training needs rows of equally many features, two of them to learn from and one to judge by")
     model = Mlp((int(shape["most"]), *settings.hidden, len(classes)), settings.seed)
-    values = flat(model)
+    return descend(Dense, model, own, held, n_batches, classes, settings)
+
+
+class Dense:
+    """What descend() needs to know of a kind of network: the dense one here."""
+
+    @staticmethod
+    def flat(model: Mlp) -> np.ndarray:
+        return flat(model)
+
+    @staticmethod
+    def filled(model: Mlp, values: np.ndarray) -> None:
+        filled(model, values)
+
+    @staticmethod
+    def follow(model: Mlp, seen: np.ndarray) -> None:
+        model.norms = followed(model.norms, seen)
+
+    @staticmethod
+    def step(batches: DataFrame, model: Mlp, settings: Settings, epoch: int) -> np.ndarray:
+        return _step(batches, model, settings, epoch)
+
+    @staticmethod
+    def judge(batches: DataFrame, model: Mlp) -> tuple[float, float]:
+        return evaluate(batches, model)
+
+
+def descend(kind, model, own: DataFrame, held: DataFrame, n_batches: int, classes: list, settings: Settings) -> Fitted:
+    """The rounds of a training: steps over own, a table with one batch a row (column no), by AdamW along half a cosine, and
+    after each epoch a judgement on held; the network of the best one is kept."""
+    values = kind.flat(model)
     first, second, steps = np.zeros_like(values), np.zeros_like(values), 0
     a_step = settings.batches_a_step or n_batches
     slices = -(-n_batches // a_step)
@@ -234,20 +264,20 @@ def fit(train: DataFrame, validation: DataFrame, key: str, features: str, label:
         loss = rows = 0.0
         for k in range(slices):
             part = own if slices == 1 else own.where(F.pmod(F.xxhash64("no", F.lit(epoch)), F.lit(slices)) == k)
-            total = _step(part, model, settings, epoch)
+            total = kind.step(part, model, settings, epoch)
             if not total.size:
                 continue  # no batch fell into this slice
-            n, met, own_loss = total[:3]
+            n, met, own_loss = total[:3].tolist()
             grad, seen = total[3 : 3 + values.size] / n, total[3 + values.size :] / met
             steps += 1
             first = DECAYS[0] * first + (1 - DECAYS[0]) * grad
             second = DECAYS[1] * second + (1 - DECAYS[1]) * grad**2
             move = (first / (1 - DECAYS[0] ** steps)) / (np.sqrt(second / (1 - DECAYS[1] ** steps)) + ADDEND)
             values = values * (1 - rate * settings.decay) - rate * move
-            filled(model, values)
-            model.norms = _followed(model.norms, seen)
+            kind.filled(model, values)
+            kind.follow(model, seen)
             loss, rows = loss + own_loss, rows + n
-        judged, accuracy = evaluate(held, model)
+        judged, accuracy = kind.judge(held, model)
         fitted.history.append({"epoch": epoch, "rate": rate, "train_loss": loss / rows, "validation_loss": judged, "accuracy": accuracy})
         if judged < fitted.best_loss:
             fitted.best_epoch, fitted.best_loss, fitted.model = epoch, judged, copy.deepcopy(model)
@@ -256,7 +286,7 @@ def fit(train: DataFrame, validation: DataFrame, key: str, features: str, label:
     return fitted
 
 
-def _followed(norms: list[tuple], seen: np.ndarray) -> list[tuple]:
+def followed(norms: list[tuple], seen: np.ndarray) -> list[tuple]:
     """The normalisations with stored statistics moved towards those of a step's batches."""
     out, at = [], 0
     for gamma, beta, mean, variance in norms:
