@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import argmax, dot, softmax, top_k, vector
 
 
+#: Fixed value: what is said of a prediction below the threshold.
+LOW_CONFIDENCE = "Low confidence: treat this prediction as uncertain."
+
+
 def centroids(rows: DataFrame, label: str, features: str) -> dict:
     """The mean vector of each class. The driver gets classes times dimensions, whatever the rows."""
     values = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("pos", "value"))
@@ -45,4 +49,4 @@ def top_classes(rows: DataFrame, k: int, classes: Sequence) -> DataFrame:
 def flag_low_confidence(rows: DataFrame, threshold: float) -> DataFrame:
     """Adds low_confidence (strictly below threshold) and warning (null otherwise)."""
     low = F.col("confidence") < threshold
-    return rows.withColumn("low_confidence", low).withColumn("warning", F.when(low, "Low confidence: treat this prediction as uncertain."))
+    return rows.withColumn("low_confidence", low).withColumn("warning", F.when(low, LOW_CONFIDENCE))
