@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import augment
 from ..functions.vectors import fourier_features, fourier_plan
 from ..sources.manifest import read_json, write_json
-from ..sources.scratch import settled
+from ..sources.scratch import folder, settled
 
 
 def prepared(rows: DataFrame, features: str) -> DataFrame:
@@ -30,10 +30,18 @@ def perceptron(rows: DataFrame, features: str, label: str, layers: list[int], ro
     return Pipeline(stages=[MultilayerPerceptronClassifier(featuresCol="vector", labelCol=label, layers=layers, maxIter=rounds, seed=seed)]).fit(prepared(rows, features))
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """The model as it is after saving and loading: a fitted machine holds its training's summary and with it the session,
+    which tasks can't be sent."""
+    path = folder(SparkSession.active())
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def linear_svc(rows: DataFrame, features: str, label: str, rounds: int = 20) -> PipelineModel:
     """One linear machine per class."""
     svc = OneVsRest(classifier=LinearSVC(featuresCol="vector", labelCol=label, maxIter=rounds), featuresCol="vector", labelCol=label)
-    return Pipeline(stages=[svc]).fit(prepared(rows, features))
+    return _without_summary(Pipeline(stages=[svc]).fit(prepared(rows, features)))
 
 
 @dataclass(frozen=True)
@@ -84,7 +92,7 @@ def rbf_svc(rows: DataFrame, features: str, label: str, n: int = 512, gamma: flo
     svc = OneVsRest(classifier=LinearSVC(featuresCol="vector", labelCol=label, maxIter=rounds, regParam=penalty), featuresCol="vector", labelCol=label, parallelism=4)
     # The features are computed once and written: each round of each machine reads them.
     known = settled(rows.where(F.col(features).isNotNull()).select(F.col(label), fourier_features(F.col(features), plan).alias(mapped)))
-    fitted = Pipeline(stages=[svc]).fit(prepared(known, mapped))
+    fitted = _without_summary(Pipeline(stages=[svc]).fit(prepared(known, mapped)))
     return KernelMachine(usual if gamma is None else gamma, plan, fitted)
 
 
