@@ -683,7 +683,7 @@ def learners_held_out(spark, sf_dir):
     rows = settled(rows)
     train, held = rows.where("NOT held_out"), rows.where("held_out")
     machine = training.rbf_svc(train, "x", "label", n=64, rounds=10)
-    settings = network.Settings(epochs=24, batch=32, batches_a_step=4, rate=4e-2, hidden=(16, 8), dropout=0.0, jitter=0.0, patience=24)
+    settings = network.Settings(epochs=50, batch=64, rate=5e-2, hidden=(16, 8), dropout=0.0, jitter=0.0, patience=50)
     fitted = network.fit(train, train, "id", "x", "label", settings)
     places = [F.avg(F.col("x")[k]) for k in range(2)]
     centres = {r.label: (r.a, r.b) for r in train.groupBy("label").agg(places[0].alias("a"), places[1].alias("b")).collect()}  # two rows
