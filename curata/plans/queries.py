@@ -500,7 +500,7 @@ def source_partitions_split(spark, sf_dir):
 SELECT doc_id, split FROM documents d JOIN placed p ON p.lang = d.lang AND p.sha = sha256(d.text)""".replace("WITH g", "WITH RECURSIVE g", 1))
 def renormalised_split(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("role", F.when(F.left("sha", F.lit(1)) < "3", "test").otherwise("train"))
-    return splits.layout_split(rows, ["train", "test"], "lang", "sha", [0.7, 0.15, 0.15]).select("doc_id", "split")
+    return splits.layout_split(rows, ["train", "test"], "lang", "sha", [0.7, 0.15, 0.15], shared=True).select("doc_id", "split")
 
 
 @query(f"""{GRID}, k AS (SELECT DISTINCT source AS side, bits FROM f), p AS (SELECT x.side AS side_a, y.side AS side_b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance, x.bits AS a, y.bits AS b FROM k x JOIN k y ON x.side < y.side AND bit_count(xor(x.bits, y.bits)) <= 5)
