@@ -482,7 +482,7 @@ SELECT doc_id, k.split FROM documents d JOIN k ON k.lang = d.lang AND k.sha = sh
 def source_partitions_split(spark, sf_dir):
     first = F.left("sha", F.lit(1))
     rows = docs(spark, sf_dir).withColumn("role", F.when(first < "3", "test").when(first < "6", "validation").otherwise("train"))
-    return splits.layout_split(rows, ["train", "validation", "test"], "lang", "sha", [0.7, 0.15, 0.15]).select("doc_id", "split")
+    return splits.layout_split(rows, ["train", "validation", "test"], "lang", "sha", [0.7, 0.15, 0.15], shared=True).select("doc_id", "split")
 
 
 @query("""WITH g AS (SELECT lang, sha256(text) AS sha, count(*) AS size FROM documents GROUP BY 1, 2), t AS (SELECT * FROM g WHERE left(sha, 1) >= '3'

@@ -1,6 +1,7 @@
 """Queries beside their SQL, on small tables of kinds that the given ones don't hold."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -20,6 +21,7 @@ def beside_sql(spark, folder, name, **tables):
 SHARED = "SELECT CAST(i AS BIGINT) AS doc_id, 'text ' || i % 40 AS text, CASE WHEN i % 120 < 40 THEN 'en' ELSE 'de' END AS lang, 's' AS source FROM range(200) r(i)"
 
 
-def test_a_text_of_two_languages_is_split_in_each(spark, tmp_path):
-    got, want = beside_sql(spark, tmp_path, "renormalised_split", documents=SHARED)
+@pytest.mark.parametrize("name", ["renormalised_split", "source_partitions_split"])
+def test_a_text_of_two_languages_is_split_in_each(spark, tmp_path, name):
+    got, want = beside_sql(spark, tmp_path, name, documents=SHARED)
     assert len(want) == 200 and got == want
