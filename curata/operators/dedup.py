@@ -92,6 +92,10 @@ def overlap_counts(extra: DataFrame, known: DataFrame, digest: str, split: str)
     return extra.join(last, digest).groupBy(split).agg(F.count("*").alias("n"))
 
 
+#: Words of a key, as a power of two: a key's row, shuffled and sorted, costs as much as so many comparisons.
+KEY_WORDS_BITS = 5
+
+
 def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None, kept: int | None = None) -> DataFrame:
     """(a, b, distance, n_pairs): fingerprints at most `most` bits apart, and how many pairs of rows that makes.
 
@@ -99,16 +103,16 @@ def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None
     differ in at most `most` bits agree on `kept` blocks at least, so an equi-join on every choice of so many blocks
     finds all, on keys of many bits. A pair is only taken at its first common choice, so no distinct is needed. side: only
     pairs of rows on different sides, the lower one left; else a pair is unordered and equal words pair within themselves.
-    kept: without it, the fewest blocks (2 at least) whose bits tell apart as many values as there are words, so that a key
-    has about one word for random ones however many there are; a word has a key for each choice (21 for a hundred thousand words at
-    5 bits, 56 for a million, 252 for a thousand million). The result doesn't depend on it.
+    kept: without it, the fewest blocks (2 at least) with which a key has about 2 ** KEY_WORDS_BITS words at most for random
+    ones, however many there are; a word has a key for each choice (21 for some million words at 5 bits, 56 for a hundred
+    million, 126 for a thousand million). The result doesn't depend on it.
     """
     if not 0 <= most < 64:
         raise ValueError("most must be 0 to 63")
     keys = [bits] + ([side] if side else [])
     words = settled(rows.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")))
     if kept is None:
-        need = max(1, words.count()).bit_length()
+        need = max(1, words.count() >> KEY_WORDS_BITS).bit_length()
         kept = next((k for k in range(2, 64 - most) if 64 * k // (most + k) >= need), 2)
     kept = max(1, min(kept, 64 - most))
     cuts = [64 * k // (most + kept) for k in range(most + kept + 1)]
@@ -118,7 +122,9 @@ def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None
     keyed = words.withColumn("key", F.explode(F.array(*(F.struct(F.lit(k).alias("no"), under(F.col(bits), m).alias("value")) for k, m in enumerate(masks)))))
     a = keyed.select(F.col(bits).alias("a"), F.col("n").alias("n_a"), *([F.col(side).alias("side_a")] if side else []), F.col("key.no").alias("no"), F.col("key.value").alias("value"))
     b = keyed.select(F.col(bits).alias("b"), F.col("n").alias("n_b"), *([F.col(side).alias("side_b")] if side else []), F.col("key.no").alias("no_b"), F.col("key.value").alias("value_b"))
-    met = a.join(b, (F.col("no") == F.col("no_b")) & (F.col("value") == F.col("value_b")) & ((F.col("side_a") < F.col("side_b")) if side else (F.col("a") <= F.col("b"))))
+    # A key for each choice makes rows many times what Spark takes the words' files for: they must never be broadcast. The
+    # merge sorts by value first, which tells rows apart where the number of the choice doesn't.
+    met = a.join(b.hint("merge"), (F.col("value") == F.col("value_b")) & (F.col("no") == F.col("no_b")) & ((F.col("side_a") < F.col("side_b")) if side else (F.col("a") <= F.col("b"))))
     near = met.withColumn("apart", F.col("a").bitwiseXOR(F.col("b"))).withColumn("distance", F.bit_count("apart")).where(F.col("distance") <= most)
     first = F.array_position(F.array(*(under(F.col("apart"), m) == 0 for m in masks)), True) - 1
     near = near.where(F.col("no") == first)

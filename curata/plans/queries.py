@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, landmarks, sqlnames, text, vectors
 from ..operators import dedup, metrics, ranking, sampling, score, selection, splits, validate
+from ..sources.scratch import settled
 from .embedding_split import CLASSES, SQL, scored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,7 +507,7 @@ def renormalised_split(spark, sf_dir):
 @query(f"""{GRID}, k AS (SELECT DISTINCT source AS side, bits FROM f), p AS (SELECT x.side AS side_a, y.side AS side_b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance, x.bits AS a, y.bits AS b FROM k x JOIN k y ON x.side < y.side AND bit_count(xor(x.bits, y.bits)) <= 5)
 SELECT side_a, side_b, distance, a, b, m.doc_id AS "left", n.doc_id AS "right" FROM p JOIN f m ON m.source = side_a AND m.bits = a JOIN f n ON n.source = side_b AND n.bits = b ORDER BY ALL LIMIT 100""")
 def candidate_samples(spark, sf_dir):
-    rows = _grid(spark, sf_dir)
+    rows = settled(_grid(spark, sf_dir))
     return dedup.candidate_samples(rows, dedup.hamming_pairs(rows, "bits", 5, side="source"), "bits", "source", "doc_id")
 
 

@@ -175,3 +175,10 @@ def test_vectors(spark):
         state = (state * 1664525 + 1013904223) % 2**32
         want.append(state / 2**32 * 2 - 1)
     assert values == pytest.approx(want)
+
+
+@pytest.mark.parametrize("side", [None, "side"])
+def test_keys_of_fingerprints_are_never_broadcast(spark, side):
+    rows = spark.range(300).select((F.col("id") * 3).alias("bits"), F.concat(F.lit("s"), F.col("id") % 2).alias("side"))
+    plan = dedup.hamming_pairs(rows, "bits", 5, side)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
