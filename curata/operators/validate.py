@@ -69,11 +69,13 @@ def repeated_paths(rows: DataFrame, path: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(path).orderBy(order))).where("__n > 1").drop("__n")
 
 
-def changed_content(manifest: DataFrame, files: DataFrame, path: str = "path", recorded: str = "sha256", actual: str = "actual") -> DataFrame:
-    """path and status (missing, changed) of manifest rows whose file is not there or has other bytes."""
-    theirs = files.select(F.col(path).alias("__path"), F.col(actual).alias("__actual"))
-    joined = manifest.join(theirs, F.col(path) == F.col("__path"), "left")
-    status = F.when(F.col("__path").isNull(), "missing").when(~F.col("__actual").eqNullSafe(F.col(recorded)), "changed")
+def changed_content(manifest: DataFrame, files: DataFrame, path: str = "path", recorded: str = "sha256", actual: str = "actual", key: str | None = None) -> DataFrame:
+    """path and status (missing, changed) of manifest rows whose file is not there or has other bytes. key: the column of
+    both that tells files apart where paths don't, path without it; files has one row for each."""
+    key = key or path
+    theirs = files.select(F.col(key).alias("__key"), F.col(actual).alias("__actual"))
+    joined = manifest.join(theirs, F.col(key) == F.col("__key"), "left")
+    status = F.when(F.col("__key").isNull(), "missing").when(~F.col("__actual").eqNullSafe(F.col(recorded)), "changed")
     return joined.withColumn("status", status).where(F.col("status").isNotNull()).select(path, "status")
 
 

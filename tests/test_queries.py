@@ -25,3 +25,9 @@ SHARED = "SELECT CAST(i AS BIGINT) AS doc_id, 'text ' || i % 40 AS text, CASE WH
 def test_a_text_of_two_languages_is_split_in_each(spark, tmp_path, name):
     got, want = beside_sql(spark, tmp_path, name, documents=SHARED)
     assert len(want) == 200 and got == want
+
+
+def test_pages_of_one_url_are_judged_each_by_its_own_bytes(spark, tmp_path):
+    pages = "SELECT CAST(i AS BIGINT) AS page_id, 'http://x/' || i % 7 AS url, '<p>' || i AS html FROM range(40) r(i)"
+    got, want = beside_sql(spark, tmp_path, "bytes_changed", pages=pages)
+    assert got == want
