@@ -82,14 +82,21 @@ def encode_block(symbols: np.ndarray, table: Table, lanes: int) -> tuple[np.ndar
     """Final state per lane, and the words that left the states in the order in which decoding wants them."""
     steps = -(-len(symbols) // lanes)
     state, out = np.full(lanes, LOW, np.uint64), []
+    # Looked up for the whole block at once; a step is (x // f << PRECISION) + x % f + start with one division.
+    f, start = np.take(table.frequencies, symbols), np.take(table.starts, symbols)
+    most, rest = f << np.uint64(64 - PRECISION), np.uint64(1 << PRECISION) - f
     for k in range(steps - 1, -1, -1):
-        own = symbols[k * lanes : (k + 1) * lanes]
-        f, start, x = table.frequencies[own], table.starts[own], state[: len(own)]
-        full = x >= f << np.uint64(64 - PRECISION)
-        if full.any():
-            out.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x = np.where(full, x >> np.uint64(WORD_BITS), x)
-        state[: len(own)] = ((x // f) << np.uint64(PRECISION)) + x % f + start
+        at = slice(k * lanes, min((k + 1) * lanes, len(symbols)))
+        x = state[: at.stop - at.start]
+        full = np.flatnonzero(x >= most[at])
+        if len(full):
+            held = x[full]
+            out.append(held.astype("<u4"))  # the low 32 bits
+            x[full] = held >> np.uint64(WORD_BITS)
+        more = x // f[at]
+        more *= rest[at]
+        x += more
+        x += start[at]
     return state, np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
 
 
@@ -100,14 +107,16 @@ def decode_block(state: np.ndarray, words: np.ndarray, n: int, table: Table) ->
     for begin in range(0, n, lanes):
         x = state[: min(lanes, n - begin)]
         slot = x & mask
-        own = table.slots[slot.astype(np.int64)].astype(np.int64)
-        out[begin : begin + len(x)] = own
-        x = table.frequencies[own] * (x >> np.uint64(PRECISION)) + slot - table.starts[own]
+        own = out[begin : begin + len(x)]
+        own[:] = np.take(table.slots, slot.view(np.int64))
+        x >>= np.uint64(PRECISION)
+        x *= np.take(table.frequencies, own)
+        x += slot
+        x -= np.take(table.starts, own)
         low = np.flatnonzero(x < np.uint64(LOW))
         if len(low):
             x[low] = (x[low] << np.uint64(WORD_BITS)) | words[at : at + len(low)]
             at += len(low)
-        state[: len(x)] = x
     return out
 
 
@@ -169,9 +178,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, partition_bytes:
 
         own, part, done = tokens.encoder(tokenizer_path, keeps_space=True), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                ids, n = list(own.encode(rows.column(1).to_pylist(), end_id)), rows.num_rows
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                ids, n = list(own.encode(rows.column(1).to_pylist(), end_id, at_once=4_000_000)), rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), rows.column(0), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "n_tokens", "ids"])
                 done += n
 
