@@ -103,20 +103,24 @@ def encode_block(symbols: np.ndarray, table: Table, lanes: int) -> tuple[np.ndar
 def decode_block(state: np.ndarray, words: np.ndarray, n: int, table: Table) -> np.ndarray:
     """The n symbols of a block."""
     lanes, at, out = len(state), 0, np.empty(n, np.int64)
-    state, mask = state.astype(np.uint64), np.uint64((1 << PRECISION) - 1)
+    state, mask, low, bits, word = state.astype(np.uint64), np.uint64((1 << PRECISION) - 1), np.uint64(LOW), np.uint64(PRECISION), np.uint64(WORD_BITS)
+    slots, frequencies, starts, words = table.slots, table.frequencies, table.starts, words.astype(np.uint64)
     for begin in range(0, n, lanes):
-        x = state[: min(lanes, n - begin)]
+        own = out[begin : begin + lanes]
+        x = state if len(own) == lanes else state[: len(own)]
         slot = x & mask
-        own = out[begin : begin + len(x)]
-        own[:] = np.take(table.slots, slot.view(np.int64))
-        x >>= np.uint64(PRECISION)
-        x *= np.take(table.frequencies, own)
+        own[:] = slots.take(slot.view(np.int64))
+        x >>= bits
+        x *= frequencies.take(own)
         x += slot
-        x -= np.take(table.starts, own)
-        low = np.flatnonzero(x < np.uint64(LOW))
-        if len(low):
-            x[low] = (x[low] << np.uint64(WORD_BITS)) | words[at : at + len(low)]
-            at += len(low)
+        x -= starts.take(own)
+        (few,) = (x < low).nonzero()
+        if len(few):
+            more = x.take(few)
+            more <<= word
+            more |= words[at : at + len(few)]
+            x[few] = more
+            at += len(few)
     return out
 
 
@@ -202,9 +206,9 @@ def fit_table(rows: DataFrame) -> Table:
 
         total = np.zeros(1, np.int64)
         for batch in batches:
-            n, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            n, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for i in range(0, len(n), 500):
-                own = np.bincount(np.concatenate([_array(x, k) for k, x in zip(n[i : i + 500], raw[i : i + 500], strict=True)]), minlength=len(total))
+                own = np.bincount(_array(b"".join(raw[i : i + 500]), int(n[i : i + 500].sum())), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         at = np.flatnonzero(total)

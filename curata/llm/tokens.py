@@ -38,7 +38,8 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 0x10000 else np.dtype("<u4")
         self.keeps_space, self.limit = keeps_space, cache_bytes
-        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        self.known, self.flat = pa.array([], pa.large_string()), np.zeros(0, self.dtype)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
         # A mark between words that is a token by itself, wherever it stands, and never part of another one.
         self.mark = "\n" if keeps_space else " \x00 "
         mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -48,23 +49,36 @@ class WordEncoder:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words without white space inside, one after the other, and how many each has. Many words are encoded
-        as one text with marks between, which takes a fraction of the time."""
-        plain = [i for i, w in enumerate(words) if self.mark_id is not None and self.mark.strip(" ") not in w]
-        own: list = [None] * len(words)
-        runs = [plain[at : at + 40] for at in range(0, len(plain), 40)]
-        for some, found in zip(runs, self.tokenizer.encode_batch_fast([self.mark.join([words[i] for i in some]) for some in runs], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                continue  # some word took a mark for its own; they go one by one
-            for i, x, y in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                own[i] = ids[x:y]
-        rest = [i for i, x in enumerate(own) if x is None]
-        for i, raw in zip(rest, self._ids([words[i] for i in rest]), strict=True):
-            own[i] = np.frombuffer(raw, self.dtype)
-        return np.concatenate(own) if own else np.zeros(0, self.dtype), np.fromiter(map(len, own), np.int64, len(own))
+    def _ids_of_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words (an Arrow array) without white space inside, in any order, and where those of each word begin and
+        how many they are. Many words are encoded as one text with marks between, which takes a fraction of the time."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring(words, self.mark.strip(" ")).to_numpy(zero_copy_only=False) if self.mark_id is not None else np.ones(len(words), bool)
+        plain, alone = np.flatnonzero(~odd), np.flatnonzero(odd)
+        starts, sizes, flat = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), np.zeros(0, self.dtype)
+        if len(plain):
+            heads = np.append(np.arange(0, len(plain), 40), len(plain))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(heads, pa.int32()), words.take(pa.array(plain))), pa.scalar(self.mark, pa.large_string()))
+            # Each run ends with a mark too, so that one lies behind every word.
+            found = [np.array([*e.ids, self.mark_id], self.dtype) for e in self.tokenizer.encode_batch_fast(joined.to_pylist(), add_special_tokens=False)]
+            flat = np.concatenate(found)
+            ends, lengths = np.flatnonzero(flat == self.mark_id), np.fromiter(map(len, found), np.int64, len(found))
+            counted = np.bincount(np.repeat(np.arange(len(found)), lengths)[ends], minlength=len(found))
+            whole = counted == np.diff(heads)
+            if not whole.all():  # some word took a mark for its own; they go one by one
+                ends, good = ends[np.repeat(whole, counted)], np.repeat(whole, np.diff(heads))
+                plain, alone = plain[good], np.sort(np.concatenate([alone, plain[~good]]))
+                begins = np.repeat((np.cumsum(lengths) - lengths)[whole], np.diff(heads)[whole])
+            else:
+                begins = np.repeat(np.cumsum(lengths) - lengths, counted)
+            begins = np.maximum(begins, np.concatenate([[0], ends[:-1] + 1])[: len(ends)])
+            starts[plain], sizes[plain] = begins, ends - begins
+        rest = self._ids(words.take(pa.array(alone)).to_pylist())
+        own = np.fromiter((len(x) // self.dtype.itemsize for x in rest), np.int64, len(rest))
+        starts[alone], sizes[alone] = len(flat) + np.cumsum(own) - own, own
+        return np.concatenate([flat, np.frombuffer(b"".join(rest), self.dtype)]), starts, sizes
 
     def encode(self, texts: Iterable[str | None], tail: int, at_once: int = 2_000_000) -> Iterable[bytes]:
         """The ids of each text (null: none) and the id tail, as bytes, in order; works on about at_once characters at a time."""
@@ -133,20 +147,21 @@ class WordEncoder:
         import pyarrow.compute as pc
 
         found = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(found))
-        ids, sizes = self._ids_of_words(new.to_pylist())
-        flat, lengths = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
-        index = found.to_numpy(zero_copy_only=False)
-        missing = np.isnan(index) if index.dtype.kind == "f" else np.zeros(len(index), bool)
-        index = np.where(missing, 0, index).astype(np.int64)
-        index[missing] = len(self.sizes) + np.arange(int(missing.sum()))
-        if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes < self.limit:
-            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, new]), flat, lengths
-        starts = np.cumsum(lengths) - lengths
-        starts, lengths = starts[index], lengths[index]
-        own = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        return flat[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])], ends
+        missing = pc.is_null(found)
+        new = words.filter(missing)
+        ids, begins, sizes = self._ids_of_words(new)
+        flat, starts, lengths = np.concatenate([self.flat, ids]), np.concatenate([self.starts, begins + np.int32(len(self.flat))]), np.concatenate([self.sizes, sizes])
+        missing, index = missing.to_numpy(zero_copy_only=False), pc.fill_null(found, 0).to_numpy().copy()
+        index[missing] = np.arange(len(self.sizes), len(lengths), dtype=np.int32)
+        if self.known.nbytes + self.flat.nbytes + self.starts.nbytes + self.sizes.nbytes < self.limit:
+            self.known, self.flat, self.starts, self.sizes = pa.concat_arrays([self.known, new]), flat, starts, lengths
+        starts, own = starts[index], lengths[index][at]
+        ends = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+        # Each id's place in flat: its place in the output, moved by as much as its part is.
+        width = np.int32 if len(flat) + ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((starts[at] - ends[:-1]).astype(width), own)
+        place += np.arange(ends[-1], dtype=width)
+        return flat[place], ends
 
 
 _encoders: dict[tuple, WordEncoder] = {}

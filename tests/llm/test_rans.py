@@ -1,9 +1,12 @@
+import random
+import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from curata.llm import rans
+from curata.llm import rans, tokens
 from curata.llm.queries import vocabulary
 
 BYTES = vocabulary("byte_bpe_50k.json")
@@ -70,3 +73,22 @@ def test_one_id_on_all_rows_fills_many_parts(spark, tmp_path):
     assert segments.select("part").distinct().count() > 5
     got = sorted(rans.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
     assert len(got) == 400 and [r.start for r in got] == [sum(len(x.ids) // 4 for x in got[:k]) for k in range(400)]
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_new_words_cost_no_python_calls_each(name, spaced):
+    own = tokens.WordEncoder(vocabulary(name), spaced)
+    rng = random.Random(3)
+    made = ["".join(rng.choices("abdeilmnorstuéñ", k=rng.randrange(2, 9))) for _ in range(3000)]
+    plain = [" ".join(made[k : k + 50]) for k in range(0, 3000, 50)]
+    odd = ["", "a\nb\n\nc", "a \x00 b\x00", "中 文 \U0001f4a9 x", "￾ a ͸ b", "x.y,z ... 5.0,"] * 2
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in plain + odd]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = list(own.encode(plain, 2))
+    finally:
+        sys.setprofile(None)
+    got += own.encode(odd, 2)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in got] == want
+    assert len(set(made)) > 2500 and calls["c_call"] < 2500
