@@ -110,7 +110,8 @@ def hamming_pairs(rows: DataFrame, bits: str, most: int, side: str | None = None
     if not 0 <= most < 64:
         raise ValueError("most must be 0 to 63")
     keys = [bits] + ([side] if side else [])
-    words = settled(rows.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")))
+    # Nulls go after the table is written: a filter before the grouping would have Spark compute each fingerprint twice.
+    words = settled(rows.groupBy(*keys).agg(F.count("*").alias("n"))).where(F.col(bits).isNotNull())
     if kept is None:
         need = max(1, words.count() >> KEY_WORDS_BITS).bit_length()
         kept = next((k for k in range(2, 64 - most) if 64 * k // (most + k) >= need), 2)

@@ -182,3 +182,13 @@ def test_keys_of_fingerprints_are_never_broadcast(spark, side):
     rows = spark.range(300).select((F.col("id") * 3).alias("bits"), F.concat(F.lit("s"), F.col("id") % 2).alias("side"))
     plan = dedup.hamming_pairs(rows, "bits", 5, side)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("side", [None, "side"])
+def test_fingerprints_are_computed_once(spark, side, monkeypatch):
+    plans = []
+    monkeypatch.setattr(dedup, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    rows = spark.range(50).select(F.crc32(F.when(F.col("id") % 7 > 0, (F.col("id") % 30).cast("string"))).alias("bits"), F.concat(F.lit("s"), F.col("id") % 2).alias("side"))
+    pairs = dedup.hamming_pairs(rows, "bits", 5, side)
+    assert [p.count("crc32") for p in plans] == [1]
+    assert pairs.where("a IS NULL OR b IS NULL").count() == 0
