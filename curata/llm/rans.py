@@ -84,15 +84,15 @@ def encode_block(symbols: np.ndarray, table: Table, lanes: int) -> tuple[np.ndar
     state, out = np.full(lanes, LOW, np.uint64), []
     # Looked up for the whole block at once; a step is (x // f << PRECISION) + x % f + start with one division.
     f, start = np.take(table.frequencies, symbols), np.take(table.starts, symbols)
-    most, rest = f << np.uint64(64 - PRECISION), np.uint64(1 << PRECISION) - f
+    most, rest, word = f << np.uint64(64 - PRECISION), np.uint64(1 << PRECISION) - f, np.uint64(WORD_BITS)
     for k in range(steps - 1, -1, -1):
         at = slice(k * lanes, min((k + 1) * lanes, len(symbols)))
         x = state[: at.stop - at.start]
-        full = np.flatnonzero(x >= most[at])
+        (full,) = (x >= most[at]).nonzero()
         if len(full):
             held = x[full]
             out.append(held.astype("<u4"))  # the low 32 bits
-            x[full] = held >> np.uint64(WORD_BITS)
+            x[full] = held >> word
         more = x // f[at]
         more *= rest[at]
         x += more

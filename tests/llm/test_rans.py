@@ -92,3 +92,27 @@ def test_new_words_cost_no_python_calls_each(name, spaced):
     got += own.encode(odd, 2)
     assert [np.frombuffer(x, own.dtype).tolist() for x in got] == want
     assert len(set(made)) > 2500 and calls["c_call"] < 2500
+
+
+def test_words_of_letters_skip_the_steps_ahead_of_the_model():
+    own, rng, reached = tokens.WordEncoder(BYTES, True), random.Random(5), []
+    plain = own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            reached.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counted()
+    made = ["".join(rng.choices("abdeilmnorstuéñÿÀ", k=rng.randrange(2, 9))) for _ in range(4000)]
+    texts = [" ".join(w + rng.choice(["", "", ".", ",", "&&&", "!!", "'s"]) for w in made[k : k + 50]) for k in range(0, 4000, 50)]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts, 2)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sum(map(len, reached)) < sum(map(len, texts)) // 100
+
+
+def test_parts_of_texts_keep_the_ids_of_whole_ones():
+    own, rng = tokens.WordEncoder(BYTES, True), random.Random(6)
+    kinds = ["a", "Zq", "é", "×", "÷", "Ã", "·", "ß", "9", "'", "'s", ".", ",", "-", "<|endoftext|>", "_", " ", " ", "  ", "\n", "\n\n", "\t", "中", "́", "\x00", "\x7f", "\u00a0", "\x1e", "\U0001f4a9", "²", "ª"]
+    texts = ["", ".", "a.", "é", "é.", ".é", None, ",", " ", "\n"] + ["".join(rng.choices(kinds, k=rng.randrange(0, 14))) for _ in range(4000)]
+    got = [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts, 2, at_once=3000)]
+    assert got == [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
